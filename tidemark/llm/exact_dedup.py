@@ -2,8 +2,8 @@
 
 Native: DataFrame functions only. Rows are grouped by MD5; a first pass keeps only hashes with several
 rows, a second groups those rows by hash and bytes and so finds hashes that different texts share
-(collisions), a third gives each row its verdict. Texts are shuffled only for rows whose hash repeats,
-one copy per task and text.
+(collisions), a third gives each row its verdict. Before the second pass a bitmap of fixed size sieves out
+nearly all rows whose hash does not repeat, so few other texts are shuffled.
 
 Defined results: a null text equals the empty text. The row with the largest id stays; a null id is the
 smallest. Rows with the same id and text are one document and share the verdict. An empty table gives
@@ -18,10 +18,25 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import attach, fresh, quoted, written
 
 
+#: 64-bit words of the bitmap of repeated hashes; its broadcast is as large whatever the data.
+SIEVE_WORDS = 1 << 16
+
+
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def sieved(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose hash may be one of ``groups``; a row whose hash is one always stays."""
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumn("__word", F.expr(f"pmod(xxhash64(__hash), {SIEVE_WORDS})")).withColumn("__bit", F.expr("cast(shiftrightunsigned(xxhash64(__hash), 40) & 63 as int)"))
+
+    words = place(groups.select("__hash")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    out = place(rows).join(F.broadcast(words), "__word")
+    return out.filter("shiftrightunsigned(__bits, __bit) & 1 = 1").drop("__word", "__bit", "__bits")
+
+
 def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
     """``columns`` of each row, then ``__keep`` (id that stays), ``__size`` (rows of the group), ``__id``.
 
@@ -35,7 +50,7 @@ def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", tex
     def spread(row_id: Column) -> Column:
         return F.encode(F.concat(F.lit("row "), F.coalesce(F.sha2(row_id.cast("string"), 256), F.lit(""))), "UTF-8")
 
-    members = attach(keyed, groups.select("__hash", "__size"), "__hash", "__size", spread(F.col("__id"))).filter("__size is not null")
+    members = attach(sieved(keyed, groups), groups.select("__hash", "__size"), "__hash", "__size", spread(F.col("__id"))).filter("__size is not null")
     texts = members.groupBy("__hash", "__text").agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
     shared = written(texts.groupBy("__hash").count().filter("count > 1").select("__hash"), "dedup-collisions")
 
