@@ -56,6 +56,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartitions rows that each stand for much work: adaptive execution, which sees few bytes, leaves them apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that clash with none of ``df`` (nor, by case, with each other)."""
     taken, out = {c.lower() for c in df.columns}, []

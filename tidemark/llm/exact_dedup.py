@@ -26,15 +26,16 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def sieved(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows whose hash may be one of ``groups``; a row whose hash is one always stays."""
+def sieved(rows: DataFrame, groups: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose hash may be one of ``groups`` (among them all whose hash is one), or else the other rows."""
 
     def place(df: DataFrame) -> DataFrame:
         return df.withColumn("__word", F.expr(f"pmod(xxhash64(__hash), {SIEVE_WORDS})")).withColumn("__bit", F.expr("cast(shiftrightunsigned(xxhash64(__hash), 40) & 63 as int)"))
 
     words = place(groups.select("__hash")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
-    out = place(rows).join(F.broadcast(words), "__word")
-    return out.filter("shiftrightunsigned(__bits, __bit) & 1 = 1").drop("__word", "__bit", "__bits")
+    out = place(rows).join(F.broadcast(words), "__word", "left")
+    bit = F.expr("coalesce(shiftrightunsigned(__bits, __bit) & 1, 0)")
+    return out.filter(bit == F.lit(int(inside))).drop("__word", "__bit", "__bits")
 
 
 def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:

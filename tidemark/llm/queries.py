@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, mixing, token_files
+from tidemark.llm import exact_dedup, mixing, packing, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(manifest, with_payload=False).drop("url")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -20,13 +25,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, with_ids=False)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op5_token_files": op5_token_files,
+    "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

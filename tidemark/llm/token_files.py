@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import repair
-from tidemark.llm.common import bounded_batches, new_path, quoted, written
+from tidemark.llm.common import bounded_batches, new_path, quoted, spread_out, written
 from tidemark.llm.files import read_range, write_once
 from tidemark.llm.tokens import END, encoder, shared_vocabulary
 from tidemark.llm.words import slices
@@ -122,4 +122,4 @@ def read(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return shards.repartition("path", "offset").mapInArrow(run, kind)
+    return spread_out(shards, "path", "offset").mapInArrow(run, kind)
