@@ -80,11 +80,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> list[pa.R
     return out + [batch.slice(at)] * (at < batch.num_rows)
 
 
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the number of its first word (one more at the end)."""
+@cache
+def _not_alphanumeric() -> np.ndarray:
+    byte = np.arange(256)
+    return ~((byte >= 128) | (byte >= 48) & (byte <= 57) | (byte >= 65) & (byte <= 90) | (byte >= 97) & (byte <= 122))
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the number of its first word (one more at the end).
+
+    bare: words are cut at all ASCII characters but letters and digits.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    inside = ~_tables()[0][data]
+    inside = ~(_not_alphanumeric() if bare else _tables()[0])[data]
     opens = np.empty(len(data) + 1, bool)  # a word begins here, or ended before here
     opens[0], opens[-1] = True, True
     np.not_equal(inside[1:], inside[:-1], out=opens[1:-1])
@@ -124,10 +133,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return mix(out)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and for each text the number of its first word (one more at the end)."""
     data, bounds = text_bytes(texts)
-    starts, ends, first = word_bounds(data, bounds)
+    starts, ends, first = word_bounds(data, bounds, bare)
     return span_hashes(data, starts, ends), first
 
 
