@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, packing, quality, scoring, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, minhash, mixing, packing, quality, scoring, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, with_ids=False)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), length=4, similarity=0.8)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), scoring.id_hash("doc_id", 5) == 0
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
+    "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
