@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, minhash, mixing, packing, quality, scoring, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, minhash, mixing, packing, quality, scoring, token_files, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest, with_ids=False)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), length=4, similarity=0.8)
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
+    "op6_topk": op6_topk,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
@@ -64,6 +69,18 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": """
+        WITH hashed AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+        ), grouped AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep FROM hashed
+        )
+        SELECT page_id, n::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1), 1)), '') AS payload_digest,
+            CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+        FROM grouped
+    """,
     "op2_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -98,6 +115,18 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target, (size * count(*) FILTER (WHERE taken))::BIGINT AS taken FROM mixed GROUP BY doc_id, h, size, source_size, target
         UNION ALL SELECT doc_id, size, source_size, target, 0 FROM queue WHERE size = 0
     """,
+    "op6_topk": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[])::BIGINT AS score
+            FROM (SELECT * FROM vectors WHERE vec_id % 20 = 0) q, vectors d WHERE q.vec_id <> d.vec_id
+        )
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored
+        ) WHERE rank <= 20
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
