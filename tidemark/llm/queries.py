@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, minhash, mixing, packing, quality, scoring, token_files, topk, toxicity, warc
+from tidemark.llm import exact_dedup, katz, minhash, mixing, packing, quality, scoring, token_files, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = scoring.id_hash("doc_id", 7) == 2
+    scores = katz.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out).scores
+    return scores.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), scoring.id_hash("doc_id", 4) == 2
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -59,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
+    "op3_katz": op3_katz,
     "op4_quality": op4_quality,
     "op5_token_files": op5_token_files,
     "op6_topk": op6_topk,
