@@ -38,6 +38,19 @@ def sieved(rows: DataFrame, groups: DataFrame, inside: bool = True) -> DataFrame
     return out.filter(bit == F.lit(int(inside))).drop("__word", "__bit", "__bits")
 
 
+def in_groups(rows: DataFrame, groups: DataFrame, spread: Column) -> DataFrame:
+    """Left join of ``rows`` with ``groups`` (``__hash, __size, ...``); rows that the sieve leaves out aren't shuffled."""
+    values = [F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in groups.columns if c != "__hash"]
+    alone = sieved(rows, groups, inside=False).select(*rows.columns, *values)
+    return attach(sieved(rows, groups), groups, "__hash", "__size", spread).select(*alone.columns).unionByName(alone)
+
+
+def without(rows: DataFrame, gone: DataFrame, hash_of: Column) -> DataFrame:
+    """The rows whose ``hash_of`` is not in ``gone`` (``__hash``, distinct); rows that the sieve leaves out aren't shuffled."""
+    keyed = rows.withColumn("__hash", hash_of)
+    return sieved(keyed, gone, inside=False).unionByName(sieved(keyed, gone).join(gone, "__hash", "left_anti")).select(*rows.columns)
+
+
 def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:
     """``columns`` of each row, then ``__keep`` (id that stays), ``__size`` (rows of the group), ``__id``.
 
@@ -57,10 +70,10 @@ def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", tex
 
     rows = docs.select(*columns, quoted(id_col).alias("__id"), text.alias("__text")).withColumn("__hash", hash_of(F.col("__text")))
     if shared.isEmpty():
-        out = attach(rows.drop("__text"), groups, "__hash", "__size", spread(F.col("__id")))
+        out = in_groups(rows.drop("__text"), groups, spread(F.col("__id")))
     else:  # texts that share a hash are grouped by their bytes
         apart = written(texts.join(shared, "__hash", "left_semi"), "dedup-apart").withColumnsRenamed({"__keep": "__own_keep", "__size": "__own_size"})
-        out = attach(rows.join(apart, ["__hash", "__text"], "left").drop("__text"), groups, "__hash", "__size", spread(F.col("__id")))
+        out = in_groups(rows.join(apart, ["__hash", "__text"], "left").drop("__text"), groups, spread(F.col("__id")))
         apart_row = F.col("__own_size").isNotNull()
         out = out.withColumn("__keep", F.when(apart_row, F.col("__own_keep")).otherwise(F.col("__keep")))
         out = out.withColumn("__size", F.coalesce("__own_size", "__size")).drop("__own_keep", "__own_size")

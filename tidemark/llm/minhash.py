@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import attach, bounded_batches, fresh, hot_groups, quoted, written
-from tidemark.llm.exact_dedup import sieved
+from tidemark.llm.exact_dedup import sieved, without
 from tidemark.llm.graph import components
 from tidemark.llm.words import constants, mix, shingles, slices, words
 
@@ -199,7 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, that with the smallest id, and all others, with the columns of ``docs``."""
-    (dropped,) = fresh(docs, "__dropped_id")
-    out = near_duplicates(docs, id_col, text_col, length, similarity)
-    gone = written(out.filter(~F.col("kept")).select(quoted(id_col).alias(dropped)).distinct(), "near-dropped")
-    return docs.join(gone, quoted(id_col).eqNullSafe(F.col(dropped)), "left_anti")
+    names = fresh(docs, *(f"__column_{i}" for i in range(len(docs.columns))))
+    out = near_duplicates(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, length, similarity)
+    name = F.sha2(F.coalesce(quoted(id_col).cast("string"), F.lit("none")), 256)
+    gone = written(out.filter(~F.col("kept")).select(name.alias("__hash")).distinct(), "near-dropped")
+    held = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    held = without(held, gone, F.sha2(F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("string"), F.lit("none")), 256))
+    return held.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -63,13 +63,12 @@ def _at(epoch: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], budget: float, epochs: int) -> DataFrame:
-    """``__source, __source_size`` with __rank, __weight and __target: water-filling of the budget.
+    """``__source, __source_size`` (a null source is the greatest name) with __rank, __weight and __target: water-filling of the budget.
 
     In order of the virtual time at which a source runs out, the level is the first at which the rest,
     by weight, spend what is left before the next source runs out.
     """
-    by_name = Window.orderBy(F.col("__source").isNull(), F.col("__source"))
-    out = sources.withColumn("__rank", F.row_number().over(by_name))
+    out = sources.withColumn("__rank", F.row_number().over(Window.orderBy("__source")))
     out = out.withColumn("__weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("__rank") - 1) % len(weights) + 1))
     out = out.withColumn("__limit", F.lit(epochs) * F.col("__source_size")).withColumn("__ends", F.col("__limit") / F.col("__weight"))
     order = Window.orderBy("__ends", "__rank")
@@ -122,7 +121,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     weights: of the sources in order of name, repeating. budget: tokens of the mix as a share of all
     tokens. epochs: how often a document may be taken at most.
     """
-    rows = docs.select(*(quoted(c).alias(f"__column_{i}") for i, c in enumerate(docs.columns)), quoted(id_col).alias("__id"), quoted(source_col).alias("__source"), word_count(quoted(text_col)).alias("__size"))
+    rows = docs.select(*(quoted(c).alias(f"__column_{i}") for i, c in enumerate(docs.columns)), quoted(id_col).alias("__id"), F.coalesce(F.concat(F.lit("s"), quoted(source_col).cast("string")), F.lit("t")).alias("__source"), word_count(quoted(text_col)).alias("__size"))
     rows = rows.withColumn("__hash", F.md5(F.concat_ws(" ", F.col("__id").cast("string"), F.col("__size").cast("string"))))
     light = written(rows.select("__id", "__source", "__size", "__hash"), "mix-sizes")
     sources = written(targets(light.groupBy("__source").agg(F.sum("__size").alias("__source_size")), weights, budget, epochs), "mix-sources")
@@ -133,14 +132,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     outer = outer.select(F.col("__source").alias("__s"), F.col("__b1").alias("__c1"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__outer"))
     earlier = Window.partitionBy("__source", "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
     inner = inner.withColumn("__inner", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
-    starts = inner.join(outer, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__b1") == F.col("__c1")))
+    starts = inner.join(outer, (F.col("__source") == F.col("__s")) & (F.col("__b1") == F.col("__c1")))
     starts = written(starts.select("__s", "__c1", F.col("__b2").alias("__c2"), (F.col("__outer") + F.col("__inner")).alias("__before")), "mix-starts")
 
     def queued(rows: DataFrame) -> DataFrame:
         so_far = Window.partitionBy("__source", "__b1", "__b2").orderBy("__hash", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
         out = rows.withColumns({"__b1": _digits(1), "__b2": _digits(3)}).withColumn("__within", F.sum("__size").over(so_far))
-        out = out.join(starts, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__b1") == F.col("__c1")) & (F.col("__b2") == F.col("__c2"))).drop("__s", "__c1", "__c2", "__b1", "__b2")
-        out = out.join(sources.withColumnRenamed("__source", "__s").drop("__level", "__limit", "__ends", "__spent"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+        out = out.join(starts, (F.col("__source") == F.col("__s")) & (F.col("__b1") == F.col("__c1")) & (F.col("__b2") == F.col("__c2"))).drop("__s", "__c1", "__c2", "__b1", "__b2")
+        out = out.join(sources.withColumnRenamed("__source", "__s").drop("__level", "__limit", "__ends", "__spent"), (F.col("__source") == F.col("__s"))).drop("__s")
         out = out.withColumn("__tokens", F.col("__before") + F.col("__within")).drop("__before", "__within")
         return out.withColumns({"__finish": _at(F.lit(0)), "__lap": F.col("__source_size") / F.col("__weight")})
 
