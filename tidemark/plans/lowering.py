@@ -51,7 +51,7 @@ class Lowering:
         return F.lit(text).cast("timestamp_ntz") if isinstance(like, T.TimestampNTZType) else F.lit(text + "+00:00").cast("timestamp")
 
     def _literal(self, x: Literal) -> Lowered:
-        return Lowered(F.lit(x.value).cast(K.spark_type(x.kind)) if x.kind != TIME else self._time(x.value, T.TimestampType()), x.kind)
+        return Lowered(_constant(x.value).cast(K.spark_type(x.kind)) if x.kind != TIME else self._time(x.value, T.TimestampType()), x.kind)
 
     # predicates
 
@@ -114,7 +114,7 @@ class Lowering:
                 elif x.kind == TIME and other.kind.numeric:
                     out[i] = Lowered(F.lit(x.value), I64)
                 elif other.kind.integral and x.kind.integral and _fits(x.value, other.kind):
-                    out[i] = Lowered(F.lit(x.value).cast(K.spark_type(other.kind)), x.kind)
+                    out[i] = Lowered(_constant(x.value).cast(K.spark_type(other.kind)), x.kind)
                 else:
                     out[i] = self._literal(x)
         for i in (0, 1):  # times meet numbers as nanoseconds
@@ -134,9 +134,9 @@ class Lowering:
             found = own.column.isin(*(self._time(v, like) for v in m.values))
         elif own.kind.integral and m.kind.integral:
             values = [v for v in m.values if _fits(v, own.kind)]  # others are in no such column
-            found = own.column.isin(*(F.lit(v).cast(K.spark_type(own.kind)) for v in values)) if values else own.column.isNull() & F.lit(False)
+            found = own.column.isin(*(_constant(v).cast(K.spark_type(own.kind)) for v in values)) if values else own.column.isNull() & F.lit(False)
         else:
-            found = own.column.isin(*(F.lit(v) for v in m.values))
+            found = own.column.isin(*map(_constant, m.values))
         if not e.inside:
             return ~F.coalesce(found, F.lit(False))
         return found if bare else F.coalesce(found, F.lit(False))
@@ -177,6 +177,11 @@ class Lowering:
         return Lowered({"+": a + b, "-": a - b, "*": a * b}[e.op], kind)
 
 
+def _constant(value) -> Column:
+    """A literal; integers beyond 64 signed bits go by their digits."""
+    return F.lit(str(value)).cast("decimal(20,0)") if isinstance(value, int) and not isinstance(value, bool) and value >= 1 << 63 else F.lit(value)
+
+
 def _fits(value: int, kind: Kind) -> bool:
     low, high = (0, 1 << kind.bits) if kind.kind == "u" else (-(1 << kind.bits - 1), 1 << kind.bits - 1)
     return low <= value < high
