@@ -5,10 +5,10 @@ components of its signature, the minimum and the maximum, so 2 * PERMUTATIONS co
 many evaluations. BANDS bands of ROWS components each find candidates; at a similarity of 0.8 a pair is
 missed with a chance of (1 - 0.8**ROWS)**BANDS, below 1e-6. Every link is confirmed on full sets.
 
-Documents with equal sets are one node. Within a band's bucket each node is compared with a centre; in
-further rounds with other centres, as far as the bucket is not one component; pairs of a bucket
-that still lie in different components are then compared one by one, but not those whose sizes rule a link out.
-So the links that connect a large group are found without making all its pairs, and none is lost.
+Documents with equal sets are one node. Within a band's bucket each node is compared with a centre, which
+links large groups without making all their pairs. Nodes of buckets that then still hold several
+components are joined on shingles of their prefixes, rare ones first: only pairs in different components that
+share one can be similar, and are compared. So no link between components is lost.
 
 Defined results: a null text is empty; documents without words have the empty set, which is linked with
 nothing. With fewer words than a shingle the whole sequence is the one shingle. Null ids are never a
@@ -37,8 +37,8 @@ SIMILARITY = 0.8
 PERMUTATIONS = 144
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Rounds of comparison with centres before pairs are compared one by one.
-CENTRES = 3
+#: Frequent shingles that are looked for before pairs are compared one by one, at most.
+FREQUENT = 1 << 16
 #: Parts over which the pairs of a much-linked centre are dealt.
 PARTS = 32
 
@@ -141,6 +141,56 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumn("__root", F.coalesce("root", "__key")).drop("root")
 
 
+def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of nodes ``__key, __root, __n, __set`` in different components that may be similar.
+
+    Let all shingles be in one order. Similar sets of n and m shingles share at least
+    least = ceil(percent * (n + m) / (100 + percent)) of them, so one that is among the first n - least + 1 of the
+    one set and the first m - least + 1 of the other. Shingles known to be frequent come last, so that sets
+    which have a common passage, but are not similar, share none there. Any order gives all similar pairs;
+    the frequent shingles that are looked for only save work.
+    """
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch["__set"]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+    counts = nodes.select("__set").mapInArrow(often, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    order = np.argsort(counts["shingle"].to_numpy(np.int64).view(np.uint64))
+    frequent, often_n = counts["shingle"].to_numpy(np.int64).view(np.uint64)[order], counts["n"].to_numpy(np.int64)[order]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, counts, places = [], [], []
+            for x in batch["__set"]:
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                first = len(own) - -(-percent * len(own) // 100) + 1
+                known = np.zeros(len(own), np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    known = np.where(frequent[at] == own, often_n[at], 0)
+                out.append(own[np.lexsort((own, known))[:first]])
+                counts.append(first)
+                places.append(np.arange(first))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            shingle = pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64))
+            place = pa.array(np.concatenate([np.zeros(0, np.int64), *places]))
+            yield pa.RecordBatch.from_arrays([shingle, place, *(batch[c].take(row) for c in ("__key", "__root", "__n"))], ["shingle", "__place", "__key", "__root", "__n"])
+
+    rows = nodes.select("__key", "__root", "__n", "__set").mapInArrow(prefixes, "shingle long, __place long, __key binary, __root binary, __n long")
+    rows = written(rows.withColumn("__hash", F.col("shingle")).drop("shingle"), "near-prefixes")
+    shared = rows.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"))
+    shared = written(shared.filter("__r1 <> __r2").select("__hash"), "near-shared")
+    rows = written(sieved(rows, shared).join(shared, "__hash", "left_semi"), "near-sharing")
+    other = rows.select("__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"), F.col("__place").alias("__at"))
+    least = f"cast(ceil({percent} * (__n + __m) / {100 + percent}) as long)"
+    fit = F.expr(f"__key < b and __root <> __other and __place <= __n - {least} and __at <= __m - {least} and least(__n - __place, __m - __at) >= {least}")
+    pairs = rows.join(other, "__hash").filter(fit)
+    return pairs.select(F.col("__key").alias("a"), "b").distinct()
+
+
 def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     """``__id, __n, __component`` of documents ``__id, __text``."""
     percent = round(100 * similarity)
@@ -151,39 +201,35 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     buckets = _buckets(nodes)
     full = written(buckets.groupBy("__hash").agg(F.count(F.lit(1)).alias("__load")).filter("__load > 1"), "near-buckets")
     spread = F.concat(F.encode(F.lit("row "), "UTF-8"), F.col("__key"))
-    members = attach(sieved(buckets, full), full, "__hash", "__load", spread).filter("__load is not null").select("__hash", "__key", "__n")
+    members = attach(sieved(buckets, full), full, "__hash", "__load", spread).filter("__load is not null").select("__hash", "__key", "__n", "__load")
     members = written(members, "near-members")
     stored = _stored_sets(docs, nodes.join(members.select("__key").distinct(), "__key", "left_semi"), length)
 
-    tested = links = roots = None
-    for turn in range(CENTRES + 1):
-        open_rows = members.withColumn("__root", F.col("__key")) if roots is None else _rooted(members, roots)
-        mixed = open_rows.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"), F.count(F.lit(1)).alias("__load"), F.min(F.struct(F.xxhash64(F.lit(turn), "__key"), "__key", "__root", "__n")).alias("__c"))
-        mixed = written(mixed.filter("__r1 <> __r2").select("__hash", "__load", F.col("__c.__key").alias("__centre"), F.col("__c.__root").alias("__centre_root"), F.col("__c.__n").alias("__centre_n")), "near-mixed")
-        if mixed.isEmpty():
-            break
-        if turn < CENTRES:
-            pairs = attach(open_rows, mixed, "__hash", "__load", spread).filter("__load is not null and __root <> __centre_root")
-            pairs = pairs.select(F.col("__key").alias("a"), F.col("__centre").alias("b"), "__n", F.col("__centre_n").alias("__m"))
-        else:
-            left = attach(open_rows, mixed.select("__hash", "__load"), "__hash", "__load", spread).filter("__load is not null").drop("__load")
-            right = left.select("__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"))
-            pairs = left.join(right, "__hash").filter("__key < b and __root <> __other").select(F.col("__key").alias("a"), "b", "__n", "__m")
-        pairs = pairs.filter(F.least("__n", "__m") * 100 >= F.greatest("__n", "__m") * percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = written(_confirmed(pairs, stored, percent), "near-links")
-        links = good if links is None else links.unionByName(good)
-        roots = components(links)
+    # each node with its bucket's centre
+    # the one that shares most buckets with most others: of edited copies, the one that was edited least
+    weights = members.groupBy("__key").agg(F.sum("__load").alias("__weight"))
+    mixed = members.join(weights, "__key").groupBy("__hash").agg(F.max("__load").alias("__load"), F.max(F.struct("__weight", "__key", "__n")).alias("__c"))
+    mixed = written(mixed.select("__hash", "__load", F.col("__c.__key").alias("__centre"), F.col("__c.__n").alias("__m")), "near-centres")
+    pairs = attach(members.drop("__load"), mixed, "__hash", "__load", spread).filter("__key <> __centre")
+    pairs = pairs.filter(F.least("__n", "__m") * 100 >= F.greatest("__n", "__m") * percent)
+    pairs = written(pairs.select(F.col("__key").alias("a"), F.col("__centre").alias("b")).distinct(), "near-pairs")
+    links = written(_confirmed(pairs, stored, percent), "near-links")
+    roots = components(links)
+    # what lies in one bucket but in several components
+    rooted = written(_rooted(members.drop("__load"), roots), "near-rooted")
+    mixed = rooted.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"), F.count(F.lit(1)).alias("__load"))
+    mixed = written(mixed.filter("__r1 <> __r2 and __load > 2").select("__hash", "__load"), "near-mixed")  # of two, the pair was compared
+    left = attach(sieved(rooted, mixed), mixed, "__hash", "__load", spread).filter("__load is not null")
+    left = written(left.select("__key", "__root", "__n").distinct().join(stored, "__key"), "near-left")
+    pairs = written(_sharing_prefix(left, percent), "near-more-pairs")
+    more = written(_confirmed(pairs, stored, percent), "near-more-links")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     owned = nodes.select("__key", "__rep", "__size")
-    if roots is None:
-        named = owned.filter("__size > 1").withColumn("__component", F.col("__rep"))
-    else:
-        owned = _rooted(owned, roots)
-        least = owned.join(roots.select(F.col("root").alias("__root")).distinct(), "__root", "left_semi").groupBy("__root").agg(F.min("__rep").alias("__least"))
-        named = owned.join(least, "__root", "left").filter("__size > 1 or __least is not null").withColumn("__component", F.coalesce("__least", "__rep"))
+    owned = _rooted(owned, roots)
+    least = owned.groupBy("__root").agg(F.min("__rep").alias("__component"), F.sum("__size").alias("__all")).filter("__all > 1")
+    named = owned.join(least, "__root").select("__key", "__size", "__component")
     named = written(named.select("__key", "__size", "__component"), "near-named")
     spread = F.encode(F.concat(F.lit("row "), F.sha2(F.concat_ws(" ", "__id", F.hex("__key")), 256)), "UTF-8")
     out = attach(signed.drop("__bands"), named, "__key", "__size", spread)
