@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, quoted, spread_out, written
+from tidemark.llm.common import bounded_batches, quoted, written
 from tidemark.llm.words import slices, words
 
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 #: Keys that a bucket gets, about.
 BUCKET = 1 << 21
 #: Counts up to this one are discounted by Good-Turing estimates.
@@ -187,7 +187,7 @@ def _with_answers(chunks: DataFrame, answers: DataFrame | None, rows: Callable[[
                 for i in range(batch.num_rows):
                     yield from rows(batch.slice(i, 1).to_pylist()[0], {})
 
-        return spread_out(chunks, "chunk").mapInArrow(alone, kind)
+        return chunks.mapInArrow(alone, kind)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         known: dict[str, list] = {}
@@ -298,7 +298,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         mine = mine & (total > 0)
         size = len(chunk.words) + 1
         columns = [np.bincount(context[mine & (total == r)], minlength=size) for r in range(1, CUTOFF + 1)]
-        mass = np.bincount(context[mine], known.unigram(counts[word[mine]]), minlength=size)
+        mass = np.bincount(context[mine], known.unigram(counts[word[mine]]), minlength=size).astype(float)
         wanted = np.bincount(context[total == 0], minlength=size) > 0
         chosen = (mass > 0) | wanted
         named = np.append(chunk.words, START)
