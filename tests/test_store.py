@@ -290,3 +290,46 @@ def test_streams(spark, store, tmp_path):
     out.writeStream.format("memory").queryName("resampled").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["t"].hour * 60 + r["t"].minute, r["n"], r["f"]) for r in spark.table("resampled").collect())
     assert got == [(0, 5, 0), (90, 4, 100)]
+
+
+def test_reads_with_staged_rows(lib):
+    lib.stage("s", days(4, 5))
+    assert rows(lib.read("s", staged=True)) == [(4, 0), (5, 1)]
+    lib.write("s", days(0, 1))
+    lib.stage("s", days(2, 3, 7))
+    assert rows(lib.read("s", staged=True)) == [(0, 0), (1, 1), (2, 7), (3, 8), (4, 0), (5, 1)] and rows(lib.read("s")) == [(0, 0), (1, 1)]
+    assert rows(lib.read("s", staged=True, row_range=(1, 3))) == [(1, 1), (2, 7)]
+
+
+def test_partitioned_writes(lib):
+    out = lib.write_partitioned("p", days(0, 5).assign(k=["a", "b", "a", None, "b", "a"]), "k")
+    assert set(out) == {"a", "b", None} and rows(lib.read("p/a")) == [(0, 0), (2, 2), (5, 5)] and rows(lib.read("p/a", row_range=(1, 2))) == [(2, 2)]
+
+
+def test_single_files(lib, tmp_path):
+    lib.write("s", days(0, 7), {"m": 1})
+    lib.export_file("s", str(tmp_path / "out"))
+    lib.import_file("t", str(tmp_path / "out"))
+    assert rows(lib.read("t")) == rows(lib.read("s")) and lib.read_metadata("t").metadata == {"m": 1} and rows(lib.tail("t", 2)) == [(6, 6), (7, 7)]
+
+
+def test_other_inputs(lib):
+    from tidemark import register_normalizer
+
+    class Odd:
+        values = [3, 4]
+
+    register_normalizer(lambda x: pd.DataFrame({"v": x.values}) if isinstance(x, Odd) else None)
+    lib.write("o", Odd())
+    lib.write("n", np.array([[1, 2], [3, 4]]))
+    lib.write("r", pd.Series([1.5, None], name="x"))
+    assert [r["v"] for r in lib.read("o").data.collect()] == [3, 4] and lib.read("n").to_arrow().column("c1").to_pylist() == [2, 4]
+    assert [r["x"] for r in lib.read("r").data.collect()] == [1.5, None]
+    with pytest.raises(UserInputError):
+        lib.write("bad", {"a": 1})
+
+
+def test_explain_read(lib):
+    lib.write("s", days(0, 11))
+    told = lib.explain_read("s", date_range=(DAY, DAY + pd.Timedelta(days=1)))
+    assert told["opened"] == 1 and told["segments"] == 4 and told["rows"] == 12 and "Scan parquet" in told["plan"] or "FileScan" in told["plan"]

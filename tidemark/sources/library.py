@@ -31,6 +31,8 @@ from tidemark.sources.manifest import Catalog, Manifest, VersionInfo, safe
 from tidemark.sources.pruning import may_match
 from tidemark.sources.segments import Segment
 
+#: Symbols that a partitioned write makes, at most.
+MOST_PARTITIONS = 10_000
 #: Schemes of the places where libraries can be.
 SCHEMES = {"s3": "s3a", "s3s": "s3a", "gcpxml": "gs", "gcpxmls": "gs", "azure": "abfss", "local": "file", "lmdb": "file"}
 
@@ -55,6 +57,9 @@ class VersionedItem:
     def to_pandas(self) -> pd.DataFrame:
         return self.data.toPandas()
 
+    def to_arrow(self):
+        return self.data.toArrow()
+
 
 @dataclass
 class JoinedItem:
@@ -93,6 +98,7 @@ class Request:
     row_range: tuple | None = None
     columns: list[str] | None = None
     query: Query | None = None
+    staged: bool = False
 
 
 class LazyFrame(Query):
@@ -247,7 +253,9 @@ class Library:
         return out
 
     def _frame(self, r: Request) -> tuple[Frame, Manifest]:
-        m = self.catalog.resolve(r.symbol, r.as_of)
+        m = self.catalog.resolve(r.symbol, r.as_of) if not r.staged or self.has_symbol(r.symbol, r.as_of) else None
+        if r.staged:
+            m = self._with_staged(r.symbol, m)
         clauses = r.query.clauses if r.query else ()
         if m.pickled and (clauses or r.date_range or r.row_range or r.columns):
             raise SchemaError(f"{r.symbol} is pickled: it can only be read whole")
@@ -295,9 +303,9 @@ class Library:
             frame = replace(frame, df=frame.df.select(*(F.col(f"`{c}`") for c in wanted)))
         return frame, m
 
-    def read(self, symbol: str, as_of: Any = None, date_range: tuple | None = None, row_range: tuple | None = None, columns: list[str] | None = None, query: Query | None = None, lazy: bool = False) -> Any:
-        """The symbol's data, in the order of its rows, or a lazy read."""
-        request = Request(symbol, as_of, date_range, row_range, columns, query)
+    def read(self, symbol: str, as_of: Any = None, date_range: tuple | None = None, row_range: tuple | None = None, columns: list[str] | None = None, query: Query | None = None, lazy: bool = False, staged: bool = False) -> Any:
+        """The symbol's data, in the order of its rows, or a lazy read. staged: rows that are staged come after them."""
+        request = Request(symbol, as_of, date_range, row_range, columns, query, staged)
         if lazy:
             return LazyFrame(self, request)
         frame, m = self._frame(request)
@@ -726,15 +734,72 @@ class Library:
         out = replace_manifest(m, schema=schema, forms=forms, segments=[*m.segments, *segments], metadata=metadata)
         return self._commit(symbol, out, prune)
 
+    def _with_staged(self, symbol: str, m: Manifest | None) -> Manifest:
+        """The version with staged blocks after it, in order of time."""
+        try:
+            staged = self._staged(symbol, None)
+        except NoSuchVersionError:
+            if m is None:
+                raise
+            return m
+        base = staged[0][1]["schema"]
+        m = m or Manifest(-1, 0, staged[0][1]["index"], [base], base, [], sorted=staged[0][1]["index"] is not None)
+        blocks, forms, schema = [], list(m.forms), m.schema
+        for _, block in staged:
+            empty = self.spark.createDataFrame([], T.StructType.fromJson(block["schema"]))
+            schema, forms, form = self._fitting(symbol, replace_manifest(m, schema=schema, forms=forms), empty, block["index"])
+            forms = self._forms(m, forms, block["schema"], form)
+            blocks.append([replace(s, form=form) for s in S.from_json(block["segments"])])
+        blocks = sorted((b for b in blocks if b), key=lambda b: (b[0].start is None, b[0].start))
+        return replace_manifest(m, schema=schema, forms=forms, segments=S.numbered([*m.segments, *(s for b in blocks for s in b)]))
+
+    def write_partitioned(self, symbol: str, data: Any, by: str, index: str | None = None) -> dict[Any, VersionedItem]:
+        """A symbol ``symbol/value`` for each distinct value of a column of few values, without that column."""
+        df, index = S.as_frame(self.spark, data, index)
+        values = [r[0] for r in df.select(F.col(f"`{by}`")).distinct().orderBy(by).limit(MOST_PARTITIONS + 1).collect()]
+        if len(values) > MOST_PARTITIONS:
+            raise UserInputError(f"column {by} has more than {MOST_PARTITIONS} values")
+        out = {}
+        for v in values:
+            rows = df.filter(F.col(f"`{by}`").eqNullSafe(F.lit(v))).drop(by)
+            if ROW in rows.columns:
+                rows = ranges.positions(rows.withColumnRenamed(ROW, "__old"), ["__old"], ROW).drop("__old")
+            out[v] = self.write(f"{symbol}/{v}", rows, index=index)
+        return out
+
+    def export_file(self, symbol: str, uri: str, as_of: Any = None) -> None:
+        """A version as one Parquet file and its manifest, in a folder of their own."""
+        frame, m = self._frame(Request(symbol, as_of))
+        target = Folder(self.spark, uri)
+        frame.df.orderBy(ROW).coalesce(1).write.mode("overwrite").parquet(target.full("data"))
+        target.put("manifest.json", m.to_json())
+
+    def import_file(self, symbol: str, uri: str) -> VersionedItem:
+        """Writes what ``export_file`` has written as a new version."""
+        source = Folder(self.spark, uri)
+        m = Manifest.from_json(source.read("manifest.json"))
+        full = T.StructType([*m.struct().fields, T.StructField(ROW, T.LongType())])
+        rows = self.spark.read.schema(full).parquet(source.full("data"))
+        new = Manifest(0, 0, m.index, [m.schema], m.schema, self._write(symbol, rows, m.index), m.metadata, m.pickled, m.sorted)
+        return self._commit(symbol, new)
+
+    def explain_read(self, symbol: str, **options: Any) -> dict[str, Any]:
+        """What a read would open: segments and rows of the version and of the read, and its plan."""
+        request = Request(symbol, **options)
+        frame, m = self._frame(request)
+        opened = set(frame.df.inputFiles())
+        names = {f.rsplit("/", 1)[1] for f in opened}
+        own = [s for s in m.segments if s.path.rsplit("/", 1)[1] in names]
+        plan = frame.df._jdf.queryExecution().simpleString()
+        return {"segments": len(m.segments), "opened": len(own), "rows": m.rows, "opened_rows": sum(s.rows for s in own), "plan": plan}
+
     def _adopt(self, symbol: str, s: Segment) -> Segment:
         """Moves a staged segment to the symbol's data."""
         name = s.path.rsplit("/", 1)[1]
         to = f"{self.catalog.symbol(symbol)}/data/{uuid.uuid4().hex}/{name}"
-        at = s.path[s.path.index(f"/{self.catalog.symbol(symbol)}/staging/") + 1 :] if "%25" not in s.path else None
-        if at is None or not self.folder.rename(at, to):
-            at = f"{self.catalog.symbol(symbol)}/staging/" + s.path.split("/staging/", 1)[1]
-            if not self.folder.rename(at, to):
-                raise TidemarkError(f"cannot move {s.path}")
+        at = f"{self.catalog.symbol(symbol)}/staging/" + s.path.split("/staging/", 1)[1]
+        if not self.folder.rename(at, to):
+            raise TidemarkError(f"cannot move {s.path}")
         return replace(s, path=self.folder.full(to))
 
     # compaction and statistics

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
+from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,15 @@ class Segment:
     stats: dict[str, list] = field(default_factory=dict)
 
 
+#: Functions that turn objects of other types into frames, or return None; the latest registered is asked first.
+_NORMALIZERS: list[Callable[[Any], Any]] = []
+
+
+def register_normalizer(function: Callable[[Any], Any]) -> None:
+    """Lets writes accept further types: ``function`` makes a pandas, Arrow or Spark frame of an object, or returns None."""
+    _NORMALIZERS.insert(0, function)
+
+
 def as_frame(spark: SparkSession, data: Any, index: str | None) -> tuple[DataFrame, str | None]:
     """A Spark DataFrame of the input, and its index of times.
 
@@ -48,6 +60,13 @@ def as_frame(spark: SparkSession, data: Any, index: str | None) -> tuple[DataFra
         return K.without_nan(data), index
     if hasattr(data, "to_pandas") and not isinstance(data, (pd.DataFrame, pd.Series)):
         data = data.to_pandas()
+    if not isinstance(data, (pd.DataFrame, pd.Series)):
+        for normalize in _NORMALIZERS:
+            made = normalize(data)
+            if made is not None:
+                return as_frame(spark, made, index)
+    if isinstance(data, np.ndarray) and data.ndim <= 2:
+        data = pd.DataFrame(data).add_prefix("c") if data.ndim == 2 else pd.Series(data, name="value")
     if isinstance(data, pd.Series):
         data = data.to_frame(data.name or "value")
     if not isinstance(data, pd.DataFrame):
@@ -178,7 +197,7 @@ def described(spark: SparkSession, path: str, index: str | None, schema: T.Struc
     found = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(*measures).orderBy("lo").collect()  # a row per file
     first, out = 0, []
     for r in found:
-        out.append(Segment(r["f"], r["n"], first, r["lo"], r["t0"] if index else None, r["t1"] if index else None))
+        out.append(Segment(unquote(r["f"]), r["n"], first, r["lo"], r["t0"] if index else None, r["t1"] if index else None))
         first += r["n"]
     return out
 
