@@ -37,7 +37,9 @@ LEAST_DOCS = 4
 LEAST_Z = 4.0
 RIDGE = 0.02
 FAIRNESS = 1.0
-STEPS = 400
+STEPS = 800
+#: What a toxic document weighs against another one; toxic ones are rare.
+WEIGHT = 3.0
 THRESHOLD = 0.5
 #: Terms that name groups of people, by kind.
 IDENTITIES = [
@@ -109,7 +111,7 @@ def _learn(y: np.ndarray, text: np.ndarray, word: np.ndarray, n_words: int, swap
     first, second = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for step in range(1, STEPS + 1):
         z = b + np.bincount(text, w[word], minlength=n)
-        error = 1 / (1 + np.exp(-z)) - y
+        error = (1 / (1 + np.exp(-z)) - y) * np.where(y > 0, WEIGHT, 1.0)
         slope = np.bincount(word, error[text], minlength=n_words) / n + RIDGE * w / n_words
         for at, out, put in swaps:
             change = np.bincount(at, w[put] - w[out], minlength=n)[at] * 2 * FAIRNESS / len(at)
