@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids, a shard at a time, in numpy.
 
 Frequent pairs of neighbouring ids are replaced by nonterminals, over and over. A round replaces many
-pairs at once, the most frequent first where occurrences overlap; rules used only once are dropped.
+pairs at once, the more frequent first where occurrences overlap; rules used only once are dropped.
 Pairs never join two documents, so each document is a range of symbols of its own.
 """
 
@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tidemark.llm.words import ranges
+from tidemark.llm.words import mix, ranges
 
 #: A pair is worth a rule (two symbols and a length) from so many occurrences on.
 LEAST_USES = 4
-#: Rounds of replacement; later ones find few pairs.
-ROUNDS = 4
+#: Rounds of replacement go on while each makes the sequence shorter by this share, at most ROUNDS times.
+WORTH = 0.02
+ROUNDS = 24
 #: Symbols, ids and nonterminals together: they fit 16 bits where the vocabulary leaves room.
 NARROW = 1 << 16
 #: Nonterminals of a shard whose vocabulary leaves no such room.
@@ -28,13 +29,18 @@ _MAGIC = b"TRP1"
 
 
 def _chosen(keys: np.ndarray, room: int) -> np.ndarray:
-    """The most frequent keys, at most ``room`` of them, most frequent first."""
+    """The most frequent keys, at most ``room`` of them, in an order by classes of frequency and at random within one.
+
+    Of overlapping pairs the one that comes first is replaced; an order by exact counts would leave runs of
+    pairs, each a little less frequent than the one before it, with a single replacement.
+    """
     ordered = np.sort(keys)
     edges = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
     uses = np.diff(edges)
     often = np.flatnonzero(uses >= LEAST_USES)
     often = often[np.argsort(-uses[often], kind="stable")][:room]
-    return ordered[edges[often]]
+    pairs, classes = ordered[edges[often]], np.log2(uses[often]).astype(np.int64)
+    return pairs[np.lexsort((mix(pairs), -classes))]
 
 
 def compress(ids: np.ndarray, last: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,12 +80,15 @@ def compress(ids: np.ndarray, last: np.ndarray, n_ids: int) -> tuple[np.ndarray,
         last[where] = last[where + 1]
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
+        before = len(symbols)
         symbols, last = symbols[keep], last[keep]
         made = pairs[useful]
         made = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         rules.append(made)
         lengths.append(size_of[made].sum(axis=1, dtype=np.uint32))
         size_of = np.concatenate([size_of, lengths[-1]])
+        if len(symbols) > (1 - WORTH) * before:
+            break
     return np.concatenate(rules), np.concatenate(lengths), symbols
 
 
