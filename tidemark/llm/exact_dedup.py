@@ -19,7 +19,7 @@ from tidemark.llm.common import attach, fresh, quoted, written
 
 
 #: 64-bit words of the bitmap of repeated hashes; its broadcast is as large whatever the data.
-SIEVE_WORDS = 1 << 16
+SIEVE_WORDS = 1 << 18
 
 
 def content_hash(text: Column) -> Column:

@@ -99,7 +99,7 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _stored_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """``__key, __set`` of the nodes ``__key, __rep``: their texts are read again, others hardly."""
+    """``__key, __set`` of the nodes ``__key, __rep``, whose texts are read again: more than once where ids repeat."""
     wanted = nodes.select(F.xxhash64("__rep").alias("__hash")).distinct()
     near = sieved(docs.select("__id", "__text").withColumn("__hash", F.xxhash64("__id")), wanted)
     near = near.join(wanted, "__hash", "left_semi").select("__text")
@@ -110,7 +110,13 @@ def _stored_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
                 own = [s for s in sets(part["__text"], length) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["__key", "__set"])
 
-    return written(near.mapInArrow(run, "__key binary, __set binary").groupBy("__key").agg(F.first("__set").alias("__set")), "near-sets")
+    return written(near.mapInArrow(run, "__key binary, __set binary"), "near-sets")
+
+
+def _needed(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored sets but those that are surely not of ``keys`` (a column of keys)."""
+    wanted = keys.toDF("__hash").distinct()
+    return sieved(stored.withColumn("__hash", F.col("__key")), wanted).select("__key", "__set")
 
 
 def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
@@ -118,8 +124,8 @@ def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     loads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__load"))
     hot = loads.filter(hot_groups(loads, "__load")).select(F.col("b").alias("__hot"))  # at most HOT
     dealt = pairs.join(F.broadcast(hot), F.col("b") == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.expr(f"cast(pmod(xxhash64(a), {PARTS}) as int)"))).drop("__hot")
-    copies = stored.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1)))))
-    both = dealt.join(stored.select(F.col("__key").alias("a"), F.col("__set").alias("__a")), "a")
+    copies = _needed(stored, pairs.select("b")).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1)))))
+    both = dealt.join(_needed(stored, pairs.select("a")).select(F.col("__key").alias("a"), F.col("__set").alias("__a")), "a")
     both = both.join(copies.select(F.col("__key").alias("b"), "__part", F.col("__set").alias("__b")), ["b", "__part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +226,8 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     mixed = rooted.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"), F.count(F.lit(1)).alias("__load"))
     mixed = written(mixed.filter("__r1 <> __r2 and __load > 2").select("__hash", "__load"), "near-mixed")  # of two, the pair was compared
     left = attach(sieved(rooted, mixed), mixed, "__hash", "__load", spread).filter("__load is not null")
-    left = written(left.select("__key", "__root", "__n").distinct().join(stored, "__key"), "near-left")
+    left = written(left.select("__key", "__root", "__n").distinct(), "near-left")
+    left = written(left.join(_needed(stored, left.select("__key")), "__key"), "near-left-sets")
     pairs = written(_sharing_prefix(left, percent), "near-more-pairs")
     more = written(_confirmed(pairs, stored, percent), "near-more-links")
     if not more.isEmpty():
