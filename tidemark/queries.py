@@ -203,12 +203,16 @@ def _days(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
     return table(spark, sf_dir, "events").filter(F.dayofmonth("ts").between(first, last))
 
 
-def _history(spark: SparkSession, sf_dir: str) -> Library:
-    """Days 1-10 written, 11-20 appended, day 5 updated with its first half, days 8-9 deleted."""
+def _history(spark: SparkSession, sf_dir: str, verbs: int = 4) -> Library:
+    """Days 1-10 written, 11-20 appended, day 5 updated with every other row, days 8-9 deleted: the first of these verbs."""
     lib = _library(spark)
     lib.write("e", _days(spark, sf_dir, 1, 10), {"step": "write"}, index="ts")
     lib.append("e", _days(spark, sf_dir, 11, 20), {"step": "append"})
+    if verbs == 2:
+        return lib
     lib.update("e", _days(spark, sf_dir, 5, 5).withColumn("value", F.col("value") + 1000).filter("event_id % 2 = 0"), date_range=(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 23, 59, 59, 999999)))
+    if verbs == 3:
+        return lib
     lib.delete_data_in_range("e", (dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 9, 23, 59, 59, 999999)))
     return lib
 
@@ -218,12 +222,12 @@ DAY = "extract(day FROM ts)"
 
 @register("store_append", f"SELECT * FROM events WHERE {DAY} <= 20")
 def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e", as_of=1).data
+    return _history(spark, sf_dir, 2).read("e", as_of=1).data
 
 
 @register("store_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND ({DAY} <> 5 OR event_id % 2 = 0)")
 def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e", as_of=2).data
+    return _history(spark, sf_dir, 3).read("e", as_of=2).data
 
 
 @register("store_delete_range", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND {DAY} NOT IN (8, 9) AND ({DAY} <> 5 OR event_id % 2 = 0)")
@@ -238,7 +242,7 @@ def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("store_snapshot", f"SELECT * FROM events WHERE {DAY} <= 20")
 def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = _history(spark, sf_dir)
+    lib = _history(spark, sf_dir, 2)
     lib.snapshot("then", versions={"e": 1})
     lib.delete("e")
     return lib.read("e", as_of="then").data
@@ -255,18 +259,18 @@ def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("store_row_range", "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-21' ORDER BY ts, event_id LIMIT 1000 OFFSET 2500")
 def store_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e", as_of=1, row_range=(2500, 3500)).data
+    return _history(spark, sf_dir, 2).read("e", as_of=1, row_range=(2500, 3500)).data
 
 
 @register("store_head_tail", f"SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts LIMIT 7) UNION ALL SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts DESC LIMIT 9)")
 def store_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = _history(spark, sf_dir)
+    lib = _history(spark, sf_dir, 2)
     return lib.head("e", 7, as_of=1).data.unionByName(lib.tail("e", 9, as_of=1).data)
 
 
 @register("store_query", f"SELECT event_type, count(event_id) AS n, max(value) AS hi FROM events WHERE {DAY} BETWEEN 3 AND 12 AND value > 20 GROUP BY 1")
 def store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib, q = _history(spark, sf_dir), Query()
+    lib, q = _history(spark, sf_dir, 2), Query()
     lib.create_column_stats("e", ["value"], as_of=1)
     q = q[q["value"] > 20].groupby("event_type").agg({"n": ("event_id", "count"), "hi": ("value", "max")})
     return lib.read("e", as_of=1, date_range=(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 12, 23, 59, 59, 999999)), query=q).data

@@ -409,8 +409,9 @@ class Library:
         for f in df.schema.fields:
             if f.name != ROW:
                 K.kind_of(f)
+        placed = ROW in df.columns
         df = S.with_positions(df, index)
-        if index and validate_index:
+        if index and validate_index and placed:  # else they are in the index's order by now
             S.check_sorted(df, index)
         return df, index
 

@@ -193,10 +193,13 @@ def described(spark: SparkSession, path: str, index: str | None, schema: T.Struc
     rows = spark.read.schema(schema).parquet(path)
     measures = [F.count(F.lit(1)).alias("n"), F.min(ROW).alias("lo")]
     if index:
-        measures += [F.min(micros_of(index, rows)).alias("t0"), F.max(micros_of(index, rows)).alias("t1")]
+        t = micros_of(index, rows)
+        measures += [F.min(t).alias("t0"), F.max(t).alias("t1"), F.count(t).alias("timed")]
     found = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(*measures).orderBy("lo").collect()  # a row per file
     first, out = 0, []
     for r in found:
+        if index and r["timed"] != r["n"]:
+            raise UnsortedDataError(f"rows without a time in {index}")
         out.append(Segment(unquote(r["f"]), r["n"], first, r["lo"], r["t0"] if index else None, r["t1"] if index else None))
         first += r["n"]
     return out
