@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import attach, bounded_batches, fresh, hot_groups, quoted, written
+from tidemark.llm.common import attach, bounded_batches, fresh, hot_groups, quoted, spread_out, written
 from tidemark.llm.exact_dedup import sieved, without
 from tidemark.llm.graph import components
 from tidemark.llm.words import constants, mix, shingles, slices, words
@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 PERMUTATIONS = 144
 ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Bytes of a band's hash; bands that share one by chance cost a comparison.
+BAND_BYTES = 6
 #: Frequent shingles that are looked for before pairs are compared one by one, at most.
 FREQUENT = 1 << 16
 #: Parts over which the pairs of a much-linked centre are dealt.
@@ -63,8 +65,8 @@ class Signer:
         self.low, self.high = (constants(PERMUTATIONS, s).astype(np.uint32)[:, None] | np.uint32(1) for s in (101, 202))
         self.factor, self.salt = constants(ROWS, 303), constants(BANDS, 404)
 
-    def bands(self, own: np.ndarray) -> np.ndarray:
-        """A hash for each band of a non-empty set's signature."""
+    def bands(self, own: np.ndarray) -> bytes:
+        """A hash of BAND_BYTES for each band of a non-empty set's signature."""
         low, high = own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint32)
         least, most = None, None
         for at in range(0, len(own), 2048):
@@ -72,7 +74,8 @@ class Signer:
             a, b = values.min(axis=1), values.max(axis=1)
             least, most = (a, b) if least is None else (np.minimum(least, a), np.maximum(most, b))
         signature = np.stack([least, most], axis=1).reshape(BANDS, ROWS).astype(np.uint64)
-        return mix((signature * self.factor).sum(axis=1, dtype=np.uint64) + self.salt)
+        hashes = mix((signature * self.factor).sum(axis=1, dtype=np.uint64) + self.salt)
+        return hashes.astype("<u8").view(np.uint8).reshape(BANDS, 8)[:, :BAND_BYTES].tobytes()
 
 
 def _signed(docs: DataFrame, length: int) -> DataFrame:
@@ -84,7 +87,7 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
             for part in slices(batch, "__text"):
                 own = sets(part["__text"], length)
                 keys, n = [set_key(s) if len(s) else None for s in own], [len(s) for s in own]
-                bands = [signer.bands(s).tobytes() if len(s) else None for s in own]
+                bands = [signer.bands(s) if len(s) else None for s in own]
                 yield pa.RecordBatch.from_arrays([part["__id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())], ["__id", "__n", "__key", "__bands"])
 
     kind = docs.schema["__id"].dataType
@@ -93,8 +96,8 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``__hash`` (a band's, 8 bytes) and ``__key, __n`` of each node and band."""
-    band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> substring(__bands, 8 * i + 1, 8)))")
+    """``__hash`` (a band's) and ``__key, __n`` of each node and band."""
+    band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> substring(__bands, {BAND_BYTES} * i + 1, {BAND_BYTES})))")
     return nodes.select(band.alias("__hash"), "__key", "__n")
 
 
@@ -200,10 +203,10 @@ def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     """``__id, __n, __component`` of documents ``__id, __text``."""
     percent = round(100 * similarity)
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 128)  # a row may hold two long documents' sets
     signed = written(_signed(docs, length), "near-signed")
     nodes = signed.filter("__n > 0").groupBy("__key").agg(F.min("__id").alias("__rep"), F.first("__n").alias("__n"), F.first("__bands").alias("__bands"), F.count(F.lit(1)).alias("__size"))
-    nodes = written(nodes, "near-nodes")
+    nodes = written(spread_out(nodes, "__key"), "near-nodes")
     buckets = _buckets(nodes)
     full = written(buckets.groupBy("__hash").agg(F.count(F.lit(1)).alias("__load")).filter("__load > 1"), "near-buckets")
     spread = F.concat(F.encode(F.lit("row "), "UTF-8"), F.col("__key"))
