@@ -21,8 +21,8 @@ from tidemark.llm.words import is_blank, ranges, span_hashes, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps, about 40 bytes each; when there are as many, further ones are encoded each time.
-CACHED = 1_500_000
-_SLOTS_BITS = 22
+CACHED = 1_000_000
+_SLOTS_BITS = 21
 _PROBES = 8
 END = 0
 #: First bytes of UTF-8 white space beyond ASCII, and ASCII separators that some call white space.

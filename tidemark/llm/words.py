@@ -69,7 +69,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> list[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> list[pa.RecordBatch]:
     """The batch in parts with about ``most`` bytes of text each; a longer text has a part of its own."""
     out, at, held = [], 0, 0
     for i, n in enumerate(pc.binary_length(batch[column]).to_pylist()):
