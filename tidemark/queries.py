@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import shutil
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import where
 from tidemark.plans.query import Frame, Query, concat_frames, query_on
+from tidemark.sources.files import own_folder
 from tidemark.sources.library import Library, LibraryOptions, Request, Store, concat
 from tidemark.streaming.ingest import staging_sink
 
@@ -187,15 +186,7 @@ def concat_then_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, **options) -> Library:
     """A library for one query, in the shared folder if one is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tidemark-query-")
-        import atexit
-
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    import uuid
-
-    return Store(spark, f"{base}/{uuid.uuid4().hex}").create_library("lib", LibraryOptions(rows_per_segment=2000, **options))
+    return Store(spark, own_folder(spark, "tidemark-query-")).create_library("lib", LibraryOptions(rows_per_segment=2000, **options))
 
 
 def _days(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:

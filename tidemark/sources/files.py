@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from tidemark.errors import UserInputError
+
+
+def own_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder for this session: in the shared folder that ``spark.checkpoint.dir`` names, or, in a local session, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise UserInputError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
 
 class Folder:
     """Files below a root, by relative names."""

@@ -26,7 +26,7 @@ from tidemark.operators.concat import aligned
 from tidemark.operators.merge import check_strategy, merge
 from tidemark.plans.query import DateRange, Filter, Frame, Query, ROW, RowRange, concat_frames
 from tidemark.sources import segments as S
-from tidemark.sources.files import Folder
+from tidemark.sources.files import Folder, own_folder
 from tidemark.sources.manifest import Catalog, Manifest, VersionInfo, safe
 from tidemark.sources.pruning import may_match
 from tidemark.sources.segments import Segment
@@ -184,9 +184,7 @@ class Store:
     def __init__(self, spark: SparkSession, uri: str):
         scheme, sep, rest = uri.partition("://")
         if sep and scheme == "mem":
-            import tempfile
-
-            uri = tempfile.mkdtemp(prefix="tidemark-store-")
+            uri = own_folder(spark, "tidemark-store-")
         elif sep and scheme in SCHEMES:
             uri = f"{SCHEMES[scheme]}://{'/' if SCHEMES[scheme] == 'file' and not rest.startswith('/') else ''}{rest.partition('?')[0]}"
         elif sep and scheme == "mongodb":
