@@ -39,13 +39,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
     Spark knows its size from the files, so a join broadcasts it only under the session's threshold.
     """
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,11 +83,12 @@ def hot_groups(groups: DataFrame, size: str, least: int = 1000) -> Column:
     return F.col(size) >= max(least, total / HOT)
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Column, merge: bool = False) -> DataFrame:
     """Left join of ``rows`` with ``groups`` (one row per key) on ``key``, where few keys may hold most rows.
 
     At most HOT hot groups are broadcast. Their rows go through the other join under ``spread``,
-    which is even and equals no key, so no task gets a hot group.
+    which is even and equals no key, so no task gets a hot group. merge: the other join shuffles both sides
+    even if one is small now, for the same plan at every size.
     """
     values = [c for c in groups.columns if c != key]
     hot = hot_groups(groups, size)
@@ -95,7 +96,7 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: Colu
     many = groups.filter(~hot).select(F.col(key).alias("__cold_key"), *(F.col(c).alias(f"__cold_{c}") for c in values))
     is_hot = F.col(f"__hot_{size}").isNotNull()
     out = rows.join(F.broadcast(few), key, "left").withColumn("__dealt", F.when(is_hot, spread).otherwise(F.col(key)))
-    out = out.join(many, F.col("__dealt") == F.col("__cold_key"), "left")
+    out = out.join(many.hint("merge") if merge else many, F.col("__dealt") == F.col("__cold_key"), "left")
     for c in values:
         out = out.withColumn(c, F.when(is_hot, F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")))
     return out.drop("__dealt", "__cold_key", *(f"__{t}_{c}" for c in values for t in ("hot", "cold")))

@@ -105,7 +105,7 @@ def _stored_sets(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
     """``__key, __set`` of the nodes ``__key, __rep``, whose texts are read again: more than once where ids repeat."""
     wanted = nodes.select(F.xxhash64("__rep").alias("__hash")).distinct()
     near = sieved(docs.select("__id", "__text").withColumn("__hash", F.xxhash64("__id")), wanted)
-    near = near.join(wanted, "__hash", "left_semi").select("__text")
+    near = near.join(wanted.hint("merge"), "__hash", "left_semi").select("__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,8 +128,8 @@ def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     hot = loads.filter(hot_groups(loads, "__load")).select(F.col("b").alias("__hot"))  # at most HOT
     dealt = pairs.join(F.broadcast(hot), F.col("b") == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.expr(f"cast(pmod(xxhash64(a), {PARTS}) as int)"))).drop("__hot")
     copies = _needed(stored, pairs.select("b")).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1)))))
-    both = dealt.join(_needed(stored, pairs.select("a")).select(F.col("__key").alias("a"), F.col("__set").alias("__a")), "a")
-    both = both.join(copies.select(F.col("__key").alias("b"), "__part", F.col("__set").alias("__b")), ["b", "__part"])
+    both = dealt.join(_needed(stored, pairs.select("a")).select(F.col("__key").alias("a"), F.col("__set").alias("__a")).hint("merge"), "a")
+    both = both.join(copies.select(F.col("__key").alias("b"), "__part", F.col("__set").alias("__b")).hint("merge"), ["b", "__part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,16 +210,16 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     buckets = _buckets(nodes)
     full = written(buckets.groupBy("__hash").agg(F.count(F.lit(1)).alias("__load")).filter("__load > 1"), "near-buckets")
     spread = F.concat(F.encode(F.lit("row "), "UTF-8"), F.col("__key"))
-    members = attach(sieved(buckets, full), full, "__hash", "__load", spread).filter("__load is not null").select("__hash", "__key", "__n", "__load")
+    members = attach(sieved(buckets, full), full, "__hash", "__load", spread, merge=True).filter("__load is not null").select("__hash", "__key", "__n", "__load")
     members = written(members, "near-members")
     stored = _stored_sets(docs, nodes.join(members.select("__key").distinct(), "__key", "left_semi"), length)
 
     # each node with its bucket's centre
     # the one that shares most buckets with most others: of edited copies, the one that was edited least
     weights = members.groupBy("__key").agg(F.sum("__load").alias("__weight"))
-    mixed = members.join(weights, "__key").groupBy("__hash").agg(F.max("__load").alias("__load"), F.max(F.struct("__weight", "__key", "__n")).alias("__c"))
+    mixed = members.join(weights.hint("merge"), "__key").groupBy("__hash").agg(F.max("__load").alias("__load"), F.max(F.struct("__weight", "__key", "__n")).alias("__c"))
     mixed = written(mixed.select("__hash", "__load", F.col("__c.__key").alias("__centre"), F.col("__c.__n").alias("__m")), "near-centres")
-    pairs = attach(members.drop("__load"), mixed, "__hash", "__load", spread).filter("__key <> __centre")
+    pairs = attach(members.drop("__load"), mixed, "__hash", "__load", spread, merge=True).filter("__key <> __centre")
     pairs = pairs.filter(F.least("__n", "__m") * 100 >= F.greatest("__n", "__m") * percent)
     pairs = written(pairs.select(F.col("__key").alias("a"), F.col("__centre").alias("b")).distinct(), "near-pairs")
     links = written(_confirmed(pairs, stored, percent), "near-links")
@@ -230,7 +230,7 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     mixed = written(mixed.filter("__r1 <> __r2 and __load > 2").select("__hash", "__load"), "near-mixed")  # of two, the pair was compared
     left = attach(sieved(rooted, mixed), mixed, "__hash", "__load", spread).filter("__load is not null")
     left = written(left.select("__key", "__root", "__n").distinct(), "near-left")
-    left = written(left.join(_needed(stored, left.select("__key")), "__key"), "near-left-sets")
+    left = written(left.join(_needed(stored, left.select("__key")).hint("merge"), "__key"), "near-left-sets")
     pairs = written(_sharing_prefix(left, percent), "near-more-pairs")
     more = written(_confirmed(pairs, stored, percent), "near-more-links")
     if not more.isEmpty():
@@ -242,7 +242,7 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     named = owned.join(least, "__root").select("__key", "__size", "__component")
     named = written(named.select("__key", "__size", "__component"), "near-named")
     spread = F.encode(F.concat(F.lit("row "), F.sha2(F.concat_ws(" ", "__id", F.hex("__key")), 256)), "UTF-8")
-    out = attach(signed.drop("__bands"), named, "__key", "__size", spread)
+    out = attach(signed.drop("__bands"), named, "__key", "__size", spread, merge=True)
     return out.select("__id", "__n", F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__component")).alias("__component"))
 
 
