@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Documents handed to Python at a time; bounds a worker's memory where documents are long.
 BATCH_ROWS = 512
+#: Partitions whose light rows go to one file.
+FILES = 16
 #: A group is hot if it holds at least one in HOT of the rows of all groups, so there are at most HOT.
 HOT = 1000
 
@@ -39,11 +41,14 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, what: str, codec: str = "snappy", light: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
     Spark knows its size from the files, so a join broadcasts it only under the session's threshold.
+    light: few rows for the work that the session's partitions are meant for; FILES partitions share a file.
     """
+    if light:
+        df = df.coalesce(max(6, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FILES))
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

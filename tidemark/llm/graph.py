@@ -33,10 +33,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of the links ``a, b`` (binary) but the roots; the root is the smallest of its component."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links", light=True)
     before = None
     for _ in range(ROUNDS):
-        now = written(_star(written(_star(now, True), "large-star"), False), "small-star")
+        now = written(_star(written(_star(now, True), "large-star", light=True), False), "small-star", light=True)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

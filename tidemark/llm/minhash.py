@@ -191,8 +191,8 @@ def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
     rows = nodes.select("__key", "__root", "__n", "__set").mapInArrow(prefixes, "shingle long, __place long, __key binary, __root binary, __n long")
     rows = written(rows.withColumn("__hash", F.col("shingle")).drop("shingle"), "near-prefixes")
     shared = rows.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"))
-    shared = written(shared.filter("__r1 <> __r2").select("__hash"), "near-shared")
-    rows = written(sieved(rows, shared).join(shared, "__hash", "left_semi"), "near-sharing")
+    shared = written(shared.filter("__r1 <> __r2").select("__hash"), "near-shared", light=True)
+    rows = written(sieved(rows, shared).join(shared, "__hash", "left_semi"), "near-sharing", light=True)
     other = rows.select("__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"), F.col("__place").alias("__at"))
     least = f"cast(ceil({percent} * (__n + __m) / {100 + percent}) as long)"
     fit = F.expr(f"__key < b and __root <> __other and __place <= __n - {least} and __at <= __m - {least} and least(__n - __place, __m - __at) >= {least}")
@@ -218,7 +218,7 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     # the one that shares most buckets with most others: of edited copies, the one that was edited least
     weights = members.groupBy("__key").agg(F.sum("__load").alias("__weight"))
     mixed = members.join(weights.hint("merge"), "__key").groupBy("__hash").agg(F.max("__load").alias("__load"), F.max(F.struct("__weight", "__key", "__n")).alias("__c"))
-    mixed = written(mixed.select("__hash", "__load", F.col("__c.__key").alias("__centre"), F.col("__c.__n").alias("__m")), "near-centres")
+    mixed = written(mixed.select("__hash", "__load", F.col("__c.__key").alias("__centre"), F.col("__c.__n").alias("__m")), "near-centres", light=True)
     pairs = attach(members.drop("__load"), mixed, "__hash", "__load", spread, merge=True).filter("__key <> __centre")
     pairs = pairs.filter(F.least("__n", "__m") * 100 >= F.greatest("__n", "__m") * percent)
     pairs = written(pairs.select(F.col("__key").alias("a"), F.col("__centre").alias("b")).distinct(), "near-pairs")
@@ -227,11 +227,11 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     # what lies in one bucket but in several components
     rooted = written(_rooted(members.drop("__load"), roots), "near-rooted")
     mixed = rooted.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"), F.count(F.lit(1)).alias("__load"))
-    mixed = written(mixed.filter("__r1 <> __r2 and __load > 2").select("__hash", "__load"), "near-mixed")  # of two, the pair was compared
+    mixed = written(mixed.filter("__r1 <> __r2 and __load > 2").select("__hash", "__load"), "near-mixed", light=True)  # of two, the pair was compared
     left = attach(sieved(rooted, mixed), mixed, "__hash", "__load", spread).filter("__load is not null")
-    left = written(left.select("__key", "__root", "__n").distinct(), "near-left")
+    left = written(left.select("__key", "__root", "__n").distinct(), "near-left", light=True)
     left = written(left.join(_needed(stored, left.select("__key")).hint("merge"), "__key"), "near-left-sets")
-    pairs = written(_sharing_prefix(left, percent), "near-more-pairs")
+    pairs = written(_sharing_prefix(left, percent), "near-more-pairs", light=True)
     more = written(_confirmed(pairs, stored, percent), "near-more-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
@@ -240,7 +240,7 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     owned = _rooted(owned, roots)
     least = owned.groupBy("__root").agg(F.min("__rep").alias("__component"), F.sum("__size").alias("__all")).filter("__all > 1")
     named = owned.join(least, "__root").select("__key", "__size", "__component")
-    named = written(named.select("__key", "__size", "__component"), "near-named")
+    named = written(named.select("__key", "__size", "__component"), "near-named", light=True)
     spread = F.encode(F.concat(F.lit("row "), F.sha2(F.concat_ws(" ", "__id", F.hex("__key")), 256)), "UTF-8")
     out = attach(signed.drop("__bands"), named, "__key", "__size", spread, merge=True)
     return out.select("__id", "__n", F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__component")).alias("__component"))
@@ -258,7 +258,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = fresh(docs, *(f"__column_{i}" for i in range(len(docs.columns))))
     out = near_duplicates(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, length, similarity)
     name = F.sha2(F.coalesce(quoted(id_col).cast("string"), F.lit("none")), 256)
-    gone = written(out.filter(~F.col("kept")).select(name.alias("__hash")).distinct(), "near-dropped")
+    gone = written(out.filter(~F.col("kept")).select(name.alias("__hash")).distinct(), "near-dropped", light=True)
     held = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
     held = without(held, gone, F.sha2(F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("string"), F.lit("none")), 256))
     return held.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
