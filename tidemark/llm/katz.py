@@ -56,6 +56,15 @@ def pack_numbers(numbers: np.ndarray) -> bytes:
     return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """64-bit numbers, byte plane by byte plane."""
+    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
@@ -224,13 +233,12 @@ def _merge_counts(kinds: np.ndarray, which: np.ndarray, rows: list[dict]) -> tup
     first = np.zeros(len(which), np.int64)
     first[np.unique(which, return_index=True)[1]] = 1
     stats = [int(total.sum()), int((total > 0).sum()), *np.bincount(np.minimum(total, CUTOFF + 2), minlength=CUTOFF + 3).tolist()]
-    return _split(total[which] * 2 + first, rows, lambda v: v.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()), {"values": total.astype("<u8").tobytes(), "stats": stats}
+    return _split(total[which] * 2 + first, rows, pack_counts), {"values": pack_counts(total), "stats": stats}
 
 
 def _counts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts and who accounts, from all buckets' answers."""
-    planes = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).view("<u8").ravel() for p in parts]
-    both = np.concatenate([np.zeros(0, np.uint64), *planes]).astype(np.int64)
+    both = np.concatenate([np.zeros(0, np.int64), *map(unpack_counts, parts)])
     return both >> 1, (both & 1).astype(bool)
 
 
@@ -247,7 +255,7 @@ def _totals(answers: DataFrame) -> np.ndarray:
 @dataclass
 class Scored:
     """Scores of all documents, and the model's tables: a row per bucket of sorted ``keys`` and their ``values``
-    (counts of words and of bigrams, backoff weights of contexts)."""
+    (counts of words and of bigrams as ``unpack_counts`` reads them, backoff weights of contexts as doubles)."""
 
     scores: DataFrame
     words: DataFrame
@@ -263,14 +271,14 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
-    chunks = written(_chunks(rows), "lm-chunks")
+    chunks = written(_chunks(rows), "lm-chunks", "zstd")
     size = chunks.agg(F.sum(F.octet_length("tokens")) / 4).first()[0] or 0
     buckets = max(4, -(-int(size) // BUCKET))
 
     def ask_words(chunk: Chunk, _: dict) -> tuple[np.ndarray, list[np.ndarray]]:
         return chunk.words, [np.bincount(chunk.tokens[chunk.learnt_tokens()], minlength=len(chunk.words))]
 
-    about_words = written(_answer(_ask(chunks, None, ask_words, buckets, 1), "word", _merge_counts), "lm-words")
+    about_words = written(_answer(_ask(chunks, None, ask_words, buckets, 1), "word", _merge_counts), "lm-words", "zstd")
     n = _totals(about_words)
     texts = int(chunks.agg(F.sum("texts")).first()[0] or 0)
     kept = discounts(n[2:])
@@ -284,7 +292,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         keys, _, _, _, counts = chunk.pairs()
         return keys, [counts]
 
-    about_pairs = written(_answer(_ask(chunks, None, ask_pairs, buckets, 1), "pair", _merge_counts), "lm-pairs")
+    about_pairs = written(_answer(_ask(chunks, None, ask_pairs, buckets, 1), "pair", _merge_counts), "lm-pairs", "zstd")
     pair_kept = discounts(_totals(about_pairs)[2:])
 
     def context_counts(counts: np.ndarray) -> np.ndarray:
@@ -322,7 +330,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return answers, {"values": weight.astype("<f8").tobytes()}
 
     told = answered(about_words).union(answered(about_pairs))
-    about_contexts = written(_answer(_ask(chunks, told, ask_contexts, buckets, CUTOFF + 3), "context", merge_contexts), "lm-contexts")
+    about_contexts = written(_answer(_ask(chunks, told, ask_contexts, buckets, CUTOFF + 3), "context", merge_contexts), "lm-contexts", "zstd")
 
     schema = pa.schema([("id", pa.int64()), ("learnt", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
