@@ -190,6 +190,21 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicate(empty).count() == 0
 
 
+def test_near_deduplicate_decides_by_row(spark):
+    """Exactly one row of each component and all rows without words, whatever ids are null or repeat."""
+    df, rows = odd(spark)
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash.deduplicate(df, length=4).collect()), key=repr)
+    blank = [(i, t) for i, t, _ in rows if not plain_words(t)]
+    assert got == sorted([*blank, (3, "a"), *(rows[i][:2] for i in (6, 8, 9, 10, 11))], key=repr)
+
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    texts = [(1, near), (None, near + " u"), (None, "clean and unique words of a text"), (None, "other unique words of its own"), (7, near + " v"), (7, "a text that shares its id with a near copy"), (9, "twice the same words here"), (9, "twice the same words here"), (None, "never an id at all"), (None, "never an id at all"), (None, "Never  an ID at all")]
+    out = [tuple(r) for r in minhash.deduplicate(spark.createDataFrame(texts, "doc_id long, text string"), length=4).collect()]
+    never = [r for r in out if r in {texts[8], texts[10]}]
+    assert len(never) == 1
+    assert sorted(set(out) - set(never), key=repr) == sorted({texts[0], texts[2], texts[3], texts[5], texts[6]}, key=repr) and len(out) == 6
+
+
 def test_components_of_a_path(spark):
     n = 40
     order = list(range(n))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, fresh, quoted, written
+from tidemark.llm.common import attach, fresh, hot_groups, quoted, written
 
 
 #: 64-bit words of the bitmap of repeated hashes; its broadcast is as large whatever the data.
@@ -45,10 +45,26 @@ def in_groups(rows: DataFrame, groups: DataFrame, spread: Column) -> DataFrame:
     return attach(sieved(rows, groups), groups, "__hash", "__size", spread).select(*alone.columns).unionByName(alone)
 
 
+def row_name(row_id: Column, text: Column) -> Column:
+    """256 bits that name an id and a text together; rows share it if both are equal, a null id with a null id."""
+    own = F.sha2(F.coalesce(F.concat(F.lit("="), row_id.cast("string")), F.lit("")), 256)
+    return F.unhex(F.sha2(F.encode(F.concat(own, F.coalesce(text, F.lit(""))), "UTF-8"), 256))
+
+
 def without(rows: DataFrame, gone: DataFrame, hash_of: Column) -> DataFrame:
-    """The rows whose ``hash_of`` is not in ``gone`` (``__hash``, distinct); rows that the sieve leaves out aren't shuffled."""
+    """The rows whose ``hash_of`` is not in ``gone`` (``__hash, __size``); neither rows that the sieve leaves out nor those of hot groups are shuffled."""
     keyed = rows.withColumn("__hash", hash_of)
-    return sieved(keyed, gone, inside=False).unionByName(sieved(keyed, gone).join(gone, "__hash", "left_anti")).select(*rows.columns)
+    hot = gone.filter(hot_groups(gone, "__size")).select("__hash")
+    some = sieved(keyed, gone).join(F.broadcast(hot), "__hash", "left_anti").join(gone, "__hash", "left_anti")
+    return sieved(keyed, gone, inside=False).unionByName(some).select(*rows.columns)
+
+
+def one_of_each(rows: DataFrame, repeated: DataFrame, hash_of: Column) -> DataFrame:
+    """The rows, but one only of those that share a ``hash_of`` of ``repeated`` (``__hash, __size``): the first by all its columns."""
+    row = F.struct(*(quoted(c) for c in rows.columns))
+    some = sieved(rows.withColumn("__hash", hash_of), repeated)
+    ones = some.groupBy("__hash").agg(F.min_by(row, F.to_json(row)).alias("__row")).join(repeated, "__hash", "left_semi")
+    return without(rows, repeated, hash_of).unionByName(ones.select("__row.*"))
 
 
 def verdicts(docs: DataFrame, columns: list[Column], id_col: str = "doc_id", text_col: str = "text", hash_of=content_hash) -> DataFrame:

@@ -13,7 +13,8 @@ share one can be similar, and are compared. So no link between components is los
 Defined results: a null text is empty; documents without words have the empty set, which is linked with
 nothing. With fewer words than a shingle the whole sequence is the one shingle. Null ids are never a
 component's id unless it has no other. Rows that repeat an id are taken each for itself. An empty table
-gives an empty result.
+gives an empty result. Of a component ``deduplicate`` keeps exactly one row, whatever ids are null or repeat:
+one with the component's id, among these the least by a hash of id and text, then by all columns.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import attach, bounded_batches, fresh, hot_groups, quoted, spread_out, written
-from tidemark.llm.exact_dedup import sieved, without
+from tidemark.llm.exact_dedup import one_of_each, row_name, sieved, without
 from tidemark.llm.graph import components
 from tidemark.llm.words import constants, mix, shingles, slices, words
 
@@ -79,7 +80,8 @@ class Signer:
 
 
 def _signed(docs: DataFrame, length: int) -> DataFrame:
-    """``__id, __n, __key, __bands`` of documents ``__id, __text``."""
+    """``__id, __n, __key, __bands`` of documents ``__id, __text``, and ``__name`` if they have it."""
+    names = [c for c in docs.columns if c == "__name"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
@@ -88,11 +90,11 @@ def _signed(docs: DataFrame, length: int) -> DataFrame:
                 own = sets(part["__text"], length)
                 keys, n = [set_key(s) if len(s) else None for s in own], [len(s) for s in own]
                 bands = [signer.bands(s) if len(s) else None for s in own]
-                yield pa.RecordBatch.from_arrays([part["__id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary())], ["__id", "__n", "__key", "__bands"])
+                yield pa.RecordBatch.from_arrays([part["__id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.binary()), *(part[c] for c in names)], ["__id", "__n", "__key", "__bands", *names])
 
     kind = docs.schema["__id"].dataType
-    schema = T.StructType([T.StructField("__id", kind), T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__bands", T.BinaryType())])
-    return docs.select("__id", "__text").mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("__id", kind), T.StructField("__n", T.LongType()), T.StructField("__key", T.BinaryType()), T.StructField("__bands", T.BinaryType()), *(T.StructField(c, T.BinaryType()) for c in names)])
+    return docs.select("__id", "__text", *names).mapInArrow(run, schema)
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -200,8 +202,8 @@ def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("__key").alias("a"), "b").distinct()
 
 
-def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
-    """``__id, __n, __component`` of documents ``__id, __text``."""
+def _owned(docs: DataFrame, length: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Documents as signed, and the nodes ``__key, __rep, __size`` with the ``__root`` of their component."""
     percent = round(100 * similarity)
     bounded_batches(docs.sparkSession, 128)  # a row may hold two long documents' sets
     signed = written(_signed(docs, length), "near-signed")
@@ -236,8 +238,12 @@ def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    owned = nodes.select("__key", "__rep", "__size")
-    owned = _rooted(owned, roots)
+    return signed, _rooted(nodes.select("__key", "__rep", "__size"), roots)
+
+
+def linked(docs: DataFrame, length: int, similarity: float) -> DataFrame:
+    """``__id, __n, __component`` of documents ``__id, __text``."""
+    signed, owned = _owned(docs, length, similarity)
     least = owned.groupBy("__root").agg(F.min("__rep").alias("__component"), F.sum("__size").alias("__all")).filter("__all > 1")
     named = owned.join(least, "__root").select("__key", "__size", "__component")
     named = written(named.select("__key", "__size", "__component"), "near-named", light=True)
@@ -253,12 +259,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias(id_col), F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"), F.col("__id").eqNullSafe(F.col("__component")).alias("kept"))
 
 
+def _dropped(docs: DataFrame, length: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of documents ``__id, __text, __name``: the names (``__hash, __size``) of which no row stays, and those of which one of several stays.
+
+    Rows that share a name are one from the start, so none of this depends on how often a row repeats.
+    """
+    signed, owned = _owned(docs, length, similarity)
+    several = owned.groupBy("__root").agg(F.sum("__size").alias("__all")).filter("__all > 1").select("__root")
+    named = written(owned.join(several, "__root").select("__key", "__root", "__size"), "near-named", light=True)
+    rows = sieved(signed.filter("__n > 0").withColumn("__hash", F.col("__key")), named.select(F.col("__key").alias("__hash")))
+    rows = rows.groupBy("__name").agg(F.first("__id").alias("__id"), F.first("__key").alias("__key"), F.count(F.lit(1)).alias("__copies"))
+    spread = F.concat(F.encode(F.lit("row "), "UTF-8"), F.col("__name"))
+    rows = attach(rows, named, "__key", "__size", spread, merge=True).filter("__root is not null")
+    rows = written(rows.select("__name", "__id", "__root", "__copies"), "near-rows", light=True)
+    best = rows.groupBy("__root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__name")).alias("__best"))
+    best = written(best.select(F.col("__best.__name").alias("__hash")), "near-best", light=True)
+    rows = rows.select(F.col("__name").alias("__hash"), F.col("__copies").alias("__size"))
+    gone = written(rows.join(best, "__hash", "left_anti"), "near-dropped", light=True)
+    return gone, written(rows.filter("__size > 1").join(best, "__hash", "left_semi"), "near-repeated", light=True)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group, that with the smallest id, and all others, with the columns of ``docs``."""
+    """One row of each group, with the smallest id, and all other rows, with the columns of ``docs``."""
     names = fresh(docs, *(f"__column_{i}" for i in range(len(docs.columns))))
-    out = near_duplicates(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, length, similarity)
-    name = F.sha2(F.coalesce(quoted(id_col).cast("string"), F.lit("none")), 256)
-    gone = written(out.filter(~F.col("kept")).select(name.alias("__hash")).distinct(), "near-dropped", light=True)
+    name = row_name(quoted(id_col), quoted(text_col))
+    gone, repeated = _dropped(docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"), name.alias("__name")), length, similarity)
     held = docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    held = without(held, gone, F.sha2(F.coalesce(F.col(names[docs.columns.index(id_col)]).cast("string"), F.lit("none")), 256))
+    name = row_name(*(F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)))
+    held = without(held, gone, name)
+    if not repeated.isEmpty():
+        held = one_of_each(held, repeated, name)
     return held.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
