@@ -118,6 +118,14 @@ def test_exact_groups(spark):
     assert exact_dedup.groups_of(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_exact_deduplicate_keeps_one_row(spark):
+    """Exactly one row of each text, also where rows repeat whole or all ids of a group are null."""
+    df, rows = odd(spark)
+    df = df.unionByName(df.filter("doc_id is null or doc_id = 4")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("no id")).crossJoin(spark.range(3)).drop("id"))
+    texts = [r["text"] or "" for r in exact_dedup.deduplicate(df).collect()]
+    assert sorted(texts) == sorted({t or "" for _, t, _ in rows} | {"no id"})
+
+
 def test_collisions_are_told_apart(spark):
     """With a hash of one bit all groups hold several texts."""
     rng = random.Random(3)

@@ -6,8 +6,9 @@ rows, a second groups those rows by hash and bytes and so finds hashes that diff
 nearly all rows whose hash does not repeat, so few other texts are shuffled.
 
 Defined results: a null text equals the empty text. The row with the largest id stays; a null id is the
-smallest. Rows with the same id and text are one document and share the verdict. An empty table gives
-an empty result. Other columns are left alone, whatever their names.
+smallest. Rows with the same id and text are one document and share the verdict; ``deduplicate`` keeps
+exactly one row of each group, of such rows too. An empty table gives an empty result. Other columns are
+left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,8 +108,12 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with the columns of ``docs``."""
+    """One row of each group, with the columns of ``docs``; of rows that share id and text the first by all columns."""
     names = fresh(docs, *(f"__column_{i}" for i in range(len(docs.columns))))
+    repeated = docs.select(row_name(quoted(id_col), quoted(text_col)).alias("__hash")).groupBy("__hash").agg(F.count(F.lit(1)).alias("__size"))
+    repeated = written(repeated.filter("__size > 1"), "dedup-repeated", light=True)
     out = verdicts(docs, [quoted(c).alias(n) for c, n in zip(docs.columns, names, strict=True)], id_col, text_col)
-    out = out.filter(F.col("__id").eqNullSafe(F.col("__keep")))
+    out = out.filter(F.col("__id").eqNullSafe(F.col("__keep"))).select(*names)
+    if not repeated.isEmpty():
+        out = one_of_each(out, repeated, row_name(*(F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))))
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
