@@ -194,11 +194,23 @@ def _days(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
     return table(spark, sf_dir, "events").filter(F.dayofmonth("ts").between(first, last))
 
 
+def _between(spark: SparkSession, sf_dir: str, first: int | None, last: int | None) -> DataFrame:
+    """Events from the start of a day of January 2024 to the end of another, in order of time; None: without that end."""
+    df = table(spark, sf_dir, "events")
+    df = df if first is None else df.filter(F.col("ts") >= F.lit(dt.date(2024, 1, first)))
+    return df if last is None else df.filter(F.col("ts") < F.lit(dt.date(2024, 1, last + 1)))
+
+
+def _until(day: int) -> tuple[None, dt.datetime]:
+    """The range of time that ends with a day of January 2024, for reads of what the SQL asks for."""
+    return None, dt.datetime(2024, 1, day, 23, 59, 59, 999999)
+
+
 def _history(spark: SparkSession, sf_dir: str, verbs: int = 4) -> Library:
-    """Days 1-10 written, 11-20 appended, day 5 updated with every other row, days 8-9 deleted: the first of these verbs."""
+    """Events to day 10 written, all later ones appended, day 5 updated with every other row, days 8-9 deleted: the first of these verbs."""
     lib = _library(spark)
-    lib.write("e", _days(spark, sf_dir, 1, 10), {"step": "write"}, index="ts")
-    lib.append("e", _days(spark, sf_dir, 11, 20), {"step": "append"})
+    lib.write("e", _between(spark, sf_dir, None, 10), {"step": "write"}, index="ts")
+    lib.append("e", _between(spark, sf_dir, 11, None), {"step": "append"})
     if verbs == 2:
         return lib
     lib.update("e", _days(spark, sf_dir, 5, 5).withColumn("value", F.col("value") + 1000).filter("event_id % 2 = 0"), date_range=(dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 23, 59, 59, 999999)))
@@ -213,17 +225,17 @@ DAY = "extract(day FROM ts)"
 
 @register("store_append", f"SELECT * FROM events WHERE {DAY} <= 20")
 def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, 2).read("e", as_of=1).data
+    return _history(spark, sf_dir, 2).read("e", as_of=1, date_range=_until(20)).data
 
 
 @register("store_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND ({DAY} <> 5 OR event_id % 2 = 0)")
 def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, 3).read("e", as_of=2).data
+    return _history(spark, sf_dir, 3).read("e", as_of=2, date_range=_until(20)).data
 
 
 @register("store_delete_range", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND {DAY} NOT IN (8, 9) AND ({DAY} <> 5 OR event_id % 2 = 0)")
 def store_delete_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e").data
+    return _history(spark, sf_dir).read("e", date_range=_until(20)).data
 
 
 @register("store_as_of", f"SELECT event_id, value FROM events WHERE {DAY} <= 10")
@@ -236,16 +248,16 @@ def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _history(spark, sf_dir, 2)
     lib.snapshot("then", versions={"e": 1})
     lib.delete("e")
-    return lib.read("e", as_of="then").data
+    return lib.read("e", as_of="then", date_range=_until(20)).data
 
 
 @register("store_compact", f"SELECT * FROM events WHERE {DAY} <= 20")
 def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
-    for first in range(1, 20, 4):
-        lib.append("e", _days(spark, sf_dir, first, first + 3), index="ts")
+    for first, last in ((None, 4), (5, 8), (9, 12), (13, 16), (17, 20), (21, None)):
+        lib.append("e", _between(spark, sf_dir, first, last), index="ts")
     lib.compact_data("e", 100000)
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(20)).data
 
 
 @register("store_row_range", "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-21' ORDER BY ts, event_id LIMIT 1000 OFFSET 2500")
@@ -255,7 +267,10 @@ def store_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("store_head_tail", f"SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts LIMIT 7) UNION ALL SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts DESC LIMIT 9)")
 def store_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = _history(spark, sf_dir, 2)
+    lib = _library(spark)
+    lib.write("e", _between(spark, sf_dir, None, 10), index="ts")
+    lib.append("e", _between(spark, sf_dir, 11, 20))
+    lib.append("e", _between(spark, sf_dir, 21, None))
     return lib.head("e", 7, as_of=1).data.unionByName(lib.tail("e", 9, as_of=1).data)
 
 
@@ -270,60 +285,61 @@ def store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("store_merge_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 3 = 0 AND {DAY} BETWEEN 2 AND 4 THEN -value ELSE value END AS value, props FROM events WHERE {DAY} <= 10")
 def store_merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
-    lib.write("e", _days(spark, sf_dir, 1, 10), index="ts")
+    lib.write("e", table(spark, sf_dir, "events"), index="ts")
     lib.merge("e", _days(spark, sf_dir, 2, 4).filter("event_id % 3 = 0").withColumn("value", -F.col("value")), ("update", "do_nothing"), on=["event_id"])
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(10)).data
 
 
 @register("store_merge_insert", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 4 THEN -value ELSE value END AS value, props FROM events WHERE {DAY} <= 10")
 def store_merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
-    lib.write("e", _days(spark, sf_dir, 1, 10).filter("event_id % 5 <> 0 or dayofmonth(ts) <> 4"), index="ts")
+    lib.write("e", table(spark, sf_dir, "events").filter("event_id % 5 <> 0 or dayofmonth(ts) <> 4"), index="ts")
     lib.merge("e", _days(spark, sf_dir, 4, 4).withColumn("value", -F.col("value")), ("update", "insert"), on=["event_id"])
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(10)).data
 
 
 @register("store_dynamic_schema", f"SELECT event_id::DOUBLE AS event_id, ts, value, CASE WHEN {DAY} > 10 THEN event_type END AS event_type, CASE WHEN {DAY} <= 10 THEN user_id END AS user_id FROM events WHERE {DAY} <= 20")
 def store_dynamic_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark, dynamic_schema=True)
-    lib.write("e", _days(spark, sf_dir, 1, 10).select("event_id", "ts", "value", "user_id"), index="ts")
-    lib.append("e", _days(spark, sf_dir, 11, 20).select(F.col("event_id").cast("double").alias("event_id"), "ts", "value", "event_type"), index="ts")
-    return lib.read("e").data
+    lib.write("e", _between(spark, sf_dir, None, 10).select("event_id", "ts", "value", "user_id"), index="ts")
+    lib.append("e", _between(spark, sf_dir, 11, None).select(F.col("event_id").cast("double").alias("event_id"), "ts", "value", "event_type"), index="ts")
+    return lib.read("e", date_range=_until(20)).data
 
 
 @register("store_stage_finalize", f"SELECT * FROM events WHERE {DAY} <= 12")
 def store_stage_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
-    lib.write("e", _days(spark, sf_dir, 1, 3), index="ts")
-    for first in (10, 4, 7):
-        lib.stage("e", _days(spark, sf_dir, first, first + 2), index="ts")
+    lib.write("e", _between(spark, sf_dir, None, 3), index="ts")
+    for first, last in ((10, 12), (13, None), (4, 6), (7, 9)):
+        lib.stage("e", _between(spark, sf_dir, first, last), index="ts")
     lib.finalize_staged_data("e", "append")
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(12)).data
 
 
 @register("store_sort_finalize", f"SELECT * FROM events WHERE {DAY} <= 12")
 def store_sort_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     for rest in (2, 0, 1):
-        lib.stage("e", _days(spark, sf_dir, 1, 12).filter(f"event_id % 3 = {rest}"), index="ts", sort_on_index=True)
+        lib.stage("e", table(spark, sf_dir, "events").filter(f"event_id % 3 = {rest}"), index="ts", sort_on_index=True)
     lib.sort_and_finalize_staged_data("e")
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(12)).data
 
 
 @register("store_batch_join", f"WITH e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE {DAY} <= 12) SELECT make_timestamp((t - t % {D_US})::BIGINT) AS ts, count(event_id) AS n, arg_min(event_type, t) AS f FROM e GROUP BY t - t % {D_US}")
 def store_batch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
-    lib.write_batch({f"s{i}": _days(spark, sf_dir, i, i + 3) for i in (1, 5, 9)}, index="ts")
-    lazy = concat(lib.read_batch([Request(f"s{i}") for i in (1, 5, 9)], lazy=True))
+    parts = {"s1": (None, 4), "s5": (5, 8), "s9": (9, 12), "s13": (13, None)}
+    lib.write_batch({s: _between(spark, sf_dir, *days) for s, days in parts.items()}, index="ts")
+    lazy = concat(lib.read_batch([Request(s, date_range=_until(12)) for s in parts], lazy=True))
     return lazy.resample("1D").agg({"n": ("event_id", "count"), "f": ("event_type", "first")}).collect().data
 
 
 @register("store_read_modify_write", f"SELECT event_id, ts, value * 2 AS twice FROM events WHERE {DAY} <= 5 AND event_type = 'view'")
 def store_read_modify_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib, q = _library(spark), Query()
-    lib.write("e", _days(spark, sf_dir, 1, 5), index="ts")
+    lib.write("e", table(spark, sf_dir, "events"), index="ts")
     lib.read_modify_write("e", q[q["event_type"] == "view"].apply("twice", q["value"] * 2), "f")
-    return lib.read("f", columns=["event_id", "twice"]).data.select("event_id", "ts", "twice")
+    return lib.read("f", date_range=_until(5), columns=["event_id", "twice"]).data.select("event_id", "ts", "twice")
 
 
 @register("store_restore", f"SELECT * FROM events WHERE {DAY} <= 10")
@@ -338,12 +354,12 @@ def store_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     source = lib.folder.full("incoming")
-    for i in range(3):
-        _days(spark, sf_dir, 2 * i + 1, 2 * i + 2).write.mode("append").parquet(source)
+    for first, last in ((None, 10), (11, 20), (21, None)):
+        _between(spark, sf_dir, first, last).write.mode("append").parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
     staging_sink(stream, lib, "e", lib.folder.full("progress"), index="ts").trigger(availableNow=True).start().awaitTermination()
     lib.sort_and_finalize_staged_data("e")
-    return lib.read("e").data
+    return lib.read("e", date_range=_until(6)).data
 
 
 FLAGSHIP = "resample_after_filter"
