@@ -2,8 +2,9 @@
 
 A byte-level BPE first cuts a text into words, and a blank before a visible character always opens one.
 So a text is cut there, equal pieces are found by hashes in numpy, and each is encoded once as long as a
-worker keeps it. The ids are those that the library gives for the whole text. Tokenizers of other kinds
-encode whole texts.
+worker keeps it. The ids are those that the library gives for the whole text with encode_special_tokens,
+so that names of special tokens are ordinary text, which is not its default. Tokenizers of other kinds encode
+whole texts.
 """
 
 from __future__ import annotations
