@@ -280,7 +280,7 @@ def brute_top(rows, k, scale=64):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [7, 8192])
+@pytest.mark.parametrize("block", [7, 40, None])
 def test_top_k(spark, block):
     rng = random.Random(4)
     centres = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(3)]
@@ -292,25 +292,29 @@ def test_top_k(spark, block):
     assert got == brute_top(rows, 6)
 
 
+def walk(tree, data, at=0):
+    rows = tree.of(at)
+    assert (np.sqrt(((data[rows] - tree.centre[at]) ** 2).sum(axis=1)) <= tree.radius[at] + 1e-9).all()
+    below = tree.below(np.array([at]))
+    if len(below):
+        assert np.concatenate([tree.of(c) for c in below]).tolist() == rows.tolist()
+        centres = tree.centre[below]
+        apart = min(np.sqrt(((a - b) ** 2).sum()) for i, a in enumerate(centres) for b in centres[:i])
+        assert (tree.radius[below] <= apart + 1e-9).all()
+    else:
+        assert len(rows) <= topk.LEAF or tree.radius[at] == 0
+    return 1 + sum(walk(tree, data, c) for c in below)
+
+
 def test_top_k_prunes_and_is_exact_when_large():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 400, (12, 8))
     data = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(0, 3, (2400, 8)))
     tree = topk.cover_tree(data)
-
-    def walk(node):
-        assert (np.sqrt(((data[node.rows] - node.centre) ** 2).sum(axis=1)) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
-        return 1 + sum(map(walk, node.children))
-
-    assert walk(tree) > 6
-    seen = []
+    assert walk(tree, data) > 24 and topk.depth(tree) > 2
     search = topk.Search(np.arange(100), data[:100], np.arange(2400), data, 5)
-    meet = search._meet
-    search._meet = lambda a, b: (seen.append(len(a) * len(b)), meet(a, b))
     search.run()
-    assert sum(seen) < 0.6 * 100 * 2400
+    assert search.products < 0.2 * 100 * 2400
     for i in range(100):
         s = data @ data[i]
         s[i] = -np.inf
@@ -318,7 +322,40 @@ def test_top_k_prunes_and_is_exact_when_large():
     huge = np.array([[3e15, 1.0], [3e15, 2.0], [-3e15, 5.0]])
     exact = topk.Search(np.array([0]), huge[:1], np.array([0, 1, 2]), huge, 2)
     exact.run()
-    assert [int(s) for s in exact.score[0]] == [(1 << 63) - 1, -(1 << 63)]
+    assert exact.score[0].tolist() == [(1 << 63) - 1, -(1 << 63)]
+    same = topk.cover_tree(np.ones((300, 4)))
+    assert same.radius[0] == 0 and not same.children[0]
+
+
+def test_top_k_on_embeddings():
+    """The driver's vectors have no structure: the tree has levels, but hardly a product can be left out. Clusters of them can."""
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = np.floor(64 * np.stack(table["embedding"]).astype(float))
+    tree = topk.cover_tree(data)
+    assert walk(tree, data) > 20 and topk.depth(tree) > 1
+    search = topk.Search(np.arange(0, len(data), 20), data[::20], np.arange(len(data)), data, 20)
+    search.run()
+    assert search.products < 1.05 * len(data) * len(data[::20])
+    rng = np.random.default_rng(2)
+    near = np.floor(np.repeat(data[:50], 40, axis=0) + rng.normal(0, 0.5, (2000, 64)))
+    search = topk.Search(np.arange(0, 2000, 20), near[::20], np.arange(2000), near, 20)
+    search.run()
+    assert search.products < 0.35 * 2000 * 100
+    known = np.sort(near[::20] @ near.T, axis=1)[:, -21].astype(float)
+    again = topk.Search(np.arange(0, 2000, 20), near[::20], np.arange(2000), near, 20, known)
+    again.run()
+    assert again.products <= search.products and (again.id[again.n == 20] == search.id[again.n == 20]).all()
+
+
+def test_vectors_keep_their_size(spark):
+    """Components beyond 2**53 are whole numbers still, and count in full."""
+    rows = [(0, [1e300, 1.0]), (20, [2.0**60, 1.0]), (1, [2.0**60 + 2.0**9, 0.0]), (2, [2.0**60, 0.0]), (3, [-1e300, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 5, scale=1.0).collect()
+    most, least = (1 << 63) - 1, -(1 << 63)
+    assert sorted(map(tuple, got)) == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 20, most), (0, 4, 3, least), (20, 1, 0, most), (20, 2, 1, most), (20, 3, 2, most), (20, 4, 3, least)]
+    small = [(0, [3.0]), (0, [3.0]), (5, [1.0]), (5, [1.0]), (None, [9.0]), (20, [2.0])]
+    got = topk.top_k(spark.createDataFrame(small, "vec_id string, embedding array<double>".replace("string", "long")), F.col("id") % 20 == 0, 2, scale=1.0, block=1, centres=3).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 20, 6), (0, 2, 5, 3), (20, 1, 0, 6), (20, 2, 0, 6)]
 
 
 def test_top_k_of_nothing(spark):
