@@ -298,8 +298,8 @@ def _matrix(vectors: list[bytes], width: int = 0) -> np.ndarray:
     return out
 
 
-def _dealt(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """The rows with the number of their nearest centre, how far they are from it, and their length."""
+def _dealt(rows: DataFrame, centres: np.ndarray, few: int) -> DataFrame:
+    """The rows with the number of their nearest centre and how far they are from it, their length, and as queries the nearest of the first ``few``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,14 +309,18 @@ def _dealt(rows: DataFrame, centres: np.ndarray) -> DataFrame:
                 own, middle = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (own, centres))
                 best, apart = np.zeros(len(own), np.int32), np.full(len(own), np.inf)
                 for i, c in enumerate(middle):
+                    if i == few:
+                        asked, asked_apart = best.copy(), apart.copy()
                     far = _far(own, c)
                     nearer = far < apart
                     best[nearer], apart[nearer] = i, far[nearer]
+                if few >= len(middle):
+                    asked, asked_apart = best, apart
                 with np.errstate(over="ignore"):
                     size = np.sqrt(np.einsum("ij,ij->i", own, own))
-                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], pa.array(best), pa.array(apart), pa.array(size)], ["id", "vector", "centre", "apart", "size"])
+                yield pa.RecordBatch.from_arrays([part["id"], part["vector"], *map(pa.array, (best, apart, size, asked, asked_apart))], ["id", "vector", "centre", "apart", "size", "asked", "asked_apart"])
 
-    return rows.mapInArrow(run, "id long, vector binary, centre int, apart double, size double")
+    return rows.mapInArrow(run, "id long, vector binary, centre int, apart double, size double, asked int, asked_apart double")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int | None = None, centres: int = CENTRES) -> DataFrame:
@@ -328,14 +332,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_
     bounded_batches(spark, 4096)
     packed = _packed(vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("vector")), scale)
     rows = written(packed.withColumn("hash", F.xxhash64("id", "vector")), "vectors")
-    n = rows.count()
+    n, n_queries = rows.count(), rows.filter(is_query).count()
     sample = rows.orderBy("hash", "id").limit(SAMPLE).select("vector").collect()  # at most SAMPLE
     block = block or max(LEAST_BLOCK, min(BLOCK, -(-n // DEAL)))
     middle = _matrix([bytes(r[0]) for r in sample])
     if len(middle):
         middle = middle[net(middle, max(1, min(centres, -(-n // block))))[0]]
-    dealt = written(_dealt(rows.select("id", "vector"), middle).withColumns({"hash": F.xxhash64("id", "vector"), "query": F.coalesce(is_query, F.lit(False))}), "vectors-dealt")
-    queries = dealt.filter("query").select("id", "vector", "centre", "apart", "hash").distinct()
+    # queries are few: they are dealt to as many centres as they fill blocks, so that no row is copied for a small block
+    dealt = written(_dealt(rows.select("id", "vector"), middle, -(-n_queries // block)).withColumns({"hash": F.xxhash64("id", "vector"), "query": F.coalesce(is_query, F.lit(False))}), "vectors-dealt")
+    queries = dealt.filter("query").select("id", "vector", F.col("asked").alias("centre"), F.col("asked_apart").alias("apart"), "hash").distinct()
 
     # at most ``centres`` rows each
     about = {r[0]: r[1:] for r in dealt.groupBy("centre").agg(F.count(F.lit(1)), F.max("apart"), F.max("size")).collect()}
