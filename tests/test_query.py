@@ -214,3 +214,79 @@ def test_resample_spec_checks():
         Resample.of("1h", closed="both")
     with pytest.raises(UserInputError):
         Query().date_range((None, None)).resample("1h", origin="end")
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters: ") :].split("\n")[0]
+
+
+def test_pushdown_of_floats(spark, tmp_path):
+    rows = [(float(i), float(i) / 10, i) for i in range(10)] + [(float("nan"), float("nan"), 10), (None, None, 11)]
+    spark.createDataFrame(rows, "d double, f float, i int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for condition, told, want in [
+        (Q["d"] > 7.5, "GreaterThan(d,7.5)", [8, 9]),
+        (8 < Q["d"], "GreaterThan(d,8.0)", [9]),
+        (Q["d"] <= 1, "LessThanOrEqual(d,1.0)", [0, 1]),
+        (Q["d"] == 3, "EqualTo(d,3.0)", [3]),
+        (Q["d"].isin([1.0, 2.0]), "In(d, [1.0,2.0])", [1, 2]),
+        (Q["f"] >= 0.8, "GreaterThanOrEqual(f,0.8)", [8, 9]),
+        (Q["f"] < 0.25, "LessThanOrEqual(f,0.25)|LessThan(f,0.25)", [0, 1, 2]),
+        (Q["f"] > 0.2, "GreaterThanOrEqual(f,0.2)", [2, 3, 4, 5, 6, 7, 8, 9]),
+        (Q["f"] == 0.5, "EqualTo(f,0.5)", [5]),
+        (Q["f"].isin([0.5, 0.1]), "EqualTo(f,0.5)|In(f", [5]),
+    ]:
+        out = query_on(df, Q[condition])
+        assert any(t in pushed(out) for t in told.split("|")), (told, pushed(out))
+        assert ids(out) == want, told
+    for condition, want in [(Q["f"] == 0.1, []), (Q["f"] != 0.1, list(range(12))), (Q["d"] == Q["d"], list(range(10))), (Q["d"] >= Q["f"], list(range(10))), (Q["f"] < Q["d"], list(range(1, 10))), (Q["d"] > float("nan"), []), (Q["d"] != float("nan"), list(range(12))), (Q["d"].isin([float("nan")]), []), (Q["d"] + 1 > 9, [9]), (~(Q["d"] > 1), [0, 1, 10, 11]), (Q["d"].isnull(), [10, 11]), (Q["d"].notnull(), list(range(10))), (~Q["d"].isnull(), list(range(10)))]:
+        assert ids(query_on(df, Q[condition])) == want
+    out = query_on(df, Q[Q["i"] > 8])
+    assert [r["d"] for r in sorted(out.collect(), key=lambda r: r["i"])] == [9.0, None, None]
+
+
+def test_pushdown_of_registered_queries(spark):
+    from tidemark.queries import QUERIES
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    told = pushed(QUERIES["filter_compare"](spark, "/root/testdata/sf0.001"))
+    for part in ("GreaterThan(l_quantity,10.0)", "LessThanOrEqual(l_quantity,30.0)", "GreaterThanOrEqual(l_discount,0.05)", "LessThan(l_tax,0.06)"):
+        assert part in told
+    assert "GreaterThan(l_quantity,20.0)" in pushed(QUERIES["pipeline_filter_project_group"](spark, "/root/testdata/sf0.001"))
+
+
+def test_powers_are_exact(spark):
+    df = spark.createDataFrame([(3, 39), (-2, 63), (2, 62), (-1, 255), (0, 0), (0, 200), (1, 255), (None, 3), (5, None), (-3, 2)], "a long, u short")
+    df = df.select("a", F.col("u").alias("u", metadata={K.KEY: "uint8"}))
+    got = [r["p"] for r in query_on(df, Q.apply("p", Q["a"] ** Q["u"])).collect()]
+    assert got == [3**39, -(2**63), 2**62, -1, 1, 0, 1, None, None, 9]
+    one = df.filter("a = 3")
+    assert query_on(one, Q.apply("p", Q["a"] ** np.uint8(39))).first()["p"] == 3**39
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        query_on(one, Q.apply("p", Q["a"] ** np.uint8(40))).collect()
+
+
+@pytest.mark.parametrize("keys", ["strings", "one time", "two times"])
+def test_positions_without_a_hot_task(spark, tmp_path, keys):
+    """Ranges of rows are written by several tasks even where all keys are equal."""
+    from tidemark.operators import ranges
+
+    n = 40_000
+    key = {"strings": F.format_string("k%06d", "id"), "one time": F.lit(dt.datetime(2024, 1, 1)), "two times": F.timestamp_seconds(F.col("id") % 2)}[keys]
+    df = spark.range(0, n, 1, 4).select(key.alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files, total = ranges._in_files(df, ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert total == n and max(rows for _, _, rows in files) < n / 2
+    got = query_on(df, Q.row_range((n // 2, n // 2 + 3)), order=["k"]).collect()
+    want = {"strings": [n // 2 + i for i in range(3)], "one time": [n // 2 + i for i in range(3)], "two times": [2 * i + 1 for i in range(3)]}[keys]
+    assert sorted(r["v"] for r in got) == want
+
+
+def test_concat_is_not_ordered_for_nothing(spark):
+    df = spark.range(10).select(F.col("id").alias("k"))
+    out = Q.concat().groupby("k").agg({"n": ("k", "count")}).run_many([Frame(df, None, ("k",)), Frame(df, None, ("k",))])
+    assert {r["n"] for r in out.df.collect()} == {2} and "row_index" not in out.df._jdf.queryExecution().analyzed().toString()

@@ -30,7 +30,7 @@ def days(first, last, value=0, name="v"):
 
 
 def rows(item):
-    return [((r["t"].replace(tzinfo=None) - DAY.to_pydatetime()).days, r["v"]) for r in item.data.collect()]
+    return [((r["t"].replace(tzinfo=None) - DAY.to_pydatetime()).days, r["v"]) for r in item.in_order.collect()]
 
 
 def test_libraries(store):
@@ -47,10 +47,10 @@ def test_libraries(store):
 def test_types_round_trip(lib):
     data = pd.DataFrame({f"c{t}": np.array([0, 1, np.iinfo(t).max], t) for t in ("u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8")} | {"f": np.array([1.5, np.nan, -1], "f4"), "d": [1.0, np.nan, 2.0], "s": ["a", None, "ü"], "b": [True, False, True], "t": pd.to_datetime(["2024-01-01", None, "1969-12-31"])})
     lib.write("x", data)
-    out = lib.read("x").data.collect()
+    out = lib.read("x").in_order.collect()
     assert [int(r["cu8"]) for r in out] == [0, 1, 2**64 - 1] and [r["d"] for r in out] == [1.0, None, 2.0] and [r["s"] for r in out] == ["a", None, "ü"]
     assert dict(lib.get_description("x").columns)["cu4"] == "uint32"
-    assert [r["cu8"] for r in lib.read("x", query=Query()[Query()["cu8"] == 2**64 - 1]).data.collect()] == [2**64 - 1]
+    assert [r["cu8"] for r in lib.read("x", query=Query()[Query()["cu8"] == 2**64 - 1]).in_order.collect()] == [2**64 - 1]
 
 
 def test_versions_and_snapshots(lib):
@@ -147,10 +147,10 @@ def test_dynamic_schema(store):
     lib = store.create_library("d", LibraryOptions(dynamic_schema=True, rows_per_segment=2))
     lib.write("s", days(0, 2).astype("int16"))
     lib.append("s", days(3, 4, 0.5).assign(w="x"))
-    out = [(r["v"], r["w"]) for r in lib.read("s").data.collect()]
+    out = [(r["v"], r["w"]) for r in lib.read("s").in_order.collect()]
     assert out == [(0.0, None), (1.0, None), (2.0, None), (0.5, "x"), (1.5, "x")]
     lib.update("s", days(1, 1, 9))
-    assert [r["v"] for r in lib.read("s").data.collect()] == [0.0, 9.0, 2.0, 0.5, 1.5]
+    assert [r["v"] for r in lib.read("s").in_order.collect()] == [0.0, 9.0, 2.0, 0.5, 1.5]
     with pytest.raises(SchemaError):
         lib.append("s", days(8, 9).astype(str))
     assert lib.read("s", columns=["w", "nowhere"]).data.columns == ["t", "w"]
@@ -170,7 +170,7 @@ def test_merge(lib):
         lib.merge("s", days(2, 2), ("do_nothing", "do_nothing"))
     lib.write("n", pd.DataFrame({"k": ["a", None], "v": [1, 2]}))
     lib.merge("n", pd.DataFrame({"k": [None], "v": [9]}, dtype=object).astype({"v": "int64"}), on=["k"])
-    assert [(r["k"], r["v"]) for r in lib.read("n").data.collect()] == [("a", 1), (None, 9)]
+    assert [(r["k"], r["v"]) for r in lib.read("n").in_order.collect()] == [("a", 1), (None, 9)]
 
 
 def test_staging(lib):
@@ -230,7 +230,7 @@ def test_reads(lib):
     assert lib.read("s", columns=[]).data.columns == ["t"]
     lazy = lib.read("s", lazy=True)
     lazy = lazy[lazy["v"] > 5].apply("w", lazy["v"] * 2)
-    assert lazy.schema().names == ["t", "v", "w"] and [r["w"] for r in lazy.collect().data.collect()] == [12, 14, 16, 18]
+    assert lazy.schema().names == ["t", "v", "w"] and [r["w"] for r in lazy.collect().in_order.collect()] == [12, 14, 16, 18]
     with pytest.raises(UserInputError):
         lib.read("s", date_range=(at(0), None), row_range=(0, 1))
     with pytest.raises(SchemaError):
@@ -245,12 +245,12 @@ def test_reads(lib):
 def test_joins(lib):
     lib.write_batch({"a": days(0, 2), "b": days(3, 4, 10).rename_axis("u")})
     out = concat(lib.read_batch(["a", "b"], lazy=True)).collect()
-    assert [r["v"] for r in out.data.collect()] == [0, 1, 2, 10, 11] and out.data.columns[0] == "index" and [v.symbol for v in out.versions] == ["a", "b"]
+    assert [r["v"] for r in out.in_order.collect()] == [0, 1, 2, 10, 11] and out.data.columns[0] == "index" and [v.symbol for v in out.versions] == ["a", "b"]
     q = Query().concat("inner").resample("3D").agg({"v": "sum"})
     lib.write("b", days(3, 4, 10))
     assert sorted(r["v"] for r in lib.read_batch_and_join(["a", "b"], q).data.collect()) == [1, 23]
     parts = lib.read_batch(["a", "b"], lazy=True).filter(Query()["v"] > 1)
-    assert [r["v"] for r in concat(parts).collect().data.collect()] == [2, 10, 11]
+    assert [r["v"] for r in concat(parts).collect().in_order.collect()] == [2, 10, 11]
 
 
 def test_pickles_and_writes_of_queries(lib):
@@ -268,7 +268,7 @@ def test_spark_frames_and_many_rows(spark, store):
     lib = store.create_library("big", LibraryOptions(rows_per_segment=100))
     df = spark.range(1000).select((F.lit(dt.datetime(2024, 1, 1)) + F.expr("make_interval(0,0,0,0,0,id)")).cast("timestamp_ntz").alias("t"), F.col("id").alias("v")).repartition(5)
     lib.write("s", df, index="t")
-    assert [r["v"] for r in lib.read("s", row_range=(250, 255)).data.collect()] == [250, 251, 252, 253, 254]
+    assert [r["v"] for r in lib.read("s", row_range=(250, 255)).in_order.collect()] == [250, 251, 252, 253, 254]
     index = lib.read_index("s")
     assert index["rows"].sum() == 1000 and (index["rows"] <= 100).all()
     lib.write("e", df.limit(0), index="t")
@@ -285,7 +285,7 @@ def test_streams(spark, store, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         staging_sink(stream, lib, "s", str(tmp_path / "c"), "t").trigger(availableNow=True).start().awaitTermination()
     lib.sort_and_finalize_staged_data("s")
-    assert [r["v"] for r in lib.read("s").data.collect()] == [0, 20, 40, 60, 80, 100, 120, 140, 160]
+    assert [r["v"] for r in lib.read("s").in_order.collect()] == [0, 20, 40, 60, 80, 100, 120, 140, 160]
     out = resample_stream(stream, "t", "90min", {"n": ("v", "count"), "f": ("v", "first")}, "10 minutes")
     out.writeStream.format("memory").queryName("resampled").outputMode("complete").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["t"].hour * 60 + r["t"].minute, r["n"], r["f"]) for r in spark.table("resampled").collect())
@@ -323,8 +323,8 @@ def test_other_inputs(lib):
     lib.write("o", Odd())
     lib.write("n", np.array([[1, 2], [3, 4]]))
     lib.write("r", pd.Series([1.5, None], name="x"))
-    assert [r["v"] for r in lib.read("o").data.collect()] == [3, 4] and lib.read("n").to_arrow().column("c1").to_pylist() == [2, 4]
-    assert [r["x"] for r in lib.read("r").data.collect()] == [1.5, None]
+    assert [r["v"] for r in lib.read("o").in_order.collect()] == [3, 4] and lib.read("n").to_arrow().column("c1").to_pylist() == [2, 4]
+    assert [r["x"] for r in lib.read("r").in_order.collect()] == [1.5, None]
     with pytest.raises(UserInputError):
         lib.write("bad", {"a": 1})
 
@@ -333,3 +333,135 @@ def test_explain_read(lib):
     lib.write("s", days(0, 11))
     told = lib.explain_read("s", date_range=(DAY, DAY + pd.Timedelta(days=1)))
     assert told["opened"] == 1 and told["segments"] == 4 and told["rows"] == 12 and "Scan parquet" in told["plan"] or "FileScan" in told["plan"]
+
+
+def test_staged_rows_survive_a_refusal(lib):
+    """Finalizing looks first: what it refuses stays staged, and can be finalized otherwise."""
+    lib.write("s", days(10, 14))
+    lib.stage("s", days(0, 2))
+    with pytest.raises(UnsortedDataError):
+        lib.finalize_staged_data("s", "append")
+    assert lib.get_staged_symbols() == ["s"] and len(rows(lib.read("s", staged=True))) == 8
+    with pytest.raises(UnsortedDataError):
+        lib.sort_and_finalize_staged_data("s", "append")
+    lib.sort_and_finalize_staged_data("s")
+    assert rows(lib.read("s")) == [(0, 0), (1, 1), (2, 2)]
+    lib.stage("s", days(5, 6))
+    lib.delete_staged_data("s")
+    assert lib.get_staged_symbols() == [] and rows(lib.read("s")) == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("sort", [False, True])
+def test_a_crash_after_the_commit_adds_nothing_twice(lib, monkeypatch, sort):
+    lib.write("s", days(0, 1))
+    lib.stage("s", days(2, 3))
+    finalize = lib.sort_and_finalize_staged_data if sort else lib.finalize_staged_data
+    with monkeypatch.context() as m:
+        m.setattr(type(lib), "_unstage", lambda *a, **k: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            finalize("s", "append")
+    assert len(rows(lib.read("s"))) == 4 and lib.get_staged_symbols() == []
+    with pytest.raises(NoSuchVersionError):
+        finalize("s", "append")
+    lib.write_metadata("s", 1)
+    lib.write("s", days(0, 0))
+    lib.stage("s", days(4, 4))
+    finalize("s", "append")
+    lib.prune_previous_versions("s")
+    assert [d for d, _ in rows(lib.read("s"))] == [0, 4]
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, lib, tmp_path):
+    """Whatever of a batch was done before the failure: staged, finalized or marked."""
+    from tidemark.streaming import ingest
+
+    source = str(tmp_path / "in")
+    for i in range(2):
+        spark.createDataFrame([(dt.datetime(2024, 1, 1 + i), i)], "t timestamp_ntz, v long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("t timestamp_ntz, v long").option("maxFilesPerTrigger", 1).parquet(source)
+    for step in ("sort_and_finalize_staged_data", "folder.put"):
+        broken = {"n": 0}
+        target, name = (lib, step) if "." not in step else (lib.folder, "put")
+        real = getattr(target, name)
+
+        def fail(*a, _real=real, _broken=broken, **k):
+            if name == "put" and "streams/" not in str(a[0]):
+                return _real(*a, **k)
+            _broken["n"] += 1
+            if _broken["n"] == 1:
+                raise OSError("gone")
+            return _real(*a, **k)
+
+        symbol = "s" + name
+        setattr(target, name, fail)
+        for _ in range(2):
+            query = ingest.staging_sink(stream, lib, symbol, str(tmp_path / symbol), "t", finalize=True).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except Exception as e:
+                assert "gone" in str(e)
+        setattr(target, name, real)
+        assert broken["n"] >= 2 and rows(lib.read(symbol)) == [(0, 0), (1, 1)]
+
+
+def test_statistics_of_large_integers(lib):
+    u = Query()["u"]
+    lib.write("s", pd.DataFrame({"u": np.array([2**63 + 1, 2**63 + 3, 5, 2**64 - 1], "u8")}))
+    lib.create_column_stats("s", ["u"])
+    for v in (2**63 + 1, 2**63 + 3, 5, 2**64 - 1):
+        assert [int(r["u"]) for r in lib.read("s", query=Query()[u == v]).data.collect()] == [v]
+    assert lib.read("s", query=Query()[u.isin([2**63 + 3])]).data.count() == 1
+    assert sorted(int(r["u"]) for r in lib.read("s", query=Query()[u > 2**63 + 1]).data.collect()) == [2**63 + 3, 2**64 - 1]
+    assert int(lib.read_column_stats("s")["max(u)"].iloc[0]) == 2**63 + 3
+
+
+def test_metadata_comes_back_as_it_was(lib):
+    for value in ({"t": pd.Timestamp("2024-01-01"), 1: (2, 3)}, [1, "a", None], "x", {"a": {"b": 1.5}}, {"__pickled__": "no"}, np.arange(3)):
+        lib.write("m", days(0, 1), value)
+        lib.snapshot("m", value)
+        for got in (lib.read_metadata("m").metadata, lib.list_snapshots()["m"]):
+            assert type(got) is type(value) and np.all(got == value)
+        lib.delete_snapshot("m")
+
+
+def test_origin_of_the_data_and_a_date_range(lib):
+    lib.write("s", days(0, 5))
+    q = Query().resample("2D", origin="start").agg({"v": "sum"})
+    assert sorted(r["v"] for r in lib.read("s", query=q).data.collect()) == [1, 5, 9]
+    with pytest.raises(UserInputError):
+        lib.read("s", date_range=(DAY, None), query=q)
+
+
+def test_reads_need_no_sort(lib):
+    lib.write("s", days(0, 9))
+    plan = lib.read("s").data._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    assert lib.read("s").to_pandas()["v"].tolist() == list(range(10))
+
+
+def test_batches_of_versions(lib):
+    lib.write_batch({"a": days(0, 1), "b": days(0, 2)})
+    lib.write_batch({"a": days(5, 6), "b": days(5, 6)})
+    out = lib.restore_version_batch({"a": 0, "b": 0, "none": 0})
+    assert [type(x).__name__ for x in out] == ["VersionedItem", "VersionedItem", "DataError"] and len(rows(lib.read("b"))) == 3 and lib.compact_symbol_list() == 0
+
+
+def test_segments_that_are_there_are_kept(store):
+    lib = store.create_library("dd", LibraryOptions(rows_per_segment=2, dedup=True))
+    lib.write("s", days(0, 5))
+    lib.write("s", pd.concat([days(0, 3), days(4, 5, 50)]))
+    old, new = (lib.read_index("s", v)["path"].tolist() for v in (0, 1))
+    assert old[:2] == new[:2] and old[2] != new[2] and [v for _, v in rows(lib.read("s"))] == [0, 1, 2, 3, 50, 51]
+    lib.delete("s", 0)
+    assert [v for _, v in rows(lib.read("s"))] == [0, 1, 2, 3, 50, 51]
+
+
+def test_a_write_is_ordered_like_its_input(spark, lib):
+    """Rows of one time stay as they came, over segments and partitions."""
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1 + i // 20), i) for i in range(40)], "t timestamp_ntz, v long").coalesce(1)
+    lib.write("s", df, index="t")
+    assert [r["v"] for r in lib.read("s").in_order.collect()] == list(range(40))
+    out = lib.write_partitioned("p", df.withColumn("k", F.col("v") % 3), "k", index="t")
+    assert sorted(out) == [0, 1, 2] and [r["v"] for r in lib.read("p/1").in_order.collect()] == list(range(1, 40, 3))
+    lib.compact_data("s", 7)
+    assert [r["v"] for r in lib.read("s").in_order.collect()] == list(range(40)) and len(lib.read_index("s")) < 8

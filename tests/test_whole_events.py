@@ -12,7 +12,7 @@ STORED = sorted(n for n in QUERIES if n.startswith("store_") or n == "stream_sta
 @pytest.mark.parametrize("name", STORED)
 def test_every_event_is_stored(spark, monkeypatch, name):
     seen = set()
-    for verb in ("write", "append", "stage", "merge"):
+    for verb in ("write", "append", "stage", "merge", "write_partitioned"):
 
         def put(self, symbol, data, *a, _verb=getattr(Library, verb), **k):
             seen.update(int(r[0]) for r in data.select("event_id").collect())

@@ -4,12 +4,17 @@ Predicates are two-valued: a comparison with a missing value is false, and != an
 Spark's are three-valued, but a filter drops null and false alike. So where only truth counts (at the top and
 below & and |) a comparison is lowered to Spark's own, which Parquet scans can push down; where falsity
 counts too (below ~ and ^, in conditions) it is wrapped to be false when null.
+
+Columns of floats may hold NaN, which is a missing value but which Spark takes for equal to itself and greater
+than all numbers. A comparison that NaN would pass gets a second condition against it; the first stays as it
+is, for the scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +23,10 @@ from pyspark.sql import types as T
 from tidemark.errors import SchemaError, UserInputError
 from tidemark.functions import types as K
 from tidemark.functions.expressions import Binary, Choice, Constant, Expression, In, Literal, Match, Named, Unary
-from tidemark.functions.types import BOOL, F64, I64, STRING, TIME, U64, Kind
+from tidemark.functions.types import BOOL, F32, F64, I64, STRING, TIME, U64, Kind
 
 COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+_FLIPPED = {"==": "==", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
 @dataclass(frozen=True)
@@ -33,10 +39,14 @@ class Lowered:
 
 
 class Lowering:
-    """Lowers expressions over columns of a given schema."""
+    """Lowers expressions over columns of a given schema. raw: columns of floats may hold NaN."""
+
+    def __init__(self, schema: T.StructType, raw: bool = False):
+        self.fields, self.raw = {f.name: f for f in schema.fields}, raw
 
-    def __init__(self, schema: T.StructType):
-        self.fields = {f.name: f for f in schema.fields}
+    def _real(self, x: Lowered) -> Column | None:
+        """That a float is a number, if it may not be."""
+        return ~F.isnan(x.column) if self.raw and x.kind.kind == "f" else None
 
     def _named(self, name: str) -> Lowered:
         if name not in self.fields:
@@ -69,8 +79,10 @@ class Lowering:
         if isinstance(e, Choice):
             return F.when(self.predicate(e.condition, False), self.predicate(e.left, bare)).otherwise(self.predicate(e.right, bare))
         if isinstance(e, Unary) and e.op in ("isnull", "notnull"):
-            c = self.value(e.operand).column
-            return c.isNull() if e.op == "isnull" else c.isNotNull()
+            own = self.value(e.operand)
+            real = self._real(own)
+            there = own.column.isNotNull() if real is None else own.column.isNotNull() & real
+            return own.column.isNull() if real is None and e.op == "isnull" else there if e.op == "notnull" else ~F.coalesce(there, F.lit(False))
         if isinstance(e, Binary) and e.op in COMPARISONS:
             return self._comparison(e, bare)
         if isinstance(e, In):
@@ -95,12 +107,46 @@ class Lowering:
             raise SchemaError("strings can only be compared by == and !=")
         if a.kind.numeric and {a.kind, b.kind} & {U64} and "f" not in (a.kind.kind, b.kind.kind):
             a, b = (Lowered(x.column.cast("decimal(20,0)"), x.kind) for x in (a, b))  # exact
-        x, y = a.column, b.column
+        if any(isinstance(side, Constant) and side.literal.value != side.literal.value for side in (e.left, e.right)):
+            return F.lit(e.op == "!=")  # no number: a missing value
+        narrow = self._narrow(e, a, b)
+        if narrow is not None:
+            out = narrow
+        else:
+            x, y = a.column, b.column
+            out = {"==": x == y, "!=": x == y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[e.op]
+        sides = [None if isinstance(side, Constant) else self._real(own) for side, own in ((e.left, a), (e.right, b))]
+        both = sides[0] is not None and sides[1] is not None
+        # NaN passes as the greater side, and as equal to another NaN
+        passes = (both or e.op in (">", ">="), both or e.op in ("<", "<=")) if e.op not in ("==", "!=") else (both, both)
+        for real, wanted in zip(sides, passes, strict=True):
+            if real is not None and wanted:
+                out = out & real
         if e.op == "!=":
-            return ~F.coalesce(x == y, F.lit(False))
-        out = {"==": x == y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[e.op]
+            return ~F.coalesce(out, F.lit(False))
         return out if bare else F.coalesce(out, F.lit(False))
 
+    def _narrow(self, e: Binary, a: Lowered, b: Lowered) -> Column | None:
+        """A comparison of 32-bit floats with a 64-bit constant, by the nearest 32-bit constants, so that the scan can use it."""
+        flipped = isinstance(e.left, Constant)
+        column, constant, op = (b, e.left, _FLIPPED[e.op]) if flipped else (a, e.right, e.op)
+        if column.kind != F32 or not isinstance(constant, Constant) or constant.literal.kind.kind not in ("f", "i", "u"):
+            return None
+        value = constant.literal.value
+        with np.errstate(over="ignore"):
+            near = np.float32(value)
+        if not np.isfinite(near):
+            return None
+        if float(near) != value:  # no such 32-bit float
+            if op in ("==", "!="):
+                return column.column.isNull() & F.lit(False)
+            below = near if float(near) < value else np.nextafter(near, np.float32("-inf"))
+            near, op = (below, "<=") if op in ("<", "<=") else (np.nextafter(below, np.float32("inf")), ">=")
+            if not np.isfinite(near):
+                return None
+        x, y = column.column, F.lit(float(near)).cast("float")
+        return {"==": x == y, "!=": x == y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+
     def _pair(self, left: Expression, right: Expression) -> tuple[Lowered, Lowered]:
         """Both sides of a comparison; a constant takes the other side's width, so that the scan can use it."""
         sides = [left, right]
@@ -135,8 +181,13 @@ class Lowering:
         elif own.kind.integral and m.kind.integral:
             values = [v for v in m.values if _fits(v, own.kind)]  # others are in no such column
             found = own.column.isin(*(_constant(v).cast(K.spark_type(own.kind)) for v in values)) if values else own.column.isNull() & F.lit(False)
+        elif own.kind == F32:
+            with np.errstate(over="ignore"):
+                values = [float(np.float32(v)) for v in m.values if float(np.float32(v)) == v]  # others are in no such column
+            found = own.column.isin(*(F.lit(v).cast("float") for v in values)) if values else own.column.isNull() & F.lit(False)
         else:
-            found = own.column.isin(*map(_constant, m.values))
+            values = [v for v in m.values if v == v]
+            found = own.column.isin(*map(_constant, values)) if values else own.column.isNull() & F.lit(False)
         if not e.inside:
             return ~F.coalesce(found, F.lit(False))
         return found if bare else F.coalesce(found, F.lit(False))
@@ -189,15 +240,28 @@ def _fits(value: int, kind: Kind) -> bool:
 
 def quotient(a: Column, b: Column) -> Column:
     """Division of doubles that yields infinities; 0 / 0, no number, is missing."""
-    infinity = F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    infinity = F.when((a > 0) & ~F.isnan(a), F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
     return F.when(b == 0, infinity).otherwise(a / b)
 
 
 def _power(e: Binary, a: Lowered, b: Lowered, kind: Kind) -> Column:
-    """Powers; of integers by repeated multiplication where the exponent is a small constant, which is exact."""
-    if kind.integral and isinstance(e.right, Constant) and 0 <= e.right.literal.value <= 16:
-        out, base = F.lit(1).cast(K.spark_type(kind)), K.to_kind(a.column, kind)
+    """Powers; those of integers by multiplication, which is exact (and fails if a result does not fit)."""
+    if not kind.integral:
+        return K.to_kind(F.pow(a.column.cast("double"), b.column.cast("double")), kind)
+    whole = K.spark_type(kind)
+    base = K.to_kind(a.column, kind)
+    if isinstance(e.right, Constant) and 0 <= e.right.literal.value <= 16:
+        out = F.lit(1).cast(whole)
         for _ in range(e.right.literal.value):
-            out = (out * base).cast(K.spark_type(kind))
+            out = (out * base).cast(whole)
         return F.when(a.column.isNotNull(), out)
-    return K.to_kind(F.pow(a.column.cast("double"), b.column.cast("double")), kind)
+    # beyond 64 factors only powers of 0, 1 and -1 fit
+    exponent = b.column.cast("decimal(20,0)")
+    odd = F.pmod(exponent, F.lit(2).cast("decimal(20,0)")) == 1
+    factors = F.least(exponent, F.lit(64).cast("decimal(20,0)")).cast("int")
+    times = F.when(factors > 0, F.sequence(F.lit(1), factors)).otherwise(F.array().cast("array<int>"))
+    power = F.aggregate(times, F.lit(1).cast(whole), lambda so_far, _: (so_far * base).cast(whole))
+    out = F.when(exponent == 0, F.lit(1).cast(whole)).when((base == 0) | (base == 1), base)
+    if kind.kind == "i":
+        out = out.when(base == -1, F.when(odd, base).otherwise(F.lit(1).cast(whole)))
+    return F.when(a.column.isNotNull() & b.column.isNotNull(), out.otherwise(power))

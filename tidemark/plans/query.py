@@ -24,24 +24,35 @@ ROW, SOURCE = "__row_id", "__source"
 
 @dataclass(frozen=True)
 class Frame:
-    """A DataFrame with its index of times, if it has one, and the columns that order its rows."""
+    """A DataFrame with its index of times, if it has one, and the columns that order its rows.
+
+    raw: columns of floats may hold NaN, which filters mind themselves so that scans can use their comparisons;
+    before any other clause, and in the result, it is null.
+    """
 
     df: DataFrame
     index: str | None = None
     order: tuple[str, ...] = ()
+    raw: bool = False
+
+    def clean(self) -> Frame:
+        return replace(self, df=K.without_nan(self.df), raw=False) if self.raw else self
 
     def visible(self) -> DataFrame:
         hidden = [c for c in (ROW, SOURCE) if c in self.df.columns]
-        return self.df.drop(*hidden)
+        return self.clean().df.drop(*hidden)
 
     def sorted(self) -> DataFrame:
         """The visible rows in their order."""
         order = [c for c in self.order if c in self.df.columns]
-        df = self.df.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in order)) if order else self.df
-        return Frame(df).visible()
+        df = self.clean().df
+        return Frame(df.orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in order)) if order else df).visible()
 
 
 class Clause:
+    #: Whether rows must have positions (or an order) for it.
+    ordered = False
+
     def apply(self, frame: Frame) -> Frame:
         raise NotImplementedError
 
@@ -51,7 +62,7 @@ class Filter(Clause):
     condition: Expression
 
     def apply(self, frame: Frame) -> Frame:
-        return replace(frame, df=frame.df.filter(Lowering(frame.df.schema).predicate(self.condition)))
+        return replace(frame, df=frame.df.filter(Lowering(frame.df.schema, frame.raw).predicate(self.condition)))
 
 
 @dataclass(frozen=True)
@@ -60,7 +71,7 @@ class Project(Clause):
     expression: Expression
 
     def apply(self, frame: Frame) -> Frame:
-        out = Lowering(frame.df.schema).value(self.expression)
+        out = Lowering(frame.df.schema, frame.raw).value(self.expression)
         if out.predicate:
             raise UserInputError("a column cannot be made of a condition; use where(condition, True, False)")
         c = out.column
@@ -78,7 +89,7 @@ class GroupBy(Clause):
     def apply(self, frame: Frame) -> Frame:
         if not self.aggregations:
             raise UserInputError("groupby needs agg")
-        return Frame(aggregate.group_by(frame.df, self.key, self.aggregations), None, (self.key,))
+        return Frame(aggregate.group_by(frame.clean().df, self.key, self.aggregations), None, (self.key,))
 
 
 @dataclass(frozen=True)
@@ -86,38 +97,45 @@ class ResampleBy(Clause):
     spec: Resample
     aggregations: tuple[Aggregation, ...] = ()
 
+    @property
+    def ordered(self) -> bool:  # type: ignore[override]
+        return any(a.op in ("first", "last") for a in self.aggregations)
+
     def apply(self, frame: Frame) -> Frame:
         if not self.aggregations:
             raise UserInputError("resample needs agg")
         if frame.index is None:
             raise UserInputError("resampling needs an index of times")
         order = [c for c in frame.order if c != frame.index]
-        return Frame(resample(frame.df, frame.index, self.spec, self.aggregations, order), frame.index, (frame.index,))
+        return Frame(resample(frame.clean().df, frame.index, self.spec, self.aggregations, order), frame.index, (frame.index,))
 
 
 @dataclass(frozen=True)
 class Head(Clause):
     n: int
+    ordered = True
 
     def apply(self, frame: Frame) -> Frame:
-        return replace(frame, df=ranges.head(frame.df, self.n, _ordered(frame)))
+        return replace(frame.clean(), df=ranges.head(frame.clean().df, self.n, _ordered(frame)))
 
 
 @dataclass(frozen=True)
 class Tail(Clause):
     n: int
+    ordered = True
 
     def apply(self, frame: Frame) -> Frame:
-        return replace(frame, df=ranges.tail(frame.df, self.n, _ordered(frame)))
+        return replace(frame.clean(), df=ranges.tail(frame.clean().df, self.n, _ordered(frame)))
 
 
 @dataclass(frozen=True)
 class RowRange(Clause):
     start: int | None
     end: int | None
+    ordered = True
 
     def apply(self, frame: Frame) -> Frame:
-        return replace(frame, df=ranges.rows_between(frame.df, self.start, self.end, _ordered(frame)))
+        return replace(frame.clean(), df=ranges.rows_between(frame.clean().df, self.start, self.end, _ordered(frame)))
 
 
 @dataclass(frozen=True)
@@ -248,11 +266,22 @@ class Query:
         """Applies the clauses to several frames; the first must be concat."""
         if not self.clauses or not isinstance(self.clauses[0], Concat):
             raise UserInputError("several symbols need concat as the first clause")
-        return Query(self.clauses[1:]).run(concat_frames(frames, self.clauses[0].join))
+        rest = self.clauses[1:]
+        return Query(rest).run(concat_frames(frames, self.clauses[0].join, needs_order(rest)))
+
+
+def needs_order(clauses: tuple[Clause, ...]) -> bool:
+    """Whether a clause goes by the order of rows as they are, before any aggregation."""
+    for clause in clauses:
+        if clause.ordered:
+            return True
+        if isinstance(clause, (GroupBy, ResampleBy)):
+            return False
+    return False
 
 
-def concat_frames(frames: list[Frame], join: str = "outer") -> Frame:
-    """The frames' rows one after the other, with positions by input and by position there."""
+def concat_frames(frames: list[Frame], join: str = "outer", ordered: bool = True) -> Frame:
+    """The frames' rows one after the other. ordered: with positions, by input and by position there."""
     if not frames:
         raise UserInputError("nothing to concatenate")
     kinds = {bool(f.index) for f in frames}
@@ -265,8 +294,8 @@ def concat_frames(frames: list[Frame], join: str = "outer") -> Frame:
     rows = []
     for f in frames:
         order = [c for c in f.order if c in f.df.columns]
-        df = f.df if SOURCE not in f.df.columns else f.df.drop(SOURCE)
-        if ROW not in df.columns and order:
+        df = f.clean().df if SOURCE not in f.df.columns else f.clean().df.drop(SOURCE)
+        if ordered and ROW not in df.columns and order:
             df = ranges.positions(df, order, ROW)
         rows.append(df)
     out = concat(rows, join, SOURCE)
@@ -275,7 +304,7 @@ def concat_frames(frames: list[Frame], join: str = "outer") -> Frame:
 
 def query_on(df: DataFrame, query: Query, index: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Runs a query on any DataFrame. index: its column of times; order: columns that order its rows."""
-    frame = Frame(K.without_nan(df), index, tuple(order or ([index] if index else [])))
+    frame = Frame(df, index, tuple(order or ([index] if index else [])), raw=True)
     return query.run(frame).visible()
 
 

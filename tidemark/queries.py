@@ -72,7 +72,7 @@ simple("filter_empty_set", "nation", lambda q: q[q["n_nationkey"].isnotin([])],
 simple("filter_empty_isin", "nation", lambda q: q[q["n_nationkey"].isin([])], "SELECT * FROM nation WHERE false")
 simple("filter_isnull", "events", lambda q: q[q["value"].isnull()], f"SELECT {E} FROM {NULLED} WHERE value IS NULL", EV, prepare=_nulled)
 simple("filter_notnull", "events", lambda q: q[q["event_type"].notnull()], f"SELECT {E} FROM {NULLED} WHERE event_type IS NOT NULL", EV, prepare=_nulled)
-simple("filter_regex", "part", lambda q: q[q["p_type"].regex_match("^[A-M].*(TIN|BRASS)$|COPPER")], "SELECT * FROM part WHERE regexp_matches(p_type, '^[A-M].*(TIN|BRASS)$|COPPER')")
+simple("filter_regex", "part", lambda q: q[q["p_type"].regex_match("^[EPL].*(Y|GE)$|TAND")], "SELECT * FROM part WHERE regexp_matches(p_type, '^[EPL].*(Y|GE)$|TAND')")
 simple("filter_not_regex", "events", lambda q: q[~q["event_type"].regex_match("^p")], f"SELECT {E} FROM {NULLED} WHERE regexp_matches(event_type, '^p') IS NOT TRUE", EV, prepare=_nulled)
 simple("filter_time", "orders", lambda q: q[(q["o_orderdate"] >= dt.datetime(1995, 1, 1)) & (q["o_orderdate"] < dt.datetime(1996, 1, 1))], "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
 simple("filter_time_span", "lineitem", lambda q: q[(q["l_shipdate"] - q["l_shipdate"]) < dt.timedelta(days=1)], f"SELECT {L} FROM lineitem WHERE l_shipdate - l_shipdate < INTERVAL 1 DAY", LINE)
@@ -201,11 +201,6 @@ def _between(spark: SparkSession, sf_dir: str, first: int | None, last: int | No
     return df if last is None else df.filter(F.col("ts") < F.lit(dt.date(2024, 1, last + 1)))
 
 
-def _until(day: int) -> tuple[None, dt.datetime]:
-    """The range of time that ends with a day of January 2024, for reads of what the SQL asks for."""
-    return None, dt.datetime(2024, 1, day, 23, 59, 59, 999999)
-
-
 def _history(spark: SparkSession, sf_dir: str, verbs: int = 4) -> Library:
     """Events to day 10 written, all later ones appended, day 5 updated with every other row, days 8-9 deleted: the first of these verbs."""
     lib = _library(spark)
@@ -223,134 +218,216 @@ def _history(spark: SparkSession, sf_dir: str, verbs: int = 4) -> Library:
 DAY = "extract(day FROM ts)"
 
 
-@register("store_append", f"SELECT * FROM events WHERE {DAY} <= 20")
+@register("store_append", "SELECT * FROM events")
 def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, 2).read("e", as_of=1, date_range=_until(20)).data
+    return _history(spark, sf_dir, 2).read("e", as_of=1).data
+
 
+UPDATED = f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE ({DAY} <> 5 OR event_id % 2 = 0)"
 
-@register("store_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND ({DAY} <> 5 OR event_id % 2 = 0)")
+
+@register("store_update", UPDATED)
 def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, 3).read("e", as_of=2, date_range=_until(20)).data
+    return _history(spark, sf_dir, 3).read("e", as_of=2).data
 
 
-@register("store_delete_range", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 5 THEN value + 1000 ELSE value END AS value, props FROM events WHERE {DAY} <= 20 AND {DAY} NOT IN (8, 9) AND ({DAY} <> 5 OR event_id % 2 = 0)")
+@register("store_delete_range", f"{UPDATED} AND {DAY} NOT IN (8, 9)")
 def store_delete_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e", date_range=_until(20)).data
+    return _history(spark, sf_dir).read("e").data
 
 
-@register("store_as_of", f"SELECT event_id, value FROM events WHERE {DAY} <= 10")
+@register("store_as_of", "SELECT event_id, value FROM events")
 def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir).read("e", as_of=-4, columns=["event_id", "value"]).data.select("event_id", "value")
+    return _history(spark, sf_dir).read("e", as_of=-3, columns=["event_id", "value"]).data.select("event_id", "value")
 
 
-@register("store_snapshot", f"SELECT * FROM events WHERE {DAY} <= 20")
+@register("store_snapshot", "SELECT * FROM events")
 def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _history(spark, sf_dir, 2)
     lib.snapshot("then", versions={"e": 1})
     lib.delete("e")
-    return lib.read("e", as_of="then", date_range=_until(20)).data
+    return lib.read("e", as_of="then").data
 
 
-@register("store_compact", f"SELECT * FROM events WHERE {DAY} <= 20")
+@register("store_compact", "SELECT * FROM events")
 def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     for first, last in ((None, 4), (5, 8), (9, 12), (13, 16), (17, 20), (21, None)):
         lib.append("e", _between(spark, sf_dir, first, last), index="ts")
     lib.compact_data("e", 100000)
-    return lib.read("e", date_range=_until(20)).data
+    return lib.read("e").data
 
 
-@register("store_row_range", "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-21' ORDER BY ts, event_id LIMIT 1000 OFFSET 2500")
+@register("store_row_range", "SELECT * FROM events ORDER BY ts, event_id OFFSET 500")
 def store_row_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, 2).read("e", as_of=1, row_range=(2500, 3500)).data
+    return _history(spark, sf_dir, 2).read("e", as_of=1, row_range=(500, None)).data
 
 
-@register("store_head_tail", f"SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts LIMIT 7) UNION ALL SELECT * FROM (SELECT * FROM events WHERE {DAY} <= 20 ORDER BY ts DESC LIMIT 9)")
+@register("store_head_tail", "SELECT * FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 7) UNION ALL SELECT * FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 9)")
 def store_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = _library(spark)
-    lib.write("e", _between(spark, sf_dir, None, 10), index="ts")
-    lib.append("e", _between(spark, sf_dir, 11, 20))
-    lib.append("e", _between(spark, sf_dir, 21, None))
+    lib = _history(spark, sf_dir, 2)
     return lib.head("e", 7, as_of=1).data.unionByName(lib.tail("e", 9, as_of=1).data)
 
 
-@register("store_query", f"SELECT event_type, count(event_id) AS n, max(value) AS hi FROM events WHERE {DAY} BETWEEN 3 AND 12 AND value > 20 GROUP BY 1")
+@register("store_query", "SELECT event_type, count(event_id) AS n, max(value) AS hi FROM events WHERE value > 20 GROUP BY 1")
 def store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib, q = _history(spark, sf_dir, 2), Query()
     lib.create_column_stats("e", ["value"], as_of=1)
     q = q[q["value"] > 20].groupby("event_type").agg({"n": ("event_id", "count"), "hi": ("value", "max")})
-    return lib.read("e", as_of=1, date_range=(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 12, 23, 59, 59, 999999)), query=q).data
+    return lib.read("e", as_of=1, query=q).data
+
 
+@register("store_date_range", f"SELECT * FROM events WHERE {DAY} BETWEEN 3 AND 12")
+def store_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir, 2).read("e", as_of=1, date_range=(dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 12, 23, 59, 59, 999999))).data
 
-@register("store_merge_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 3 = 0 AND {DAY} BETWEEN 2 AND 4 THEN -value ELSE value END AS value, props FROM events WHERE {DAY} <= 10")
+
+@register("store_merge_update", f"SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 3 = 0 AND {DAY} BETWEEN 2 AND 4 THEN -value ELSE value END AS value, props FROM events")
 def store_merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     lib.write("e", table(spark, sf_dir, "events"), index="ts")
     lib.merge("e", _days(spark, sf_dir, 2, 4).filter("event_id % 3 = 0").withColumn("value", -F.col("value")), ("update", "do_nothing"), on=["event_id"])
-    return lib.read("e", date_range=_until(10)).data
+    return lib.read("e").data
 
 
-@register("store_merge_insert", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 4 THEN -value ELSE value END AS value, props FROM events WHERE {DAY} <= 10")
-def store_merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str, strategy: tuple[str, str]) -> DataFrame:
+    """Day 4 merged, its values negated, into events that lack every fifth of that day."""
     lib = _library(spark)
     lib.write("e", table(spark, sf_dir, "events").filter("event_id % 5 <> 0 or dayofmonth(ts) <> 4"), index="ts")
-    lib.merge("e", _days(spark, sf_dir, 4, 4).withColumn("value", -F.col("value")), ("update", "insert"), on=["event_id"])
-    return lib.read("e", date_range=_until(10)).data
+    lib.merge("e", _days(spark, sf_dir, 4, 4).withColumn("value", -F.col("value")), strategy, on=["event_id"])
+    return lib.read("e").data
+
+
+@register("store_merge_insert", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 4 THEN -value ELSE value END AS value, props FROM events")
+def store_merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, ("update", "insert"))
 
 
-@register("store_dynamic_schema", f"SELECT event_id::DOUBLE AS event_id, ts, value, CASE WHEN {DAY} > 10 THEN event_type END AS event_type, CASE WHEN {DAY} <= 10 THEN user_id END AS user_id FROM events WHERE {DAY} <= 20")
+@register("store_merge_only_insert", f"SELECT event_id, ts, user_id, event_type, CASE WHEN {DAY} = 4 AND event_id % 5 = 0 THEN -value ELSE value END AS value, props FROM events")
+def store_merge_only_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, ("do_nothing", "insert"))
+
+
+@register("store_dynamic_schema", f"SELECT event_id::DOUBLE AS event_id, ts, value, CASE WHEN {DAY} > 10 THEN event_type END AS event_type, CASE WHEN {DAY} <= 10 THEN user_id END AS user_id FROM events")
 def store_dynamic_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark, dynamic_schema=True)
     lib.write("e", _between(spark, sf_dir, None, 10).select("event_id", "ts", "value", "user_id"), index="ts")
     lib.append("e", _between(spark, sf_dir, 11, None).select(F.col("event_id").cast("double").alias("event_id"), "ts", "value", "event_type"), index="ts")
-    return lib.read("e", date_range=_until(20)).data
+    return lib.read("e").data
 
 
-@register("store_stage_finalize", f"SELECT * FROM events WHERE {DAY} <= 12")
+@register("store_stage_finalize", "SELECT * FROM events")
 def store_stage_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     lib.write("e", _between(spark, sf_dir, None, 3), index="ts")
     for first, last in ((10, 12), (13, None), (4, 6), (7, 9)):
         lib.stage("e", _between(spark, sf_dir, first, last), index="ts")
     lib.finalize_staged_data("e", "append")
-    return lib.read("e", date_range=_until(12)).data
+    return lib.read("e").data
+
+
+@register("store_read_staged", f"SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def store_read_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib, q = _library(spark), Query()
+    lib.write("e", _between(spark, sf_dir, None, 10), index="ts")
+    lib.stage("e", _between(spark, sf_dir, 21, None), index="ts")
+    lib.stage("e", _between(spark, sf_dir, 11, 20), index="ts")
+    return lib.read("e", staged=True, query=q.groupby("event_type").agg({"n": ("event_id", "count"), "ids": ("event_id", "sum")})).data
 
 
-@register("store_sort_finalize", f"SELECT * FROM events WHERE {DAY} <= 12")
+@register("store_sort_finalize", "SELECT * FROM events")
 def store_sort_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     for rest in (2, 0, 1):
         lib.stage("e", table(spark, sf_dir, "events").filter(f"event_id % 3 = {rest}"), index="ts", sort_on_index=True)
     lib.sort_and_finalize_staged_data("e")
-    return lib.read("e", date_range=_until(12)).data
+    return lib.read("e").data
 
 
-@register("store_batch_join", f"WITH e AS (SELECT *, epoch_us(ts) AS t FROM events WHERE {DAY} <= 12) SELECT make_timestamp((t - t % {D_US})::BIGINT) AS ts, count(event_id) AS n, arg_min(event_type, t) AS f FROM e GROUP BY t - t % {D_US}")
+@register("store_batch_join", f"WITH e AS (SELECT *, epoch_us(ts) AS t FROM events) SELECT make_timestamp((t - t % {D_US})::BIGINT) AS ts, count(event_id) AS n, arg_min(event_type, t) AS f FROM e GROUP BY t - t % {D_US}")
 def store_batch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     parts = {"s1": (None, 4), "s5": (5, 8), "s9": (9, 12), "s13": (13, None)}
     lib.write_batch({s: _between(spark, sf_dir, *days) for s, days in parts.items()}, index="ts")
-    lazy = concat(lib.read_batch([Request(s, date_range=_until(12)) for s in parts], lazy=True))
+    lazy = concat(lib.read_batch(list(parts), lazy=True))
     return lazy.resample("1D").agg({"n": ("event_id", "count"), "f": ("event_type", "first")}).collect().data
 
 
-@register("store_read_modify_write", f"SELECT event_id, ts, value * 2 AS twice FROM events WHERE {DAY} <= 5 AND event_type = 'view'")
+@register("store_read_modify_write", "SELECT event_id, ts, value * 2 AS twice FROM events WHERE event_type = 'view'")
 def store_read_modify_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib, q = _library(spark), Query()
     lib.write("e", table(spark, sf_dir, "events"), index="ts")
     lib.read_modify_write("e", q[q["event_type"] == "view"].apply("twice", q["value"] * 2), "f")
-    return lib.read("f", date_range=_until(5), columns=["event_id", "twice"]).data.select("event_id", "ts", "twice")
+    return lib.read("f", columns=["event_id", "twice"]).data.select("event_id", "ts", "twice")
 
 
 @register("store_restore", f"SELECT * FROM events WHERE {DAY} <= 10")
 def store_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version 0, before anything was appended, is the newest one again; it is all that is left."""
     lib = _history(spark, sf_dir)
     lib.restore_version("e", 0)
     lib.prune_previous_versions("e")
     return lib.read("e").data
 
 
-@register("stream_staging", f"SELECT * FROM events WHERE {DAY} <= 6")
+@register("store_partitioned", "SELECT * FROM events")
+def store_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = _library(spark)
+    made = lib.write_partitioned("e", table(spark, sf_dir, "events"), "event_type", index="ts")
+    parts = [lib.read(f"e/{v}").data.withColumn("event_type", F.lit(v)) for v in made]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("store_single_file", "SELECT * FROM events")
+def store_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = _library(spark)
+    lib.write("e", table(spark, sf_dir, "events"), index="ts")
+    lib.export_file("e", lib.folder.full("exported"))
+    lib.import_file("f", lib.folder.full("exported"))
+    return lib.read("f").data
+
+
+@register("pickled_objects", "SELECT r_regionkey, r_name FROM region")
+def pickled_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lib = _library(spark)
+    lib.write_pickle("r", [tuple(r) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()])
+    return spark.createDataFrame(lib.read("r").data, "r_regionkey int, r_name string")
+
+
+@register("store_versions", "SELECT * FROM (VALUES (3::BIGINT, 'append', false), (2, 'append', false), (1, 'append', true), (0, 'write', false)) AS v(version, step, deleted)")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and metadata of all versions: one deleted but held by a snapshot, a later one of new metadata, one restored."""
+    lib = _history(spark, sf_dir, 2)
+    lib.snapshot("held", versions={"e": 1})
+    lib.write_metadata("e", {"step": "append", "when": dt.datetime(2024, 2, 1)})
+    lib.delete("e", 1)
+    lib.restore_version_batch({"e": 2})
+    rows = [(v, lib.read_metadata("e", v).metadata["step"], info.deleted) for (_, v), info in lib.list_versions("e").items()]
+    return spark.createDataFrame(rows, "version long, step string, deleted boolean")
+
+
+@register("store_description", "SELECT 'ts' AS name, 'time' AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events UNION ALL SELECT name, kind, count(*), min(ts), max(ts) FROM events, (VALUES ('event_id', 'int64'), ('user_id', 'int64'), ('event_type', 'str'), ('value', 'float64'), ('props', 'str')) AS c(name, kind) GROUP BY 1, 2")
+def store_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _history(spark, sf_dir, 2).get_description("e", as_of=1)
+    first, last = (t.tz_localize(None).to_pydatetime() for t in d.date_range)
+    return spark.createDataFrame([(name, kind, d.rows, first, last) for name, kind in d.columns], "name string, kind string, n long, first timestamp_ntz, last timestamp_ntz")
+
+
+@register("store_dedup", "SELECT * FROM events")
+def store_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written twice: the second version has the first one's files."""
+    lib = _library(spark, dedup=True)
+    for _ in range(2):
+        lib.write("e", table(spark, sf_dir, "events"), index="ts")
+    if [s.path for s in lib.catalog.load("e", 0).segments] != [s.path for s in lib.catalog.load("e", 1).segments]:
+        raise AssertionError("segments were written anew")
+    return lib.read("e").data
+
+
+@register("stream_staging", "SELECT * FROM events")
 def stream_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     lib = _library(spark)
     source = lib.folder.full("incoming")
@@ -359,7 +436,12 @@ def stream_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
     staging_sink(stream, lib, "e", lib.folder.full("progress"), index="ts").trigger(availableNow=True).start().awaitTermination()
     lib.sort_and_finalize_staged_data("e")
-    return lib.read("e", date_range=_until(6)).data
+    return lib.read("e").data
+
+
+simple("float_filter", "lineitem", lambda q: q[(q["d"] >= 0.05) & (q["d"] < 0.08)], f"SELECT l_orderkey, l_discount::FLOAT AS d FROM lineitem WHERE l_discount::FLOAT::DOUBLE >= 0.05::DOUBLE AND l_discount::FLOAT::DOUBLE < 0.08::DOUBLE", ["l_orderkey", "d"], prepare=lambda df: df.select("l_orderkey", F.col("l_discount").cast("float").alias("d")))
+simple("float_promotion", "lineitem", lambda q: q.apply("e", q["d"] + q["d"]).apply("f", q["d"] * q["l_quantity"]), "SELECT l_discount::FLOAT AS d, l_quantity, l_discount::FLOAT + l_discount::FLOAT AS e, l_discount::FLOAT::DOUBLE * l_quantity AS f FROM lineitem", ["d", "l_quantity", "e", "f"], prepare=lambda df: df.select(F.col("l_discount").cast("float").alias("d"), "l_quantity"))
+simple("project_power_column", "lineitem", lambda q: q.apply("p", q["l_linenumber"] ** q["u"]).apply("c", q["l_linenumber"] ** np.uint8(20)), "SELECT l_linenumber, (l_linenumber % 4 + 17)::SMALLINT AS u, CASE l_linenumber % 4 WHEN 0 THEN pow17 WHEN 1 THEN pow17 * l_linenumber WHEN 2 THEN pow17 * l_linenumber * l_linenumber ELSE pow17 * l_linenumber * l_linenumber * l_linenumber END::BIGINT AS p, (pow17 * l_linenumber * l_linenumber * l_linenumber)::BIGINT AS c FROM (SELECT l_linenumber, list_reduce(list_transform(range(17), lambda i: l_linenumber::HUGEINT), lambda a, b: a * b) AS pow17 FROM lineitem)", ["l_linenumber", "u", "p", "c"], prepare=lambda df: df.select("l_linenumber", (F.col("l_linenumber") % 4 + 17).cast("short").alias("u", metadata={"logical_type": "uint8"})))
 
 
 FLAGSHIP = "resample_after_filter"

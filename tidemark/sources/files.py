@@ -7,11 +7,16 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from tidemark.errors import UserInputError
 
 
+#: Schemes of file systems where a file appears when it is closed, and renaming copies.
+OBJECT_STORES = ("s3a", "s3", "gs", "wasb", "wasbs", "oss", "cosn")
+
+
 def own_folder(spark: SparkSession, prefix: str) -> str:
     """A folder for this session: in the shared folder that ``spark.checkpoint.dir`` names, or, in a local session, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +36,7 @@ class Folder:
         self.spark, self.root = spark, root.rstrip("/")
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.objects = self.fs.getScheme() in OBJECT_STORES
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -56,9 +62,20 @@ class Folder:
             out.close()
 
     def create(self, name: str, text: str) -> bool:
-        """A new file, whole or not at all; False if the name is taken."""
+        """A new file, whole or not at all; False if the name is taken.
+
+        Object stores have no renaming, but a file there is whole once its stream is closed.
+        """
         if self.exists(name):
             return False
+        if self.objects:
+            try:
+                self._write(name, text, False)
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                    return False
+                raise
+            return True
         draft = f"{name}.{uuid.uuid4().hex}.tmp"
         self._write(draft, text, False)
         ok = not self.exists(name) and self.fs.rename(self._path(draft), self._path(name))
@@ -67,12 +84,16 @@ class Folder:
         return ok
 
     def put(self, name: str, text: str) -> None:
-        """A file, replacing one of that name."""
+        """A file, replacing one of that name at once: readers see the old one or the new one."""
+        if self.objects:
+            self._write(name, text, True)
+            return
         draft = f"{name}.{uuid.uuid4().hex}.tmp"
         self._write(draft, text, False)
-        if self.exists(name):
-            self.fs.delete(self._path(name), False)
-        self.fs.rename(self._path(draft), self._path(name))
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._path(draft), self._path(name), options)
 
     def names(self, name: str = "") -> list[str]:
         """Names of files and folders in a folder, sorted."""
@@ -89,9 +110,6 @@ class Folder:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
-    def rename(self, old: str, new: str) -> bool:
-        """Moves a file or folder; False if it cannot be moved."""
-        parent = self._path(new).getParent()
-        if not self.fs.exists(parent):
-            self.fs.mkdirs(parent)
-        return self.fs.rename(self._path(old), self._path(new))
+    def delete_path(self, path: str) -> None:
+        """Deletes a folder by its full path."""
+        self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)

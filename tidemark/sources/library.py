@@ -1,7 +1,9 @@
 """The store: libraries of named symbols, each a chain of immutable versions.
 
 A version is a manifest of Parquet segments; verbs write new segments first and the manifest last, so readers
-see whole versions only. Segments that a verb does not touch are shared between versions.
+see whole versions only. Segments that a verb does not touch are shared between versions. Staged rows are
+segments that an entry names and no manifest yet; finalizing writes a manifest that has them and notes their
+tokens, then removes the entries, so a crash in between neither loses rows nor adds them twice.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ import json
 import pickle
 import re
 import uuid
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -24,15 +28,17 @@ from tidemark.functions import types as K
 from tidemark.operators import ranges
 from tidemark.operators.concat import aligned
 from tidemark.operators.merge import check_strategy, merge
-from tidemark.plans.query import DateRange, Filter, Frame, Query, ROW, RowRange, concat_frames
+from tidemark.plans.query import DateRange, Filter, Frame, Query, ResampleBy, ROW, RowRange, concat_frames, needs_order
 from tidemark.sources import segments as S
 from tidemark.sources.files import Folder, own_folder
 from tidemark.sources.manifest import Catalog, Manifest, VersionInfo, safe
 from tidemark.sources.pruning import may_match
 from tidemark.sources.segments import Segment
 
-#: Symbols that a partitioned write makes, at most.
-MOST_PARTITIONS = 10_000
+#: Items of a batch that are worked on at a time.
+THREADS = 8
+#: Tokens of staged rows that a manifest remembers.
+TOKENS = 1000
 #: Schemes of the places where libraries can be.
 SCHEMES = {"s3": "s3a", "s3s": "s3a", "gcpxml": "gs", "gcpxmls": "gs", "azure": "abfss", "local": "file", "lmdb": "file"}
 
@@ -42,31 +48,44 @@ class LibraryOptions:
     dynamic_schema: bool = False
     rows_per_segment: int = S.SEGMENT_ROWS
     codec: str = "lz4_raw"
+    #: Writes keep segments of the version before that hold the same rows (found by digests, from one more pass).
+    dedup: bool = False
 
 
 @dataclass
 class VersionedItem:
-    """A symbol's data as of a version; ``data`` is lazy, in the order of its rows."""
+    """A symbol's data as of a version. ``data`` is lazy and in no order; ``in_order`` has the rows in theirs."""
 
     symbol: str
     data: Any
     version: int
     metadata: Any = None
     timestamp: int = 0
+    _sorted: Callable[[], DataFrame] | None = field(default=None, repr=False, compare=False)
+
+    @property
+    def in_order(self) -> DataFrame:
+        """The rows in their order: segments are in it already, but Spark reads them side by side, so they are sorted."""
+        return self._sorted() if self._sorted else self.data
 
     def to_pandas(self) -> pd.DataFrame:
-        return self.data.toPandas()
+        return self.in_order.toPandas()
 
     def to_arrow(self):
-        return self.data.toArrow()
+        return self.in_order.toArrow()
 
 
 @dataclass
 class JoinedItem:
-    """Data of several symbols, and the versions that it came from."""
+    """Data of several symbols, in no order and ``in_order``, and the versions that it came from."""
 
     data: DataFrame
     versions: list[VersionedItem]
+    _sorted: Callable[[], DataFrame] | None = field(default=None, repr=False, compare=False)
+
+    @property
+    def in_order(self) -> DataFrame:
+        return self._sorted() if self._sorted else self.data
 
 
 @dataclass(frozen=True)
@@ -114,13 +133,13 @@ class LazyFrame(Query):
     def agg(self, aggregations: dict) -> LazyFrame:
         return LazyFrame(self.library, self.request, Query(self.clauses).agg(aggregations).clauses)
 
-    def frame(self) -> tuple[Frame, Manifest]:
+    def frame(self, positions: bool = False) -> tuple[Frame, Manifest]:
         own = Query((*(self.request.query.clauses if self.request.query else ()), *self.clauses))
-        return self.library._frame(replace(self.request, query=own))
+        return self.library._frame(replace(self.request, query=own), positions)
 
     def collect(self) -> VersionedItem:
         frame, m = self.frame()
-        return VersionedItem(self.request.symbol, frame.sorted(), m.version, m.metadata, m.created)
+        return VersionedItem(self.request.symbol, frame.visible(), m.version, m.metadata, m.created, lambda: self.frame(True)[0].sorted())
 
     def schema(self) -> T.StructType:
         """The result's schema; nothing is read."""
@@ -142,7 +161,7 @@ class LazyFrames:
         return list(self.frames)
 
     def collect(self) -> list[VersionedItem | DataError]:
-        return [_or_error(f.request.symbol, f.collect) for f in self.frames]
+        return _each([(f.request.symbol, f.collect) for f in self.frames])
 
 
 class LazyJoined(Query):
@@ -158,12 +177,16 @@ class LazyJoined(Query):
     def agg(self, aggregations: dict) -> LazyJoined:
         return LazyJoined(self.frames, self.join, Query(self.clauses).agg(aggregations).clauses)
 
-    def collect(self) -> JoinedItem:
-        parts = [f.frame() for f in self.frames]
+    def _run(self, ordered: bool) -> tuple[Frame, list[tuple[Frame, Manifest]]]:
+        parts = [f.frame(ordered) for f in self.frames]
         if any(m.pickled for _, m in parts):
             raise SchemaError("pickled data cannot be concatenated")
-        out = Query(self.clauses).run(concat_frames([p for p, _ in parts], self.join))
-        return JoinedItem(out.sorted(), [VersionedItem(f.request.symbol, None, m.version, m.metadata, m.created) for f, (_, m) in zip(self.frames, parts, strict=True)])
+        return Query(self.clauses).run(concat_frames([p for p, _ in parts], self.join, ordered)), parts
+
+    def collect(self) -> JoinedItem:
+        out, parts = self._run(needs_order(self.clauses))
+        versions = [VersionedItem(f.request.symbol, None, m.version, m.metadata, m.created) for f, (_, m) in zip(self.frames, parts, strict=True)]
+        return JoinedItem(out.visible(), versions, lambda: self._run(True)[0].sorted())
 
 
 def concat(frames: LazyFrames | Iterable[LazyFrame], join: str = "outer") -> LazyJoined:
@@ -178,6 +201,14 @@ def _or_error(symbol: str, f) -> Any:
         return DataError(symbol, str(e), type(e).__name__)
 
 
+def _each(items: list[tuple[str, Callable[[], Any]]]) -> list[Any]:
+    """Results or errors of several items, a few of which are worked on at a time."""
+    if len(items) < 2:
+        return [_or_error(*item) for item in items]
+    with ThreadPoolExecutor(THREADS) as pool:
+        return list(pool.map(lambda item: _or_error(*item), items))
+
+
 class Store:
     """Libraries below a root: a path or URI of any file system that Spark reads."""
 
@@ -235,22 +266,23 @@ class Library:
 
     # reading
 
-    def _rows(self, m: Manifest, segments: list[Segment] | None = None) -> DataFrame:
-        """Rows of (some of) a version's segments, with positions."""
+    def _rows(self, m: Manifest, segments: list[Segment] | None = None, positions: bool = True) -> DataFrame:
+        """Rows of (some of) a version's segments, with positions if asked for."""
         segments = m.segments if segments is None else segments
-        kinds = {f.name: K.kind_of(f) for f in m.struct().fields}
+        kinds = {f.name: K.kind_of(f) for f in m.struct().fields} | ({ROW: K.I64} if positions else {})
         parts = []
         for i, form in enumerate(m.forms):
             own = [s for s in segments if s.form == i]
             if own or not segments and not parts:
-                rows = S.read_segments(self.spark, own, T.StructType.fromJson(form))
-                parts.append(rows if len(m.forms) == 1 else aligned(rows, {**kinds, ROW: K.I64}))
+                rows = S.read_segments(self.spark, own, T.StructType.fromJson(form), positions)
+                parts.append(rows if len(m.forms) == 1 else aligned(rows, kinds))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def _frame(self, r: Request) -> tuple[Frame, Manifest]:
+    def _frame(self, r: Request, positions: bool = False) -> tuple[Frame, Manifest]:
+        """What a request asks for; with positions if asked for, or if a clause needs them."""
         m = self.catalog.resolve(r.symbol, r.as_of) if not r.staged or self.has_symbol(r.symbol, r.as_of) else None
         if r.staged:
             m = self._with_staged(r.symbol, m)
@@ -262,6 +294,9 @@ class Library:
         first: tuple = ()
         if r.date_range is not None:
             first = (DateRange(*r.date_range),)
+            if any(isinstance(c, ResampleBy) and c.spec.of_data for c in clauses):
+                raise UserInputError("an origin from the data does not go with a date range")
+        positions = positions or r.row_range is not None or needs_order(clauses)
         keep = m.segments
         for clause in (*first, *clauses):
             if isinstance(clause, DateRange):
@@ -280,10 +315,10 @@ class Library:
             a, b = (x if x is None else max(0, min(n, n + x if x < 0 else x)) for x in r.row_range)
             a, b = a or 0, n if b is None else b
             keep = [s for s in keep if s.first_row < b and s.first_row + s.rows > a]
-        rows = self._rows(m, keep)
+        rows = self._rows(m, keep, positions)
         if r.row_range is not None:
             rows = rows.filter((F.col(ROW) >= a) & (F.col(ROW) < b))
-        frame = Frame(rows, m.index, (ROW,))
+        frame = Frame(rows, m.index, (ROW,) if positions else ())
         for clause in first:
             frame = clause.apply(frame)
         for i, clause in enumerate(clauses):
@@ -302,14 +337,14 @@ class Library:
         return frame, m
 
     def read(self, symbol: str, as_of: Any = None, date_range: tuple | None = None, row_range: tuple | None = None, columns: list[str] | None = None, query: Query | None = None, lazy: bool = False, staged: bool = False) -> Any:
-        """The symbol's data, in the order of its rows, or a lazy read. staged: rows that are staged come after them."""
+        """The symbol's data, or a lazy read. staged: rows that are staged come after them."""
         request = Request(symbol, as_of, date_range, row_range, columns, query, staged)
         if lazy:
             return LazyFrame(self, request)
         frame, m = self._frame(request)
         if m.pickled:
             return VersionedItem(symbol, pickle.loads(frame.df.first()["object"]), m.version, m.metadata, m.created)
-        return VersionedItem(symbol, frame.sorted(), m.version, m.metadata, m.created)
+        return VersionedItem(symbol, frame.visible(), m.version, m.metadata, m.created, lambda: self._frame(request, True)[0].sorted())
 
     def read_batch(self, requests: list[str | Request], query: Query | None = None, lazy: bool = False) -> Any:
         requests = [Request(r) if isinstance(r, str) else r for r in requests]
@@ -317,7 +352,7 @@ class Library:
             requests = [replace(r, query=r.query or query) for r in requests]
         if lazy:
             return LazyFrames([LazyFrame(self, r) for r in requests])
-        return [_or_error(r.symbol, lambda r=r: self.read(r.symbol, r.as_of, r.date_range, r.row_range, r.columns, r.query)) for r in requests]
+        return _each([(r.symbol, lambda r=r: self.read(r.symbol, r.as_of, r.date_range, r.row_range, r.columns, r.query)) for r in requests])
 
     def read_batch_and_join(self, requests: list[str | Request], query: Query) -> JoinedItem:
         """Reads several symbols and runs a query on them that begins with concat."""
@@ -341,7 +376,7 @@ class Library:
         return VersionedItem(symbol, None, m.version, m.metadata, m.created)
 
     def read_metadata_batch(self, symbols: list[str]) -> list[VersionedItem | DataError]:
-        return [_or_error(s, lambda s=s: self.read_metadata(s)) for s in symbols]
+        return _each([(s, lambda s=s: self.read_metadata(s)) for s in symbols])
 
     def get_description(self, symbol: str, as_of: Any = None) -> SymbolDescription:
         m = self.catalog.resolve(symbol, as_of)
@@ -351,7 +386,7 @@ class Library:
         return SymbolDescription(columns, m.index, m.rows, span, m.sorted, pd.Timestamp(m.created, tz="UTC"))
 
     def get_description_batch(self, symbols: list[str]) -> list[SymbolDescription | DataError]:
-        return [_or_error(s, lambda s=s: self.get_description(s)) for s in symbols]
+        return _each([(s, lambda s=s: self.get_description(s)) for s in symbols])
 
     def read_index(self, symbol: str, as_of: Any = None) -> pd.DataFrame:
         """The version's segments: paths, rows and times."""
@@ -388,13 +423,34 @@ class Library:
 
     def _commit(self, symbol: str, m: Manifest, prune: bool = False) -> VersionedItem:
         m.segments = S.numbered(m.segments)
+        if not m.adopted and self.folder.names(f"{self.catalog.symbol(symbol)}/staging") and self.has_symbol(symbol):  # a crash may have left entries
+            m.adopted = self.catalog.resolve(symbol).adopted
         m = self.catalog.commit(symbol, m)
         if prune:
             self.prune_previous_versions(symbol)
         return VersionedItem(symbol, None, m.version, m.metadata, m.created)
 
-    def _write(self, symbol: str, df: DataFrame, index: str | None) -> list[Segment]:
-        return S.write_segments(df, self.folder.full(f"{self.catalog.symbol(symbol)}/data"), index, self.options.rows_per_segment, self.options.codec)
+    def _data(self, symbol: str) -> str:
+        return self.folder.full(f"{self.catalog.symbol(symbol)}/data")
+
+    def _write(self, symbol: str, df: DataFrame, index: str | None, order: list[str] | None = None) -> list[Segment]:
+        return S.write_segments(df, self._data(symbol), index, self.options.rows_per_segment, self.options.codec, order, self.options.dedup)
+
+    def _kept(self, symbol: str, segments: list[Segment], m: Manifest) -> list[Segment]:
+        """The segments, but where the newest version has one with the same rows, that one; its copy is deleted."""
+        if not self.options.dedup or not self.has_symbol(symbol):
+            return segments
+        old = self.catalog.resolve(symbol)
+        if old.index != m.index:
+            return segments
+        known = {(s.digest, s.rows, json.dumps(old.forms[s.form])): s for s in old.segments if s.digest}
+        out = []
+        for s in segments:
+            same = known.get((s.digest, s.rows, json.dumps(m.forms[s.form])))
+            if same:
+                self.folder.delete_path(s.path)
+            out.append(replace(same, form=s.form, stats={}) if same else s)
+        return out
 
     @staticmethod
     def _schema(df: DataFrame) -> dict:
@@ -407,18 +463,21 @@ class Library:
         for f in df.schema.fields:
             if f.name != ROW:
                 K.kind_of(f)
-        placed = ROW in df.columns
-        df = S.with_positions(df, index)
-        if index and validate_index and placed:  # else they are in the index's order by now
+        if index and validate_index and ROW in df.columns:  # else they will be put in the index's order
             S.check_sorted(df, index)
         return df, index
 
     def write(self, symbol: str, data: Any, metadata: Any = None, index: str | None = None, prune_previous_versions: bool = False, validate_index: bool = True) -> VersionedItem:
         """Writes a new version. index: the column of times, if rows are indexed by one (pandas: its DatetimeIndex)."""
         df, index = self._input(data, index, validate_index)
-        schema = self._schema(df)
-        m = Manifest(0, 0, index, [schema], schema, self._write(symbol, df, index), metadata, sorted=index is not None and validate_index)
-        return self._commit(symbol, m, prune_previous_versions)
+        return self._new(symbol, df, index, metadata, index is not None and validate_index, None, prune_previous_versions)
+
+    def _new(self, symbol: str, df: DataFrame, index: str | None, metadata: Any, is_sorted: bool, order: list[str] | None = None, prune: bool = False) -> VersionedItem:
+        """Writes rows, in the given order, as a new version."""
+        schema = self._schema(df.drop(*(c for c in order or [] if c != index)))
+        m = Manifest(0, 0, index, [schema], schema, self._write(symbol, df, index, order), metadata, sorted=is_sorted)
+        m.segments = self._kept(symbol, m.segments, m)
+        return self._commit(symbol, m, prune)
 
     def write_pickle(self, symbol: str, data: Any, metadata: Any = None) -> VersionedItem:
         """Writes any object, to be read whole."""
@@ -474,14 +533,12 @@ class Library:
         after = [s for s in m.segments if s.start > hi]
         cut = [s for s in m.segments if s.end >= lo and s.start <= hi]
         for side, keep in ((before, lambda t: t < lo), (after, lambda t: t > hi)):
-            reach = [s for s in cut if (s.start < lo if side is before else s.end > hi)]
             parts: list[Segment] = []
-            for form in sorted({s.form for s in reach}):
-                own = [s for s in reach if s.form == form]
-                rows = S.read_segments(self.spark, own, T.StructType.fromJson(m.forms[form]))
-                rows = rows.filter(keep(S.micros_of(m.index, rows)))
-                parts += [replace(s, form=form) for s in self._write(symbol, rows, m.index)]
-            parts.sort(key=lambda s: s.stored_row)
+            for s in cut:  # as they ascend, one reaches out on a side, or a few that share its time
+                if s.start < lo if side is before else s.end > hi:
+                    rows = S.read_segments(self.spark, [s], T.StructType.fromJson(m.forms[s.form]))
+                    rows = rows.filter(keep(S.micros_of(m.index, rows)))
+                    parts += [replace(x, form=s.form) for x in self._write(symbol, rows, m.index, [ROW])]
             if side is before:
                 before += parts
             else:
@@ -538,12 +595,12 @@ class Library:
             touched = m.segments[min(at) : max(at) + 1] if at else []
         rows, added = merge(self._rows(m, touched), src, keys, *strategy, keep=(ROW,))
         first = m.segments.index(touched[0]) if touched else (sum(1 for s in m.segments if m.index and s.end < lo) if m.index else len(m.segments))
+        order, rows = [ROW], rows.select(*m.struct().names, ROW)
         if added is not None:
-            order = [m.index] if m.index else []
+            order = [*([m.index] if m.index else []), "__new", ROW]
             rows = rows.withColumn("__new", F.lit(0)).unionByName(added.withColumn(ROW, F.lit(None).cast("long")).withColumn("__new", F.lit(1)))
-            rows = ranges.positions(rows.withColumnRenamed(ROW, "__old"), [*order, "__new", "__old"], ROW).drop("__new", "__old")
         form = m.forms.index(m.schema) if m.schema in m.forms else len(m.forms)
-        new = [replace(s, form=form) for s in self._write(symbol, rows.select(*m.struct().names, ROW), m.index)]
+        new = [replace(s, form=form) for s in self._write(symbol, rows, m.index, order)]
         segments = [*m.segments[:first], *new, *m.segments[first + len(touched) :]]
         return self._commit(symbol, replace_manifest(m, forms=self._forms(m, m.forms, m.schema, form), segments=segments, metadata=metadata))
 
@@ -555,15 +612,19 @@ class Library:
         """An old version's data and metadata as the newest version."""
         return self._commit(symbol, self.catalog.resolve(symbol, as_of))
 
+    def restore_version_batch(self, items: dict[str, Any]) -> list[VersionedItem | DataError]:
+        return self._batch(self.restore_version, items)
+
     def read_modify_write(self, symbol: str, query: Query, target: str | None = None, as_of: Any = None) -> VersionedItem:
         """Writes the result of a query."""
-        frame, m = self._frame(Request(symbol, as_of, query=query))
+        frame, m = self._frame(Request(symbol, as_of, query=query), True)
         index = frame.index if frame.index in frame.df.columns else None
-        rows = frame.visible() if ROW not in frame.df.columns else ranges.positions(frame.df.withColumnRenamed(ROW, "__old"), ["__old"], ROW).drop("__old")
-        return self.write(target or symbol, rows, m.metadata, index)
+        if ROW not in frame.df.columns:
+            return self.write(target or symbol, frame.visible(), m.metadata, index)
+        return self._new(target or symbol, frame.df, index, m.metadata, index is not None and m.sorted, [ROW])
 
     def _batch(self, verb, items: dict[str, Any], **options: Any) -> list[VersionedItem | DataError]:
-        return [_or_error(s, lambda s=s, d=d: verb(s, d, **options)) for s, d in items.items()]
+        return _each([(s, lambda s=s, d=d: verb(s, d, **options)) for s, d in items.items()])
 
     def write_batch(self, items: dict[str, Any], **options: Any) -> list[VersionedItem | DataError]:
         return self._batch(self.write, items, **options)
@@ -582,14 +643,15 @@ class Library:
 
     # deleting
 
-    def _sweep(self, symbol: str) -> None:
-        """Removes folders of segments that no version and no snapshot has."""
-        versions = {*self.catalog.numbers(symbol), *self.catalog.pinned(symbol)}
-        used = {s.path.rsplit("/", 2)[1] for v in versions for s in self.catalog.load(symbol, v).segments}
-        base = f"{self.catalog.symbol(symbol)}/data"
-        for name in self.folder.names(base):
-            if name not in used:
-                self.folder.delete(f"{base}/{name}")
+    def _sweep(self, symbol: str, gone: Iterable[int]) -> None:
+        """Removes folders of segments that versions which are gone had, and no other version, snapshot or staged entry has."""
+        held = {*self.catalog.numbers(symbol), *self.catalog.pinned(symbol)}
+        lost = {s.folder for v in set(gone) - held for s in self.catalog.load(symbol, v).segments}
+        if lost:
+            lost -= {s.folder for v in held for s in self.catalog.load(symbol, v).segments}
+            lost -= {s.folder for _, e in self._entries(symbol) for s in S.from_json(e["segments"])}
+        for path in lost:
+            self.folder.delete_path(path)
 
     def delete(self, symbol: str, versions: int | Iterable[int] | None = None) -> None:
         """Deletes versions, or all; what a snapshot holds can still be read through it."""
@@ -599,16 +661,17 @@ class Library:
             raise NoSuchVersionError(f"{symbol} has no version {', '.join(map(str, missing)) or 'at all'}")
         for v in gone:
             self.catalog.mark_deleted(symbol, v)
-        self._sweep(symbol)
+        self._sweep(symbol, gone)
 
     def delete_batch(self, symbols: list[str]) -> list[None | DataError]:
-        return [_or_error(s, lambda s=s: self.delete(s)) for s in symbols]
+        return _each([(s, lambda s=s: self.delete(s)) for s in symbols])
 
     def prune_previous_versions(self, symbol: str) -> None:
         """Deletes all versions but the newest and those in snapshots."""
-        for v in self.catalog.numbers(symbol)[:-1]:
+        gone = self.catalog.numbers(symbol)[:-1]
+        for v in gone:
             self.catalog.mark_deleted(symbol, v)
-        self._sweep(symbol)
+        self._sweep(symbol, gone)
 
     # snapshots
 
@@ -637,43 +700,71 @@ class Library:
     def delete_snapshot(self, name: str) -> None:
         held = self.catalog.snapshot(name)["versions"]
         self.catalog.drop_snapshot(name)
-        for s in held:
-            self._sweep(s)
+        for s, v in held.items():
+            self._sweep(s, [v])
 
     def list_snapshots(self) -> dict[str, Any]:
         return {n: c["metadata"] for n, c in self.catalog.snapshots().items()}
 
     # staging
 
-    def stage(self, symbol: str, data: Any, index: str | None = None, sort_on_index: bool = False, sort_columns: list[str] | None = None, validate_index: bool = True) -> str:
-        """Writes rows that cannot be read until they are finalized; returns their token."""
-        order = sort_columns or []
+    def stage(self, symbol: str, data: Any, index: str | None = None, sort_on_index: bool = False, sort_columns: list[str] | None = None, validate_index: bool = True, token: str | None = None) -> str:
+        """Writes rows that cannot be read until they are finalized; returns their token. Under a given token, rows are staged once."""
+        token = safe(token) if token else uuid.uuid4().hex
+        entry = f"{self.catalog.symbol(symbol)}/staging/{token}.json"
+        if self.folder.exists(entry) or self.is_adopted(symbol, token):
+            return token
+        order = list(sort_columns or [])
         df, index = S.as_frame(self.spark, data, index)
         if sort_on_index and index:
             order = [index]
-        if order:
-            df = ranges.positions(df.drop(ROW), order, ROW)
         df, index = self._input(df, index, validate_index and not order)
-        token = uuid.uuid4().hex
-        base = f"{self.catalog.symbol(symbol)}/staging/{token}"
-        found = S.write_segments(df, self.folder.full(f"{base}/data"), index, self.options.rows_per_segment, self.options.codec)
-        self.folder.put(f"{base}/staged.json", json.dumps({"segments": S.to_json(found), "schema": self._schema(df), "index": index}))
+        schema = self._schema(df)
+        if order:  # columns that order rows are kept: those given to the writer are left out
+            names = [f"__order_{i}" for i in range(len(order))]
+            for n, c in zip(names, order, strict=True):
+                df = df.withColumn(n, F.col(f"`{c}`"))
+            order = [*names, *([ROW] if ROW in df.columns else [])]
+        found = self._write(symbol, df, index, order or None)
+        self.folder.put(entry, json.dumps({"segments": S.to_json(found), "schema": schema, "index": index}))
         return token
 
+    def _entries(self, symbol: str) -> list[tuple[str, dict]]:
+        """Tokens and entries of staged rows, but those that a version has."""
+        base = f"{self.catalog.symbol(symbol)}/staging"
+        there = [n.removesuffix(".json") for n in self.folder.names(base) if n.endswith(".json")]
+        if not there:
+            return []
+        adopted = set(self.catalog.resolve(symbol).adopted) if self.has_symbol(symbol) else set()
+        return [(t, json.loads(self.folder.read(f"{base}/{t}.json"))) for t in there if t not in adopted]
+
+    def is_adopted(self, symbol: str, token: str) -> bool:
+        """Whether the newest version has the staged rows of a token (or one of the last TOKENS before it had)."""
+        return self.has_symbol(symbol) and token in self.catalog.resolve(symbol).adopted
+
     def get_staged_symbols(self) -> list[str]:
         from urllib.parse import unquote
 
-        return [unquote(s) for s in self.folder.names("symbols") if self.folder.names(f"symbols/{s}/staging")]
+        return [s for s in map(unquote, self.folder.names("symbols")) if self._entries(s)]
 
     def delete_staged_data(self, symbol: str) -> None:
-        self.folder.delete(f"{self.catalog.symbol(symbol)}/staging")
+        self._unstage(symbol, [t for t, _ in self._entries(symbol)], delete=True)
+
+    def _unstage(self, symbol: str, tokens: list[str], delete: bool = False) -> None:
+        """Removes entries, and their rows."""
+        for t, e in self._entries(symbol):
+            if delete and t in tokens:
+                for path in {s.folder for s in S.from_json(e["segments"])}:
+                    self.folder.delete_path(path)
+        for t in tokens:
+            self.folder.delete(f"{self.catalog.symbol(symbol)}/staging/{t}.json")
 
     def _staged(self, symbol: str, tokens: list[str] | None) -> list[tuple[str, dict]]:
-        base = f"{self.catalog.symbol(symbol)}/staging"
-        there = [t for t in self.folder.names(base) if self.folder.exists(f"{base}/{t}/staged.json")]
-        if tokens is not None and set(tokens) - set(there):
-            raise NoSuchVersionError(f"nothing is staged for {symbol} under {', '.join(sorted(set(tokens) - set(there)))}")
-        found = [(t, json.loads(self.folder.read(f"{base}/{t}/staged.json"))) for t in there if tokens is None or t in tokens]
+        there = self._entries(symbol)
+        missing = set(tokens or []) - {t for t, _ in there}
+        if missing:
+            raise NoSuchVersionError(f"nothing is staged for {symbol} under {', '.join(sorted(missing))}")
+        found = [(t, e) for t, e in there if tokens is None or t in tokens]
         if not found:
             raise NoSuchVersionError(f"nothing is staged for {symbol}")
         return found
@@ -694,10 +785,12 @@ class Library:
             item = self._finalized(symbol, mode, staged, metadata, sort, prune, validate)
         except TidemarkError:
             if clear:
-                self.delete_staged_data(symbol)
+                self._unstage(symbol, [t for t, _ in staged], delete=True)
             raise
-        for token, _ in staged:
-            self.folder.delete(f"{self.catalog.symbol(symbol)}/staging/{token}")
+        self._unstage(symbol, [t for t, _ in staged])
+        if sort:  # its rows were written anew
+            for path in {s.folder for _, e in staged for s in S.from_json(e["segments"])}:
+                self.folder.delete_path(path)
         return item
 
     def _finalized(self, symbol: str, mode: str, staged: list[tuple[str, dict]], metadata: Any, sort: bool, prune: bool, validate: bool) -> VersionedItem:
@@ -716,8 +809,7 @@ class Library:
             if index is None:
                 raise SchemaError("sorting needs an index of times")
             whole = replace_manifest(m, schema=schema, forms=forms, segments=[s for b in blocks for s in S.numbered(b)])
-            rows = self._rows(whole).withColumnRenamed(ROW, "__old")
-            segments = self._write(symbol, ranges.positions(rows, [index, "__old"], ROW).drop("__old"), index)
+            segments = self._write(symbol, self._rows(whole), index, [index, ROW])
             form = forms.index(schema) if schema in forms else len(forms)
             forms = forms if form < len(forms) else [*forms, schema]
             segments = [replace(s, form=form) for s in segments]
@@ -727,10 +819,11 @@ class Library:
                 for a, b in zip(blocks, blocks[1:], strict=False):
                     if validate and min(s.start for s in b) < max(s.end for s in a):
                         raise UnsortedDataError(f"staged blocks of {symbol} overlap in time")
-            segments = [self._adopt(symbol, s) for b in blocks for s in b]
+            segments = [s for b in blocks for s in b]
         if old and index and segments and old.segments and min(s.start for s in segments) < max(s.end for s in old.segments):
             raise UnsortedDataError(f"staged rows of {symbol} begin before its last time")
-        out = replace_manifest(m, schema=schema, forms=forms, segments=[*m.segments, *segments], metadata=metadata)
+        adopted = [*(self.catalog.resolve(symbol).adopted if self.has_symbol(symbol) else []), *(t for t, _ in staged)][-TOKENS:]
+        out = replace_manifest(m, schema=schema, forms=forms, segments=[*m.segments, *segments], metadata=metadata, adopted=adopted)
         return self._commit(symbol, out, prune)
 
     def _with_staged(self, symbol: str, m: Manifest | None) -> Manifest:
@@ -753,32 +846,36 @@ class Library:
         return replace_manifest(m, schema=schema, forms=forms, segments=S.numbered([*m.segments, *(s for b in blocks for s in b)]))
 
     def write_partitioned(self, symbol: str, data: Any, by: str, index: str | None = None) -> dict[Any, VersionedItem]:
-        """A symbol ``symbol/value`` for each distinct value of a column of few values, without that column."""
+        """A symbol ``symbol/value`` for each distinct value of a column, without that column; all rows are written in one pass."""
         df, index = S.as_frame(self.spark, data, index)
-        values = [r[0] for r in df.select(F.col(f"`{by}`")).distinct().orderBy(by).limit(MOST_PARTITIONS + 1).collect()]
-        if len(values) > MOST_PARTITIONS:
-            raise UserInputError(f"column {by} has more than {MOST_PARTITIONS} values")
-        out = {}
-        for v in values:
-            rows = df.filter(F.col(f"`{by}`").eqNullSafe(F.lit(v))).drop(by)
-            if ROW in rows.columns:
-                rows = ranges.positions(rows.withColumnRenamed(ROW, "__old"), ["__old"], ROW).drop("__old")
-            out[v] = self.write(f"{symbol}/{v}", rows, index=index)
-        return out
+        key = F.col(f"`{by}`")
+        values = [r[0] for r in df.select(key).distinct().orderBy(by).collect()]  # a symbol each
+        kind = T.StructType([T.StructField("__value", df.schema[by].dataType), T.StructField("__piece", T.LongType())])
+        numbers = self.spark.createDataFrame([(v, i) for i, v in enumerate(values)], kind)
+        rows = df.join(numbers, key.eqNullSafe(F.col("__value"))).drop(by, "__value")
+        stored = T.StructType.fromJson(self._schema(rows.drop("__piece")))
+        order = [ROW] if ROW in rows.columns else [index] if index else []
+        pieces = S.write_pieces(rows, self._data(symbol), "__piece", order, index, self.options.rows_per_segment, self.options.codec, stored)
+
+        def commit(number: int, value: Any) -> VersionedItem:
+            schema = stored.jsonValue()
+            return self._commit(f"{symbol}/{value}", Manifest(0, 0, index, [schema], schema, pieces.get(number, []), sorted=index is not None))
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            return dict(zip(values, pool.map(commit, range(len(values)), values), strict=True))
 
     def export_file(self, symbol: str, uri: str, as_of: Any = None) -> None:
         """A version as one Parquet file and its manifest, in a folder of their own."""
-        frame, m = self._frame(Request(symbol, as_of))
+        frame, m = self._frame(Request(symbol, as_of), True)
         target = Folder(self.spark, uri)
-        frame.df.orderBy(ROW).coalesce(1).write.mode("overwrite").parquet(target.full("data"))
+        frame.sorted().coalesce(1).write.mode("overwrite").parquet(target.full("data"))
         target.put("manifest.json", m.to_json())
 
     def import_file(self, symbol: str, uri: str) -> VersionedItem:
         """Writes what ``export_file`` has written as a new version."""
         source = Folder(self.spark, uri)
         m = Manifest.from_json(source.read("manifest.json"))
-        full = T.StructType([*m.struct().fields, T.StructField(ROW, T.LongType())])
-        rows = self.spark.read.schema(full).parquet(source.full("data"))
+        rows = self.spark.read.schema(m.struct()).parquet(source.full("data")).withColumn(ROW, F.col("_metadata.row_index"))
         new = Manifest(0, 0, m.index, [m.schema], m.schema, self._write(symbol, rows, m.index), m.metadata, m.pickled, m.sorted)
         return self._commit(symbol, new)
 
@@ -787,20 +884,11 @@ class Library:
         request = Request(symbol, **options)
         frame, m = self._frame(request)
         opened = set(frame.df.inputFiles())
-        names = {f.rsplit("/", 1)[1] for f in opened}
-        own = [s for s in m.segments if s.path.rsplit("/", 1)[1] in names]
+        names = {ranges.file_key(f) for f in opened}
+        own = [s for s in m.segments if ranges.file_key(s.path) in names]
         plan = frame.df._jdf.queryExecution().simpleString()
         return {"segments": len(m.segments), "opened": len(own), "rows": m.rows, "opened_rows": sum(s.rows for s in own), "plan": plan}
 
-    def _adopt(self, symbol: str, s: Segment) -> Segment:
-        """Moves a staged segment to the symbol's data."""
-        name = s.path.rsplit("/", 1)[1]
-        to = f"{self.catalog.symbol(symbol)}/data/{uuid.uuid4().hex}/{name}"
-        at = f"{self.catalog.symbol(symbol)}/staging/" + s.path.split("/staging/", 1)[1]
-        if not self.folder.rename(at, to):
-            raise TidemarkError(f"cannot move {s.path}")
-        return replace(s, path=self.folder.full(to))
-
     # compaction and statistics
 
     def explain_compaction(self, symbol: str, rows_per_segment: int | None = None) -> list[list[int]]:
@@ -828,16 +916,26 @@ class Library:
         groups = self.explain_compaction(symbol, rows_per_segment)
         if not groups:
             return VersionedItem(symbol, None, m.version, m.metadata, m.created)
+        made: dict[int, list[Segment]] = {}
+        for form in {m.segments[g[0]].form for g in groups}:  # all groups of a form in one pass
+            own = [(n, g) for n, g in enumerate(groups) if m.segments[g[0]].form == form]
+            schema = T.StructType.fromJson(m.forms[form])
+            table, pieces = [], {}
+            for n, g in own:
+                held = sum(m.segments[i].rows for i in g)
+                size = -(-held // max(1, round(held / target)))
+                table += [(m.segments[i].path, m.segments[i].first_row - m.segments[g[0]].first_row, size, len(pieces)) for i in g]
+                pieces |= {len(pieces) + i: n for i in range(-(-held // size))}
+            files = self.spark.createDataFrame([(ranges.file_key(path), *rest) for path, *rest in table], "__f string, __shift long, __size long, __base long")  # a row per segment
+            rows = self.spark.read.schema(schema).parquet(*(path for path, *_ in table)).select("*", ranges.file_key_column().alias("__file"), F.col("_metadata.row_index").alias("__at"))
+            rows = rows.join(F.broadcast(files), F.col("__file") == F.col("__f")).withColumn("__old", F.col("__shift") + F.col("__at"))
+            rows = rows.withColumn("__piece", F.col("__base") + F.floor(F.col("__old") / F.col("__size")))
+            found = S.write_pieces(rows, self._data(symbol), "__piece", ["__old"], m.index, 1 << 40, self.options.codec, schema)
+            for piece in sorted(found):
+                made.setdefault(pieces[piece], []).extend(replace(s, form=form) for s in found[piece])
         out, at = [], 0
-        for g in groups:
-            out += m.segments[at : g[0]]
-            own = [m.segments[i] for i in g]
-            rows = S.read_segments(self.spark, own, T.StructType.fromJson(m.forms[own[0].form]))
-            n = sum(s.rows for s in own)
-            pieces = max(1, round(n / target))
-            rows = rows.withColumn(ROW, F.col(ROW) - own[0].first_row)
-            new = S.write_segments(rows, self.folder.full(f"{self.catalog.symbol(symbol)}/data"), m.index, -(-n // pieces), self.options.codec)
-            out += [replace(s, form=own[0].form) for s in new]
+        for n, g in enumerate(groups):
+            out += m.segments[at : g[0]] + made.get(n, [])
             at = g[-1] + 1
         out += m.segments[at:]
         return self._commit(symbol, replace_manifest(m, segments=out), prune_previous_versions)
@@ -863,9 +961,9 @@ class Library:
             own = [c for c in columns if c in rows.columns]
             value = {c: F.unix_micros(F.col(f"`{c}`").cast("timestamp")) if K.kind_of(fields[c]) == K.TIME else F.col(f"`{c}`").cast("double") if K.kind_of(fields[c]) == K.BOOL else F.col(f"`{c}`") for c in own}
             measures = [f(value[c]).alias(f"{n}{i}") for i, c in enumerate(own) for n, f in (("lo", F.min), ("hi", F.max))]
-            for r in rows.groupBy(F.col("_metadata.file_name").alias("f")).agg(*(measures or [F.count(F.lit(1))])).collect():  # a row per file
+            for r in rows.groupBy(ranges.file_key_column().alias("f")).agg(*(measures or [F.count(F.lit(1))])).collect():  # a row per file
                 found[r["f"]] = {c: [_number(r[f"lo{i}"]), _number(r[f"hi{i}"])] for i, c in enumerate(own)} | {c: [None, None] for c in columns if c not in own}
-        m.segments = [replace(s, stats={**s.stats, **found.get(s.path.rsplit("/", 1)[1], {})}) for s in m.segments]
+        m.segments = [replace(s, stats={**s.stats, **found.get(ranges.file_key(s.path), {})}) for s in m.segments]
         self.catalog.replace(symbol, m)
 
     def drop_column_stats(self, symbol: str, columns: list[str] | None = None, as_of: Any = None) -> None:
@@ -898,6 +996,10 @@ class Library:
         """Kept for callers: symbols are always listed from the files."""
         return self.list_symbols()
 
+    def compact_symbol_list(self) -> int:
+        """Kept for callers: there is no list to compact."""
+        return 0
+
 
 def replace_manifest(m: Manifest, **changes: Any) -> Manifest:
     return replace(m, **changes)
@@ -912,4 +1014,5 @@ def _micros(value: Any) -> int:
 
 
 def _number(value: Any) -> Any:
-    return value if value is None or isinstance(value, (int, float)) else float(value)
+    """As JSON has it: whole numbers stay whole, whatever their size."""
+    return int(value) if isinstance(value, Decimal) else value if value is None or isinstance(value, (int, float)) else float(value)

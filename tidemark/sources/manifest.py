@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import pickle
 import re
 import time
 from dataclasses import asdict, dataclass, field
@@ -17,6 +19,9 @@ from tidemark.sources.files import Folder
 from tidemark.sources.segments import Segment
 
 
+_PICKLED = "__pickled__"
+
+
 @dataclass
 class Manifest:
     version: int
@@ -28,6 +33,8 @@ class Manifest:
     metadata: Any = None
     pickled: bool = False
     sorted: bool = True
+    #: Tokens of staged rows that are in this version or were in one before it, the latest ones.
+    adopted: list[str] = field(default_factory=list)
 
     @property
     def rows(self) -> int:
@@ -37,15 +44,30 @@ class Manifest:
         return T.StructType.fromJson(self.schema)
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), default=str)
+        return json.dumps(asdict(self) | {"metadata": packed(self.metadata)})
 
     @classmethod
     def from_json(cls, text: str) -> Manifest:
         raw = json.loads(text)
+        raw["metadata"] = unpacked(raw["metadata"])
         raw["segments"] = [Segment(**s) for s in raw["segments"]]
         return cls(**raw)
 
 
+def packed(value: Any) -> Any:
+    """Metadata as JSON has it: as it is, if that gives it back, or else pickled."""
+    try:
+        if json.loads(json.dumps(value)) == value and not (isinstance(value, dict) and set(value) == {_PICKLED}):
+            return value
+    except (TypeError, ValueError):
+        pass
+    return {_PICKLED: base64.b64encode(pickle.dumps(value)).decode()}
+
+
+def unpacked(value: Any) -> Any:
+    return pickle.loads(base64.b64decode(value[_PICKLED])) if isinstance(value, dict) and set(value) == {_PICKLED} else value
+
+
 @dataclass(frozen=True)
 class VersionInfo:
     version: int
@@ -106,15 +128,19 @@ class Catalog:
     # snapshots
 
     def snapshots(self) -> dict[str, dict]:
-        return {unquote(n.removesuffix(".json")): json.loads(self.folder.read(f"snapshots/{n}")) for n in self.folder.names("snapshots")}
+        return {unquote(n.removesuffix(".json")): self._snapshot(n) for n in self.folder.names("snapshots")}
+
+    def _snapshot(self, file: str) -> dict:
+        content = json.loads(self.folder.read(f"snapshots/{file}"))
+        return content | {"metadata": unpacked(content["metadata"])}
 
     def snapshot(self, name: str) -> dict:
         if not self.folder.exists(f"snapshots/{safe(name)}.json"):
             raise NoSuchVersionError(f"there is no snapshot {name}")
-        return json.loads(self.folder.read(f"snapshots/{safe(name)}.json"))
+        return self._snapshot(f"{safe(name)}.json")
 
     def put_snapshot(self, name: str, content: dict) -> None:
-        self.folder.put(f"snapshots/{safe(name)}.json", json.dumps(content, default=str))
+        self.folder.put(f"snapshots/{safe(name)}.json", json.dumps(content | {"metadata": packed(content["metadata"])}))
 
     def drop_snapshot(self, name: str) -> None:
         self.snapshot(name)

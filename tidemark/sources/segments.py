@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import SchemaError, UnsortedDataError, UserInputError
 from tidemark.functions import types as K
-from tidemark.operators.ranges import positions
+from tidemark.operators.ranges import file_order, in_ranges, placed_rows
 from tidemark.plans.query import ROW
 
 #: Rows of a segment, as a library's option says.
@@ -27,18 +27,22 @@ SEGMENT_ROWS = 100_000
 class Segment:
     """A Parquet file: its rows, where they come in the version, and its first and last time (microseconds).
 
-    stored_row: position of its first row as stored, which may differ. form: number of its schema in the
-    manifest, where schemas change over time. stats: least and greatest value of columns.
+    form: number of its schema in the manifest, where schemas change over time. stats: least and greatest value of
+    columns. digest: names the rows, in libraries that look for segments they have.
     """
 
     path: str
     rows: int
     first_row: int
-    stored_row: int
     start: int | None = None
     end: int | None = None
     form: int = 0
     stats: dict[str, list] = field(default_factory=dict)
+    digest: str | None = None
+
+    @property
+    def folder(self) -> str:
+        return self.path.rpartition("/")[0]
 
 
 #: Functions that turn objects of other types into frames, or return None; the latest registered is asked first.
@@ -160,47 +164,65 @@ def check_sorted(df: DataFrame, index: str) -> None:
         raise UnsortedDataError(f"rows are not in the order of {index}")
 
 
-def with_positions(df: DataFrame, index: str | None) -> DataFrame:
-    """Rows numbered from 0: as they came, or else in the order of the index, or of partitions."""
-    if ROW in df.columns:
-        return df
-    if index:
-        return positions(df, [index], ROW)
-    placed = df.withColumn("__n", F.monotonically_increasing_id())
-    part = F.shiftright("__n", 33)
-    counts = placed.groupBy(part.alias("p")).count().orderBy("p").collect()  # a row per partition
-    start, total = {}, 0
-    for r in counts:
-        start[r[0]], total = total, total + r[1]
-    if not start:
-        return df.withColumn(ROW, F.lit(0).cast("long"))
-    base = F.create_map(*(F.lit(x) for pair in start.items() for x in pair))[part]
-    return placed.withColumn(ROW, (base + F.col("__n").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__n")
-
-
-def write_segments(df: DataFrame, folder: str, index: str | None, rows_per_segment: int, codec: str) -> list[Segment]:
-    """Writes rows with positions as segments in the order of positions, and describes them from one pass over the files."""
+def write_segments(df: DataFrame, folder: str, index: str | None, rows_per_segment: int, codec: str, order: list[str] | None = None, digests: bool = False) -> list[Segment]:
+    """Writes rows as segments and describes them from the files.
+
+    Rows go in the given order, else in that of their positions, else in that of the index, else as they come.
+    Positions are not stored: they are those in the files.
+    """
     path = f"{folder}/{uuid.uuid4().hex}"
-    spark = df.sparkSession
-    out = df.withColumn("__seg", F.floor(F.col(ROW) / rows_per_segment))
-    out = out.repartitionByRange("__seg").sortWithinPartitions(ROW).drop("__seg")
+    stored = [f for f in df.schema.fields if f.name != ROW and f.name not in (order or []) or f.name == index]
+    if order:
+        out = in_ranges(df, _ascending(order))
+    elif ROW in df.columns:
+        out = df.withColumn("__seg", F.floor(F.col(ROW) / rows_per_segment)).repartitionByRange("__seg").sortWithinPartitions(ROW)
+    elif index:
+        out = in_ranges(df, _ascending([index]))
+    else:
+        out = df
+    out = out.select(*(_col(f.name) for f in stored))
     out.write.option("maxRecordsPerFile", rows_per_segment).option("compression", codec).parquet(path)
-    return described(spark, path, index, df.schema)
+    return described(df.sparkSession, path, index, T.StructType(stored), digests)
+
 
+def write_pieces(df: DataFrame, folder: str, piece: str, order: list[str], index: str | None, rows_per_segment: int, codec: str, schema: T.StructType) -> dict[int, list[Segment]]:
+    """Writes rows in one pass as segments of several pieces (a column of numbers); each piece's segments, in order."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    out = df.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*_ascending([piece, *order]), F.col("__tie")]
+    out = out.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*(_col(f.name) for f in schema.fields), piece)
+    out.write.partitionBy(piece).option("maxRecordsPerFile", rows_per_segment).option("compression", codec).parquet(path)
+    found: dict[int, list[Segment]] = {}
+    for s in described(df.sparkSession, path, index, schema, below=True):
+        found.setdefault(int(s.folder.rpartition("=")[2]), []).append(s)
+    return {n: numbered(own) for n, own in found.items()}
 
-def described(spark: SparkSession, path: str, index: str | None, schema: T.StructType) -> list[Segment]:
-    """The segments of a folder of Parquet files."""
-    rows = spark.read.schema(schema).parquet(path)
-    measures = [F.count(F.lit(1)).alias("n"), F.min(ROW).alias("lo")]
+
+def _col(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _ascending(names: list[str]) -> list[Column]:
+    return [_col(n).asc_nulls_first() for n in names]
+
+
+def described(spark: SparkSession, path: str, index: str | None, schema: T.StructType, digests: bool = False, below: bool = False) -> list[Segment]:
+    """The segments of a folder of Parquet files; of their columns only the index is read, unless digests are asked for."""
+    rows = spark.read.schema(schema)
+    rows = rows.option("recursiveFileLookup", "true").parquet(path) if below else rows.parquet(path)
+    measures = [F.count(F.lit(1)).alias("n")]
     if index:
         t = micros_of(index, rows)
         measures += [F.min(t).alias("t0"), F.max(t).alias("t1"), F.count(t).alias("timed")]
-    found = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(*measures).orderBy("lo").collect()  # a row per file
+    if digests:
+        named = F.xxhash64(F.col("_metadata.row_index"), *(_col(f.name) for f in schema.fields))
+        measures += [F.sum(named.cast("decimal(38,0)")).alias("d0"), F.bit_xor(F.xxhash64(named, F.lit(1))).alias("d1")]
+    found = rows.groupBy(F.col("_metadata.file_path").alias("f")).agg(*measures).collect()  # a row per file
     first, out = 0, []
-    for r in found:
+    for r in sorted(found, key=lambda r: file_order(r["f"])):
         if index and r["timed"] != r["n"]:
             raise UnsortedDataError(f"rows without a time in {index}")
-        out.append(Segment(unquote(r["f"]), r["n"], first, r["lo"], r["t0"] if index else None, r["t1"] if index else None))
+        out.append(Segment(unquote(r["f"]), r["n"], first, r["t0"] if index else None, r["t1"] if index else None, digest=f"{r['d0']}:{r['d1']}" if digests else None))
         first += r["n"]
     return out
 
@@ -214,26 +236,13 @@ def numbered(segments: list[Segment]) -> list[Segment]:
     return out
 
 
-def read_segments(spark: SparkSession, segments: list[Segment], schema: T.StructType) -> DataFrame:
-    """The segments' rows with positions in the version; few scans, one for each shift between stored and given positions."""
-    full = T.StructType([*schema.fields, T.StructField(ROW, T.LongType())])
+def read_segments(spark: SparkSession, segments: list[Segment], schema: T.StructType, positions: bool = True) -> DataFrame:
+    """The segments' rows, with their positions in the version if asked for."""
     if not segments:
-        return spark.createDataFrame([], full)
-    shifts: dict[int, list[str]] = {}
-    for s in segments:
-        shifts.setdefault(s.first_row - s.stored_row, []).append(s.path)
-    if len(shifts) <= 8:
-        out = None
-        for shift, paths in shifts.items():
-            part = spark.read.schema(full).parquet(*paths)
-            part = part if not shift else part.withColumn(ROW, F.col(ROW) + shift)
-            out = part if out is None else out.unionByName(part)
-        return out
-    # many: positions by file, from the manifest
-    rows = spark.read.schema(full).parquet(*(s.path for s in segments)).withColumn("__f", F.col("_metadata.file_name"))
-    table = spark.createDataFrame([(s.path.rpartition("/")[2], s.first_row - s.stored_row) for s in segments], "__f string, __shift long")
-    rows = rows.join(table, "__f", "left").withColumn(ROW, F.col(ROW) + F.col("__shift"))
-    return rows.select(*(F.col(f"`{f.name}`") for f in full.fields))
+        return spark.createDataFrame([], T.StructType([*schema.fields, *([T.StructField(ROW, T.LongType())] if positions else [])]))
+    if not positions:
+        return spark.read.schema(schema).parquet(*(s.path for s in segments))
+    return placed_rows(spark, schema, [(s.path, s.first_row) for s in segments], ROW)
 
 
 def to_json(segments: list[Segment]) -> list[dict]:
