@@ -54,11 +54,25 @@ def written(df: DataFrame, what: str, codec: str = "snappy", light: bool = False
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch length to ``rows``; it is never raised."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+class bounded_batches:
+    """Lowers the session's Arrow batch length to ``rows``; it is never raised.
+
+    As a context it is what it was afterwards. Where the result is lazy and runs Python, it stays lowered: the result
+    will need it.
+    """
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = BATCH_ROWS):
+        self.spark, self.before = spark, spark.conf.get(self.KEY)
+        if not 0 < int(self.before) <= rows:
+            spark.conf.set(self.KEY, str(rows))
+
+    def __enter__(self) -> bounded_batches:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.KEY, self.before)
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quality classifier: ridge regression on random Fourier features of document statistics, isotonically calibrated.
 
 Statistics of a text (shares of kinds of bytes, lengths of words, repetition) are standardised and mapped
-by random cosines whose inner products approximate a Gaussian kernel. Partitions sum their part of the
-normal equations; the driver solves them and fits, on labels kept aside, a monotone map of scores to
-probabilities by pooling adjacent violators over bins.
+by random cosines whose inner products approximate a Gaussian kernel; the score is linear in these and a
+constant, in nothing else. Partitions sum their part of the normal equations; the driver solves them and fits,
+on labels kept aside, a monotone map of scores to probabilities by pooling adjacent violators over bins. Between
+the middles of the pooled blocks the map is interpolated, so that unequal scores stay apart.
 
 Scale: fitting takes a sample of at most about SAMPLE labelled rows and sums of fixed size; scoring is one
 pass without a shuffle.
@@ -30,7 +31,7 @@ from tidemark.llm.words import slices, span_hashes, text_bytes, word_bounds
 
 #: Labelled rows that a model learns from, at most.
 SAMPLE = 200_000
-FEATURES = 256
+FEATURES = 512
 #: Width of the kernel in standard deviations of the statistics.
 WIDTH = 4.0
 RIDGE = 1e-3
@@ -39,43 +40,60 @@ BINS = 2048
 THRESHOLD = 0.7
 #: Groups of bytes whose shares are statistics.
 KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"|", b"$", b"%", b"&", b"#", b"*", b"'\"`", b":;", b"()[]{}<>", b"/\\", b"@", b"-_=+~^", bytes(range(128, 256))]
+#: Statistics of words and lines.
+MORE = 13
+
+
+def _runs(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct values each of n texts has, and how often its most frequent one occurs."""
+    order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    edges = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])])) if len(text) else np.zeros(0, np.int64)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, text[edges], np.diff(edges, append=len(text)))
+    return np.bincount(text[edges], minlength=n), most
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of statistics for each text."""
+    """A row of statistics for each text: shares of kinds of bytes (their roots), then MORE others."""
     data, bounds = text_bytes(texts)
+    n, size = len(texts), np.diff(bounds)
+    out = np.zeros((n, len(KINDS) + MORE))
+    if not len(data):
+        return out
+    kind_of = np.full(256, len(KINDS))
+    for k, kind in enumerate(KINDS):
+        kind_of[list(kind)] = k
+    kinds = np.bincount(np.repeat(np.arange(n), size) * (len(KINDS) + 1) + kind_of[data], minlength=n * (len(KINDS) + 1)).reshape(n, -1)
+    out[:, : len(KINDS)] = np.sqrt(kinds[:, :-1] / np.maximum(size, 1)[:, None])
+
     starts, ends, first = word_bounds(data, bounds)
-    hashes, lengths = span_hashes(data, starts, ends), ends - starts
-    lines = np.zeros(len(data), bool)
-    lines[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
-    after = np.flatnonzero(data == 10) + 1
-    lines[after[after < len(data)]] = True
-    line_starts = np.flatnonzero(lines)
+    lines = np.zeros(len(data) + 1, bool)
+    lines[bounds[:-1][size > 0]] = True
+    lines[np.flatnonzero(data == 10) + 1] = True
+    line_starts = np.flatnonzero(lines[:-1])
     line_hashes = span_hashes(data, line_starts, np.append(line_starts[1:], len(data)))
-    line_first = np.searchsorted(line_starts, bounds)
-    closes = np.isin(data[ends - 1], np.frombuffer(b".,!?;:", np.uint8))
-    capital = (data[starts] >= 65) & (data[starts] <= 90)
-    out = np.zeros((len(texts), len(KINDS) + 13))
-    counts = np.zeros((len(texts), 256))
-    for i, (a, b, p, q, s, t) in enumerate(zip(bounds[:-1], bounds[1:], first[:-1], first[1:], line_first[:-1], line_first[1:], strict=True)):
-        if a == b:
-            continue
-        counts[i] = np.bincount(data[a:b], minlength=256)
-        more = out[i, len(KINDS) :]
-        more[0], more[1], more[2] = np.log1p(b - a), np.log1p(q - p), np.log1p(t - s)
-        if q > p:
-            size, own = lengths[p:q], np.sort(hashes[p:q])
-            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-            more[3], more[4], more[5] = size.mean(), size.std(), np.log(size.max())
-            more[6], more[7] = (len(edges) - 1) / (q - p), np.diff(edges).max() / (q - p)
-            more[8], more[9], more[10] = closes[p:q].mean(), capital[p:q].mean(), (size <= 3).mean()
-        more[11], more[12] = len(np.unique(line_hashes[s:t])) / (t - s), (b - a) / (t - s) / 1000
-    kinds = np.zeros((256, len(KINDS)))
-    for k, kind in enumerate(KINDS):
-        kinds[list(kind), k] = 1
-    total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    for k in range(len(KINDS)):
-        out[:, k] = np.sqrt((counts[:, kinds[:, k] > 0].sum(axis=1, keepdims=True) / total)[:, 0])
+    line_text = np.searchsorted(bounds, line_starts, "right") - 1
+    n_words, n_lines = np.diff(first), np.bincount(line_text, minlength=n)
+    word_text, length = np.repeat(np.arange(n), n_words), ends - starts
+
+    def mean(values: np.ndarray) -> np.ndarray:
+        return np.bincount(word_text, values, minlength=n) / np.maximum(n_words, 1)
+
+    more = out[:, len(KINDS) :]
+    more[:, 0], more[:, 1], more[:, 2] = np.log1p(size), np.log1p(n_words), np.log1p(n_lines)
+    more[:, 3] = mean(length)
+    more[:, 4] = np.sqrt(np.maximum(mean(length * length) - more[:, 3] ** 2, 0))
+    longest = np.ones(n)
+    np.maximum.at(longest, word_text, length)
+    more[:, 5] = np.log(longest)
+    distinct, most = _runs(word_text, span_hashes(data, starts, ends), n)
+    more[:, 6], more[:, 7] = distinct / np.maximum(n_words, 1), most / np.maximum(n_words, 1)
+    more[:, 8] = mean(np.isin(data[ends - 1], np.frombuffer(b".,!?;:", np.uint8)))
+    more[:, 9] = mean((data[starts] >= 65) & (data[starts] <= 90))
+    more[:, 10] = mean(length <= 3)
+    more[:, 11] = _runs(line_text, line_hashes, n)[0] / np.maximum(n_lines, 1)
+    more[:, 12] = size / np.maximum(n_lines, 1) / 1000
     return out
 
 
@@ -105,10 +123,10 @@ class Model:
     def features(self, stats: np.ndarray) -> np.ndarray:
         scaled = np.clip((stats - self.mean) / self.spread, -CLIP, CLIP)
         cosines = np.cos(scaled @ self.waves + self.phases) * np.sqrt(2 / len(self.phases))
-        return np.concatenate([cosines, scaled, np.ones((len(stats), 1))], axis=1)
+        return np.concatenate([cosines, np.ones((len(stats), 1))], axis=1)
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return (self.features(stats) * self.weights).sum(axis=1)
+        return np.round((self.features(stats) * self.weights).sum(axis=1), 9)  # whatever the rows it is computed with
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         if self.knots is None:
@@ -126,10 +144,37 @@ def _rows(batches: Iterator[pa.RecordBatch], aside: bool | None = None) -> Itera
             yield label[chosen], stats[chosen]
 
 
+def solved(normal: np.ndarray, n: float) -> np.ndarray:
+    """Ridge weights from summed normal equations (Z'Z and Z'y) of n rows."""
+    m = len(normal)
+    return solve_positive(normal[:, :m] + RIDGE * n * np.eye(m) / m + 1e-9 * np.eye(m), normal[:, m])
+
+
+def calibrated(seen: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the map of scores to probabilities, from counts by bins of scores.
+
+    The middles of the blocks of an isotonic fit, each with the share of good rows (one more row counts half for
+    each label, so that no block is certain), and 0 and 1 at the ends.
+    """
+    used = np.flatnonzero(seen)
+    centres = (used + 0.5) / BINS * 2 - 0.5
+    if len(used) < 2:  # too few labels to set some aside
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    fitted = pool_adjacent(good[used] / seen[used], seen[used])
+    block = np.concatenate([[0], np.cumsum(fitted[1:] != fitted[:-1])])
+    weight = np.bincount(block, seen[used])
+    middle = np.bincount(block, centres * seen[used]) / weight
+    share = (np.bincount(block, good[used]) + 0.5) / (weight + 1)
+    return np.concatenate([[-0.5 - 1 / BINS], middle, [1.5 + 1 / BINS]]), np.concatenate([[0], np.maximum.accumulate(share), [1]])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, seed: int = 1) -> Model:
     """Fits a model to the labels for which ``learn`` holds."""
-    bounded_batches(docs.sparkSession)
-    known = labelled_texts(docs, labels, label, learn, sample, id_col, text_col)
+    with bounded_batches(docs.sparkSession):
+        return _fitted(labelled_texts(docs, labels, label, learn, sample, id_col, text_col), seed)
+
+
+def _fitted(known: DataFrame, seed: int) -> Model:
     known = known.withColumn("aside", F.pmod(F.xxhash64(F.lit(seed), "__id"), F.lit(5)) == 0)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
                 yield pa.RecordBatch.from_arrays([part["__label"], part["aside"], pa.array([s.tobytes() for s in stats], pa.binary())], ["label", "aside", "stats"])
 
     known = written(known.select("__label", "aside", "__text").mapInArrow(measured, "label int, aside boolean, stats binary"), "quality-sample")
-    d = len(KINDS) + 13
+    d = len(KINDS) + MORE
 
     def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros(2 + 2 * d)
@@ -152,10 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     mean = total[2 : 2 + d] / max(n, 1)
     spread = np.sqrt(np.maximum(total[2 + d :] / max(n, 1) - mean**2, 1e-12))
     rng = np.random.default_rng(seed)
-    model = Model(mean, spread, rng.normal(0, 1 / WIDTH, (d, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + d + 1), None)
+    m = FEATURES + 1
+    model = Model(mean, spread, rng.normal(0, 1 / WIDTH, (d, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(m), None)
     if not 0 < positive < n:
         return model
-    m = FEATURES + d + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros((m, m + 1))
@@ -164,8 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             out += np.concatenate([z.T @ z, (z.T @ y)[:, None]], axis=1)
         return out.ravel()
 
-    normal = sums_of(known, equations).reshape(m, m + 1)
-    model.weights = solve_positive(normal[:, :m] + RIDGE * n * np.eye(m) / m + 1e-9 * np.eye(m), normal[:, m])
+    model.weights = solved(sums_of(known, equations).reshape(m, m + 1), n)
 
     def calibration(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros((2, BINS))
@@ -175,13 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
             out[1] += np.bincount(at, y, minlength=BINS)
         return out.ravel()
 
-    seen, good = sums_of(known, calibration).reshape(2, BINS)
-    used = np.flatnonzero(seen)
-    centres = (used + 0.5) / BINS * 2 - 0.5
-    if len(used) < 2:  # too few labels to set some aside
-        model.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    else:
-        model.knots = (centres, np.clip(pool_adjacent(good[used] / seen[used], seen[used]), 0, 1))
+    model.knots = calibrated(*sums_of(known, calibration).reshape(2, BINS))
     return model
 
 
