@@ -116,9 +116,15 @@ def held_out(spark, query, label):
     return (got["predicted"] == got[label]).mean(), max(got[label].mean(), 1 - got[label].mean()), got[got[label] == 0]["predicted"].mean(), got
 
 
+def crc_rule(got, n, rest):
+    """The rows held out are those that the rule names, and they alone."""
+    assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % n == rest)).all()
+
+
 def test_quality(spark):
-    right, trivial, wrong, _ = held_out(spark, queries.op4_quality, "quality")
+    right, trivial, wrong, got = held_out(spark, queries.op4_quality, "quality")
     assert right > 0.95 > trivial and wrong < 0.1
+    assert got["score"].nunique() > 0.9 * len(got)  # calibration keeps unequal scores apart
 
 
 def test_toxicity(spark):
@@ -126,6 +132,106 @@ def test_toxicity(spark):
     assert right > trivial and wrong < 0.02
 
 
+@pytest.mark.parametrize(("query", "n", "rest"), [(queries.op3_katz, 7, 2), (queries.op4_quality, 4, 2), (queries.op8_toxicity, 5, 0)])
+def test_rows_held_out(spark, query, n, rest):
+    crc_rule(query(spark, SF).toPandas(), n, rest)
+
+
+def test_quality_against_brute_force(spark):
+    """Weights from partition-summed equations are those of the whole matrix; calibration is the isotonic fit of what was kept aside."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["good", "fine", "XX", "!!", "1234567"][: 2 + 3 * (i % 2)]) for _ in range(rng.randrange(1, 40))), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"), F.lit(True))
+    stats = quality.statistics(pa.array([t for _, t, _ in rows]))
+    for i in (0, 1, 7, 100):  # a text's statistics don't depend on those around it
+        assert np.allclose(quality.statistics(pa.array([rows[i][1]]))[0], stats[i])
+    plain = [len(t.split()) for _, t, _ in rows]
+    assert np.allclose(np.expm1(stats[:, len(quality.KINDS) + 1]), plain) and np.allclose(stats[:, len(quality.KINDS) + 6], [len(set(t.split())) / len(t.split()) for _, t, _ in rows])
+    assert np.allclose(stats[:, len(quality.KINDS) + 4], [np.std([len(w) for w in t.split()]) for _, t, _ in rows])
+    assert np.allclose(model.mean, stats.mean(axis=0)) and np.allclose(model.spread**2, np.maximum(stats.var(axis=0), 1e-12), atol=1e-9)
+    aside = np.array([r[0] for r in df.orderBy("doc_id").select(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(5)) == 0).collect()])
+    z, y = model.features(stats), np.array([q for *_, q in rows], float)
+    m = z.shape[1]
+    assert m == quality.FEATURES + 1  # random features and a constant, nothing else
+    kept = z[~aside]
+    want = np.linalg.solve(kept.T @ kept + (quality.RIDGE * len(rows) / m + 1e-9) * np.eye(m), kept.T @ y[~aside])
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    at = np.clip(((model.raw(stats[aside]) + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    x, value = model.knots
+    assert (np.diff(x) > 0).all() and (np.diff(value) >= 0).all() and value[0] == 0 and value[-1] == 1
+    bins = sorted(set(at))
+    means = [y[aside][at == b].mean() for b in bins]
+    counts = [(at == b).sum() for b in bins]
+    iso = brute_isotonic(means, counts)
+    blocks = []
+    for b, v, n in zip(bins, iso, counts, strict=True):
+        if blocks and abs(blocks[-1][0] - v) < 1e-12:
+            blocks[-1][1].append((b, n))
+        else:
+            blocks.append([v, [(b, n)]])
+    want = [(sum(((b + 0.5) / quality.BINS * 2 - 0.5) * n for b, n in own) / sum(n for _, n in own), (v * sum(n for _, n in own) + 0.5) / (sum(n for _, n in own) + 1)) for v, own in blocks]
+    assert np.allclose(x[1:-1], [a for a, _ in want]) and np.allclose(value[1:-1], np.maximum.accumulate([b for _, b in want]))
+
+
+def brute_isotonic(means, counts):
+    """Least squares under order, by the max-min formula."""
+    n, total = len(means), np.concatenate([[0], np.cumsum(np.array(means) * counts)])
+    weight = np.concatenate([[0], np.cumsum(counts)])
+    return [max(min((total[k + 1] - total[i]) / (weight[k + 1] - weight[i]) for k in range(j, n)) for i in range(j + 1)) for j in range(n)]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Partition sums are the penalised loss, written out text by text, and its gradient; training ends where no step helps."""
+    rng = random.Random(5)
+    groups = ["muslim", "hindu", "women", "men", "old"]
+    texts = [" ".join(rng.choice([*groups, "idiot", "friend", "house", "walks", "Men,"]) for _ in range(rng.randrange(0, 8))) for _ in range(60)]
+    labels = [int("idiot" in t) for t in texts]
+    text, word = toxicity._presence(pa.array(texts))
+    size = toxicity.n_weights()
+    weights = np.random.default_rng(1).normal(0, 0.3, size)
+
+    def of(w):
+        named, number, *_ = toxicity.identities()
+        h = words(pa.array([w]))[0][0]
+        at = int(np.searchsorted(named, h))
+        return toxicity.HASHED + int(number[at]) if at < len(named) and named[at] == h else int(h >> np.uint64(20)) & (toxicity.HASHED - 1)
+
+    value = changes = count = 0
+    for t, y in zip(texts, labels, strict=True):
+        own = {w.strip(",").lower() for w in t.split()}
+        z = weights[-1] + sum(weights[i] for i in {of(w) for w in own})
+        value += (toxicity.WEIGHT if y else 1) * math.log1p(math.exp(-z if y else z))
+        for n in {len(g) for g in toxicity.IDENTITIES}:
+            terms = [(g, g.index(w)) for g in toxicity.IDENTITIES if len(g) == n for w in own if w in g]
+            for shift in range(1, n) if terms else ():
+                changes += sum(weights[of(g[(i + shift) % n])] - weights[of(g[i])] for g, i in terms) ** 2
+                count += 1
+    sums = toxicity.loss_of(weights, np.array(labels, float), text, word)
+    assert sums[:3] == pytest.approx([value, changes, count])
+    half = len(texts) // 2
+    first, second = (toxicity.loss_of(weights, np.array(labels[s], float), *toxicity._presence(pa.array(texts[s]))) for s in (slice(0, half), slice(half, None)))
+    assert np.allclose(first + second, sums)
+    scale = toxicity.scale_of(np.bincount(word[np.array(labels)[text] == 1], minlength=size), np.bincount(word[np.array(labels)[text] == 0], minlength=size), sum(labels), len(labels) - sum(labels))
+    free = np.random.default_rng(2).normal(0, 0.3, size)
+
+    def loss(x):
+        return toxicity.objective(x, scale, toxicity.loss_of(scale * x, np.array(labels, float), text, word), len(texts))
+
+    _, slope = loss(free)
+    for i in {*word.tolist()[:20], size - 1}:
+        step = np.zeros(size)
+        step[i] = 1e-5
+        assert (loss(free + step)[0] - loss(free - step)[0]) / 2e-5 == pytest.approx(slope[i], abs=1e-6)
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    z = model.weights[-1] + np.bincount(text, model.weights[word], minlength=len(texts))
+    assert ((z > 0) == (np.array(labels) == 1)).mean() > 0.95
+    found = np.divide(model.weights, scale, out=np.zeros(size), where=scale > 0)
+    rng = np.random.default_rng(4)
+    assert all(loss(found)[0] <= loss(found + rng.normal(0, 0.05, size))[0] for _ in range(20))
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_scores_of_odd_rows(spark, module):
     df, rows = odd(spark)

@@ -47,11 +47,11 @@ def scored(docs: DataFrame, columns: list[str], text_col: str, name: str, score:
     return out.select(*(F.col(h).alias(c) for c, h in zip(columns, held, strict=True)), F.col("__score").alias(name))
 
 
-def sums_of(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray], partitions: int = 16) -> np.ndarray:
-    """Sum of the arrays that ``add`` makes of each of a few partitions of bounded ``rows``."""
+def sums_of(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray], partitions: int | None = 16) -> np.ndarray:
+    """Sum of the arrays that ``add`` makes of each of a few partitions of bounded ``rows`` (None: as they are)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([add(batches).astype("<f8").tobytes()], pa.binary())], ["sum"])
 
-    parts = rows.repartition(partitions).mapInArrow(run, "sum binary").collect()
+    parts = (rows.repartition(partitions) if partitions else rows).mapInArrow(run, "sum binary").collect()
     return sum(np.frombuffer(r[0], "<f8") for r in parts)
