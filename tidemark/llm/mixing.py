@@ -6,9 +6,10 @@ divided by the source's weight. All copies in order of finish time, cut where th
 are the mix. A source that runs out after ``epochs`` rounds leaves its share to the others by weight.
 
 Scale: cumulative sums go over three levels of hash buckets (source, bucket, bucket within it), so a
-source with a third of all rows is spread over many tasks. The table of sources is one row per source and is
-ordered in one task. The cut is found from a histogram of finish times with a fixed number of bins and then
-exactly, within the one bin that holds it.
+source with a third of all rows is spread over many tasks; what is known of a source goes along with the buckets'
+sums, so documents are joined by bucket, never by source. The table of sources is one row per source and is
+ordered in one task. The copies (sizes, no texts) are range-sorted by finish time once and written; from the sums
+of the ranges follows the one that the budget ends in, and within it the last copy that the budget holds.
 
 Defined results: a null text has no tokens; a null source is a source of its own, ordered last. Copies
 with equal finish times go by source, epoch, hash and id. Documents without tokens take part with 0.
@@ -27,8 +28,6 @@ from tidemark.llm.common import quoted, written
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 EPOCHS = 2
-#: Bins of the histogram of finish times.
-BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,28 +89,22 @@ def _digits(first: int) -> Column:
 def _cut(queue: DataFrame, epochs: int, budget: float) -> tuple[float, int, int] | None:
     """Finish time, source rank and epoch of the last copy that the budget holds; None if it holds none.
 
-    Narrows the range of finish times by histograms of BINS bins until few copies are left to order.
+    A global range sort of all copies, truncated at the budget: ranges before the one where it is spent are
+    taken whole, those after it not at all.
     """
     copies = queue.filter("__size > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__at", _at(F.col("__epoch")))
-    low, high, n, words = copies.agg(F.min("__at"), F.max("__at"), F.count(F.lit(1)), F.sum("__size")).first()
-    left = budget * (words or 0) / epochs
-    last = None
-    while n:
-        if n <= BINS or low == high:
-            order = Window.orderBy("__at", "__rank", "__epoch").rowsBetween(Window.unboundedPreceding, 0)
-            within = copies.withColumn("__spent", F.sum("__size").over(order)).filter(F.col("__spent") <= left)
-            found = within.agg(F.max(F.struct("__at", "__rank", "__epoch"))).first()[0]
+    copies = copies.select("__at", "__rank", "__epoch", "__size").repartitionByRange("__at", "__rank", "__epoch")
+    copies = written(copies.withColumn("__range", F.spark_partition_id()), "mix-copies")
+    order = F.struct("__at", "__rank", "__epoch")
+    ranges = copies.groupBy("__range").agg(F.sum("__size").alias("__sum"), F.max(order).alias("__last")).orderBy("__range").collect()  # a row per range
+    left, last = budget * sum(r["__sum"] for r in ranges) / epochs, None
+    for r in ranges:
+        if r["__sum"] > left:
+            so_far = Window.orderBy("__at", "__rank", "__epoch").rowsBetween(Window.unboundedPreceding, 0)  # within one range
+            within = copies.filter(F.col("__range") == r["__range"]).withColumn("__spent", F.sum("__size").over(so_far)).filter(F.col("__spent") <= left)
+            found = within.agg(F.max(order)).first()[0]
             return tuple(found) if found else last
-        bin_no = F.least(F.floor((F.col("__at") - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1))
-        bins = copies.groupBy(bin_no.alias("__bin")).agg(F.sum("__size").alias("__sum"), F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"), F.max(F.struct("__at", "__rank", "__epoch")).alias("__last"))
-        order = Window.orderBy("__bin")
-        bins = bins.withColumn("__spent", F.sum("__sum").over(order)).withColumn("__earlier", F.lag("__last").over(order))
-        found = bins.filter(F.col("__spent") > left).orderBy("__bin").select("__low", "__last", "__n", F.col("__spent") - F.col("__sum"), "__earlier").first()
-        if not found:
-            return tuple(bins.agg(F.max("__last")).first()[0])
-        low, high, n, left = found[0], found[1][0], found[2], left - found[3]
-        last = tuple(found[4]) if found[4] else last
-        copies = copies.filter(F.col("__at").between(low, high))
+        left, last = left - r["__sum"], tuple(r["__last"])
     return last
 
 
@@ -133,13 +126,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     earlier = Window.partitionBy("__source", "__b1").orderBy("__b2").rowsBetween(Window.unboundedPreceding, -1)
     inner = inner.withColumn("__inner", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
     starts = inner.join(outer, (F.col("__source") == F.col("__s")) & (F.col("__b1") == F.col("__c1")))
-    starts = written(starts.select("__s", "__c1", F.col("__b2").alias("__c2"), (F.col("__outer") + F.col("__inner")).alias("__before")), "mix-starts")
+    about = sources.withColumnRenamed("__source", "__of").drop("__level", "__limit", "__ends", "__spent")
+    starts = starts.join(about, F.col("__s") == F.col("__of"))  # a row per source and bucket
+    starts = written(starts.select("__s", "__c1", F.col("__b2").alias("__c2"), (F.col("__outer") + F.col("__inner")).alias("__before"), *(c for c in about.columns if c != "__of")), "mix-starts")
 
     def queued(rows: DataFrame) -> DataFrame:
         so_far = Window.partitionBy("__source", "__b1", "__b2").orderBy("__hash", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
         out = rows.withColumns({"__b1": _digits(1), "__b2": _digits(3)}).withColumn("__within", F.sum("__size").over(so_far))
         out = out.join(starts, (F.col("__source") == F.col("__s")) & (F.col("__b1") == F.col("__c1")) & (F.col("__b2") == F.col("__c2"))).drop("__s", "__c1", "__c2", "__b1", "__b2")
-        out = out.join(sources.withColumnRenamed("__source", "__s").drop("__level", "__limit", "__ends", "__spent"), (F.col("__source") == F.col("__s"))).drop("__s")
         out = out.withColumn("__tokens", F.col("__before") + F.col("__within")).drop("__before", "__within")
         return out.withColumns({"__finish": _at(F.lit(0)), "__lap": F.col("__source_size") / F.col("__weight")})
 
