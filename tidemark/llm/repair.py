@@ -28,7 +28,7 @@ _HEAD = struct.Struct("<4sBxxxIIIIQ")
 _MAGIC = b"TRP1"
 
 
-def _chosen(keys: np.ndarray, room: int) -> np.ndarray:
+def _chosen(keys: np.ndarray, room: int, least: int) -> np.ndarray:
     """The most frequent keys, at most ``room`` of them, in an order by classes of frequency and at random within one.
 
     Of overlapping pairs the one that comes first is replaced; an order by exact counts would leave runs of
@@ -37,26 +37,27 @@ def _chosen(keys: np.ndarray, room: int) -> np.ndarray:
     ordered = np.sort(keys)
     edges = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
     uses = np.diff(edges)
-    often = np.flatnonzero(uses >= LEAST_USES)
+    often = np.flatnonzero(uses >= least)
     often = often[np.argsort(-uses[often], kind="stable")][:room]
     pairs, classes = ordered[edges[often]], np.log2(uses[often]).astype(np.int64)
     return pairs[np.lexsort((mix(pairs), -classes))]
 
 
-def compress(ids: np.ndarray, last: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, last: np.ndarray, n_ids: int, to_the_end: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (two symbols each, in order), their expansions' lengths, and the symbols left.
 
-    last: marks the last id of each document.
+    last: marks the last id of each document. to_the_end: until no pair can be replaced twice, whatever that takes.
     """
     symbols, rules, lengths = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.uint32)]
     size_of = np.ones(n_ids, np.uint32)
-    most = NARROW if n_ids < NARROW else n_ids + WIDE_RULES
-    for _ in range(ROUNDS):
+    most = 1 << 32 if to_the_end else NARROW if n_ids < NARROW else n_ids + WIDE_RULES
+    least, rounds = (2, len(ids)) if to_the_end else (LEAST_USES, ROUNDS)
+    for _ in range(rounds):
         room = most - len(size_of)
         if len(symbols) < 2 or room <= 0:
             break
         keys = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        pairs = _chosen(keys[~last[:-1]], room)
+        pairs = _chosen(keys[~last[:-1]], room, least)
         if not len(pairs):
             break
         bits = max(8, int(4 * len(pairs)).bit_length())
@@ -87,19 +88,19 @@ def compress(ids: np.ndarray, last: np.ndarray, n_ids: int) -> tuple[np.ndarray,
         rules.append(made)
         lengths.append(size_of[made].sum(axis=1, dtype=np.uint32))
         size_of = np.concatenate([size_of, lengths[-1]])
-        if len(symbols) > (1 - WORTH) * before:
+        if not to_the_end and len(symbols) > (1 - WORTH) * before:
             break
     return np.concatenate(rules), np.concatenate(lengths), symbols
 
 
-def pack(doc_ids: list[int | None], docs: list[np.ndarray], n_ids: int) -> bytes:
+def pack(doc_ids: list[int | None], docs: list[np.ndarray], n_ids: int, to_the_end: bool = False) -> bytes:
     """A shard's bytes: rules, expansion lengths, symbols and, for each document, id, symbols and ids."""
     sizes = np.array([len(d) for d in docs], np.int64)
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
     last = np.zeros(len(ids), bool)
     ends = np.cumsum(sizes)
     last[ends[sizes > 0] - 1] = True
-    rules, lengths, symbols = compress(ids, last, n_ids)
+    rules, lengths, symbols = compress(ids, last, n_ids, to_the_end)
     width = 2 if n_ids + len(rules) <= NARROW else 4
     kind = f"<u{width}"
     size_of = np.concatenate([np.ones(n_ids, np.int64), lengths.astype(np.int64)])
@@ -162,17 +163,22 @@ class Shard:
 
     def decode(self, doc: int, start: int = 0, length: int | None = None) -> np.ndarray:
         """Ids start, ..., start + length - 1 of the doc-th document; only symbols that cover them are expanded."""
-        flat, begin, size_of = self._expansions()
-        symbols = self.symbols[self.symbols_at[doc] : self.symbols_at[doc + 1]]
-        if start or length is not None:
-            reach = np.cumsum(size_of[symbols])
-            total = int(reach[-1]) if len(reach) else 0
-            end = total if length is None else min(total, start + length)
+        symbols = self.symbols[self.symbols_at[doc] : self.symbols_at[doc + 1]].astype(np.int64)
+        total = int(self.ids_at[doc + 1] - self.ids_at[doc])
+        end = total if length is None else min(total, start + length)
+        while True:  # what lies wholly outside is left out before each level is expanded
+            rule = symbols >= self.n_ids
+            reach = np.cumsum(np.where(rule, self.lengths[np.where(rule, symbols - self.n_ids, 0)] if len(self.lengths) else 1, 1).astype(np.int64))
             a, b = int(np.searchsorted(reach, start, "right")), int(np.searchsorted(reach, end, "left")) + 1
             skipped = int(reach[a - 1]) if a else 0
-            symbols = symbols[a:b]
-            return flat[ranges(begin[symbols], size_of[symbols])][start - skipped : max(end, start) - skipped]
-        return flat[ranges(begin[symbols], size_of[symbols])]
+            symbols, rule, start, end = symbols[a:b], rule[a:b], start - skipped, end - skipped
+            if not rule.any():
+                return symbols[start : max(end, start)].astype("<u4")
+            ends = np.cumsum(1 + rule)
+            out = np.repeat(symbols, 1 + rule)
+            pairs = self.rules[symbols[rule] - self.n_ids]
+            out[ends[rule] - 2], out[ends[rule] - 1] = pairs[:, 0], pairs[:, 1]
+            symbols = out
 
     def documents(self) -> list[np.ndarray]:
         """Ids of all documents."""

@@ -32,10 +32,11 @@ SHARD_TOKENS = 1 << 20
 MANIFEST = "part int, path string, tokens long, shards array<struct<offset: long, size: long, before: long>>"
 
 
-def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, to_the_end: bool = False) -> DataFrame:
     """Writes the ids of all texts, END after each, in ascending order of id; returns the manifest.
 
-    folder: a new one in the shared folder, if None. vocabulary: path of the tokenizer's file.
+    folder: a new one in the shared folder, if None. vocabulary: path of the tokenizer's file. to_the_end: replace
+    pairs until none repeats (smaller files, more work).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -43,10 +44,10 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     shared = shared_vocabulary(spark, vocabulary)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return written(rows.mapInArrow(_writer(shared, folder), MANIFEST), "token-manifest")
+    return written(rows.mapInArrow(_writer(shared, folder, to_the_end), MANIFEST), "token-manifest")
 
 
-def _writer(shared, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(shared, folder: str, to_the_end: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(shared.value), np.uint32(END)
         shards: list[dict] = []
@@ -60,7 +61,7 @@ def _writer(shared, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
             def flush() -> bytes:
                 nonlocal offset, before, held
-                data = repair.pack(ids, docs, enc.size)
+                data = repair.pack(ids, docs, enc.size, to_the_end)
                 shards.append({"offset": offset, "size": len(data), "before": before})
                 offset, before, held = offset + len(data), before + held, 0
                 ids.clear()
