@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import attach, written
 
-ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges``: (a, b), a > b. Links each node's greater (or smaller) neighbours to its smallest one."""
@@ -35,12 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of the links ``a, b`` (binary) but the roots; the root is the smallest of its component."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links", light=True)
     before = None
-    for _ in range(ROUNDS):
+    while True:  # links that change make components' roots smaller, so this ends
         now = written(_star(written(_star(now, True), "large-star", light=True), False), "small-star", light=True)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("links did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

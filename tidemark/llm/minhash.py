@@ -44,7 +44,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BAND_BYTES = 6
 #: Frequent shingles that are looked for before pairs are compared one by one, at most.
 FREQUENT = 1 << 16
-#: Parts over which the pairs of a much-linked centre are dealt.
+#: Parts over which the pairs of a much-linked node, or of a shingle that many sets have, are dealt.
 PARTS = 32
 
 
@@ -126,14 +126,32 @@ def _needed(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return sieved(stored.withColumn("__hash", F.col("__key")), wanted).select("__key", "__set")
 
 
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    """``__hot``: the keys that hold many of the rows, at most HOT."""
+    loads = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__load"))
+    return loads.filter(hot_groups(loads, "__load")).select(F.col(key).alias("__hot"))
+
+
+def _salted(rows: DataFrame, hot: DataFrame, key: str, by: str, part: str) -> DataFrame:
+    """The rows with a number of a part: 0, but for hot keys one of PARTS by a hash of ``by``."""
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    return out.withColumn(part, F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.expr(f"cast(pmod(xxhash64({by}), {PARTS}) as int)"))).drop("__hot")
+
+
+def _copied(rows: DataFrame, hot: DataFrame, key: str, part: str) -> DataFrame:
+    """The rows with the number of a part: once with 0, but for hot keys once with each."""
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    return out.withColumn(part, F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1))))).drop("__hot")
+
+
 def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets are similar: 100 * intersection >= percent * union."""
-    loads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__load"))
-    hot = loads.filter(hot_groups(loads, "__load")).select(F.col("b").alias("__hot"))  # at most HOT
-    dealt = pairs.join(F.broadcast(hot), F.col("b") == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.expr(f"cast(pmod(xxhash64(a), {PARTS}) as int)"))).drop("__hot")
-    copies = _needed(stored, pairs.select("b")).join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1)))))
-    both = dealt.join(_needed(stored, pairs.select("a")).select(F.col("__key").alias("a"), F.col("__set").alias("__a")).hint("merge"), "a")
-    both = both.join(copies.select(F.col("__key").alias("b"), "__part", F.col("__set").alias("__b")).hint("merge"), ["b", "__part"])
+    dealt, sides = pairs, {}
+    for side, other in (("a", "b"), ("b", "a")):  # the pairs of a much-linked node are dealt over parts, each with a copy of its set
+        hot = _hot(pairs, side)
+        dealt = _salted(dealt, hot, side, other, f"__part_{side}")
+        sides[side] = _copied(_needed(stored, pairs.select(side)).select(F.col("__key").alias(side), F.col("__set").alias(f"__{side}")), hot, side, f"__part_{side}")
+    both = dealt.join(sides["a"].hint("merge"), ["a", "__part_a"]).join(sides["b"].hint("merge"), ["b", "__part_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,14 +218,18 @@ def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
     other = rows.select("__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"), F.col("__place").alias("__at"))
     least = f"cast(ceil({percent} * (__n + __m) / {100 + percent}) as long)"
     fit = F.expr(f"__key < b and __root <> __other and __place <= __n - {least} and __at <= __m - {least} and least(__n - __place, __m - __at) >= {least}")
-    pairs = rows.join(other, "__hash").filter(fit)
+    hot = _hot(rows, "__hash")  # a passage that many documents share: its pairs are compared by several tasks
+    pairs = _salted(rows, hot, "__hash", "__key", "__part").join(_copied(other, hot, "__hash", "__part"), ["__hash", "__part"]).filter(fit)
     return pairs.select(F.col("__key").alias("a"), "b").distinct()
 
 
 def _owned(docs: DataFrame, length: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Documents as signed, and the nodes ``__key, __rep, __size`` with the ``__root`` of their component."""
-    percent = round(100 * similarity)
-    bounded_batches(docs.sparkSession, 128)  # a row may hold two long documents' sets
+    with bounded_batches(docs.sparkSession, 128):  # a row may hold two long documents' sets
+        return _owners(docs, length, round(100 * similarity))
+
+
+def _owners(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, DataFrame]:
     signed = written(_signed(docs, length), "near-signed")
     nodes = signed.filter("__n > 0").groupBy("__key").agg(F.min("__id").alias("__rep"), F.first("__n").alias("__n"), F.first("__bands").alias("__bands"), F.count(F.lit(1)).alias("__size"))
     nodes = written(spread_out(nodes, "__key"), "near-nodes")
