@@ -494,3 +494,25 @@ def test_pipeline(spark, tmp_path, duck):
     assert set(mixed["doc_id"]) <= set(near["doc_id"]) and mixed["doc_id"].value_counts().max() <= 2 and mixed["text"].str.split().str.len().sum() == pytest.approx(1.5 * n, rel=0.05)
     check_packing(kept["packing"].to_dict("records"), list(zip(mixed["doc_id"], mixed["text"], strict=True)), 1024)
     assert C.run(spark, SF).count() == len(kept["packing"])
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_of_odd_rows(spark, tmp_path, kind):
+    """Nulls, empty and long texts, repeats, clashing columns, and empty tables: every stage keeps the columns and runs."""
+    import corpus_pipeline as C
+
+    df, rows = odd(spark)
+    if kind == "empty":
+        df = df.limit(0)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2) for i, *_ in rows if i is not None and kind == "odd"]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in C.STAGES[:-1]:
+        before = frame.count()
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == df.columns and (name == "mixing" or frame.count() <= before)
+        frame.write.parquet(str(tmp_path / name))
+        frame = spark.read.parquet(str(tmp_path / name))
+    assert C.STAGES[-1][1](spark, frame, str(tmp_path)).count() >= frame.count()
+    assert C.run(spark, str(tmp_path)).count() >= 0

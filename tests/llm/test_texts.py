@@ -71,15 +71,66 @@ def test_tokens_are_the_library_s(texts):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 5), max_size=40), max_size=8), st.integers(0, 30), st.integers(0, 30))
-def test_repair_round_trip(docs, start, length):
+@given(st.lists(st.lists(st.integers(0, 5), max_size=40), max_size=8), st.integers(0, 30), st.integers(0, 30), st.booleans())
+def test_repair_round_trip(docs, start, length, to_the_end):
     arrays = [np.array(d, np.uint32) for d in docs]
-    shard = Shard.parse(pack([i or None for i in range(len(docs))], arrays, 10))
+    shard = Shard.parse(pack([i or None for i in range(len(docs))], arrays, 10, to_the_end))
     assert [d.tolist() for d in shard.documents()] == docs and shard.doc_ids == [i or None for i in range(len(docs))]
     for i, d in enumerate(docs):
         assert shard.decode(i, start, length).tolist() == d[start : start + length] and shard.decode(i).tolist() == d
 
 
+def test_repair_to_the_end():
+    """No pair of symbols is left that occurs twice, apart from itself, in the documents."""
+    rng = random.Random(8)
+    docs = [np.array([rng.randrange(6) for _ in range(200)], np.uint32) for _ in range(5)]
+    shard = Shard.parse(pack(list(range(5)), docs, 10, True))
+    uses = collections.Counter()
+    for i in range(5):
+        own, at = shard.symbols[shard.symbols_at[i] : shard.symbols_at[i + 1]].tolist(), {}
+        for j, pair in enumerate(zip(own, own[1:], strict=False)):
+            if at.get(pair, -2) < j - 1:
+                uses[pair], at[pair] = uses[pair] + 1, j
+    assert max(uses.values()) == 1 and len(shard.rules) > 20
+
+
+def test_token_files_of_documents(spark, duck):
+    """Every whole text against the library, text by text."""
+    from tidemark.llm import queries
+
+    enc = tokens.encoder(open(tokens.vocabulary_path(), encoding="utf-8").read())
+    at, want = 0, []
+    for i, t in duck.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
+        ids = np.append(enc.whole(t or ""), 0).astype("<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, queries.op5_token_files(spark, SF).collect())) == want
+
+
+def test_near_duplicates_of_documents(spark, duck):
+    from tidemark.llm import queries
+
+    rows = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    got = sorted(tuple(r) for r in queries.op7_minhash(spark, SF).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == sorted(brute_components(rows, 4, 80))
+
+
+def test_near_duplicates_where_everything_is_hot(spark, monkeypatch):
+    """Nodes with many pairs and shingles of many sets are dealt over parts; nothing is lost or found twice."""
+    monkeypatch.setattr(minhash, "hot_groups", lambda groups, size: F.col(size) >= 2)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):  # a passage in many texts, most of which are not similar, and some edited copies
+        own = [*base[:30], *(f"u{i}x{j}" for j in range(30 if i % 3 else 4))]
+        rows.append((i, " ".join(own)))
+        own[rng.randrange(len(own))] = "edited"
+        rows.append((100 + i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df, length=3, similarity=0.8).collect())
+    assert got == sorted(brute_components(rows, 3, 80))
+
+
 def test_repair_compresses():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     data = pack([1], [ids], 50_000)
