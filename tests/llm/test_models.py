@@ -21,6 +21,24 @@ from tidemark.llm import katz, linear, packing, quality, queries, tokens, topk,
 from tidemark.llm.words import words
 
 
+def good_turing(counts):
+    """What share a count keeps: Katz's formula up to 5, half a count less where that gives no share."""
+    kinds = collections.Counter(counts)
+
+    def kept(count):
+        if count > 5:
+            return 1 - 1e-5
+        if kinds[1] and kinds[count] and 6 * kinds[6] < kinds[1]:
+            adjusted = (count + 1) * kinds[count + 1] / kinds[count]
+            common = 6 * kinds[6] / kinds[1]
+            share = (adjusted / count - common) / (1 - common)
+            if 0 < share < 1:
+                return share
+        return (count - 0.5) / count
+
+    return kept
+
+
 def brute_katz(rows, learnt):
     docs = [(i, [*plain_words(t), "</s>"], keep) for (i, t), keep in zip(rows, learnt, strict=True)]
     uni, pairs, contexts, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(dict)
@@ -32,19 +50,18 @@ def brute_katz(rows, learnt):
     for (h, w), c in pairs.items():
         after[h][w] = c
     n, v = sum(uni.values()), len(uni)
-    of = lambda c: katz.discounts(np.bincount(np.minimum(list(c.values()) or [0], 7), minlength=8))
-    du, db = of(uni), of(pairs)
-    unknown = 1 - sum(du[min(c, 6)] * c for c in uni.values()) / n if n else 1.0
+    du, db = good_turing(uni.values()), good_turing(pairs.values())
+    unknown = 1 - sum(du(c) * c for c in uni.values()) / n if n else 1.0
 
     def single(w):
-        return du[min(uni[w], 6)] * uni[w] / n if w in uni else unknown
+        return du(uni[w]) * uni[w] / n if w in uni else unknown
 
     def chance(h, w):
         if not contexts[h]:
             return single(w)
         if w in after[h]:
-            return db[min(after[h][w], 6)] * after[h][w] / contexts[h]
-        left = 1 - sum(db[min(c, 6)] * c for c in after[h].values()) / contexts[h]
+            return db(after[h][w]) * after[h][w] / contexts[h]
+        left = 1 - sum(db(c) * c for c in after[h].values()) / contexts[h]
         return left / (1 - sum(map(single, after[h]))) * single(w)
 
     out = []
@@ -373,6 +390,24 @@ def test_damaged_archive(tmp_path):
         assert [f["page_id"] for f in found if f] == [0, 1, 3, 4, 5]
 
 
+def pages_in(data, step):
+    """The ids of all whole records, read in ranges of ``step`` bytes."""
+    found = [warc.parse(m) for start in range(0, len(data), step) for m in warc.members(pa.BufferReader(data), len(data), start, min(start + step, len(data)))]
+    return [f["page_id"] for f in found if f]
+
+
+@pytest.mark.parametrize("cut", [5000, (1 << 20) - 100, (1 << 20) + 100, (1 << 21) - 40])
+def test_cut_record_hides_no_other(cut):
+    """Records after one that was cut off are found, wherever a reader's buffers end."""
+    noise = random.Random(7).randbytes(5 << 19)
+    long = warc.record(0, "u", noise, hashlib.sha1(noise).digest(), None, False)
+    good = [warc.record(i, "u", b"page %d" % i, hashlib.sha1(b"page %d" % i).digest(), None, False) for i in (1, 2)]
+    for step in (1 << 19, 1 << 23):
+        assert pages_in(b"".join([long[:cut], *good]), step) == [1, 2]
+        assert pages_in(b"".join([good[0], long[:cut]]), step) == [1]
+        assert pages_in(b"".join([good[0], long, good[1]]), step) == [1, 0, 2]
+
+
 def brute_top(rows, k, scale=64):
     own = []
     for i, v in rows:

@@ -4,7 +4,8 @@ Writing: pages with equal payloads (by SHA-1, as in the record header) are one r
 it. Each task writes one archive, which has its name only once it is whole; the manifest lists the
 archives that finished tasks reported. Reading: tasks get byte ranges. A task scans its range for the gzip
 magic, takes the first place from which a WARC header decodes, and from there on owns the records that
-start inside its range, reading beyond its end for the last one. After a damaged record it scans on.
+start inside its range, reading beyond its end for the last one. After a damaged record, or one that was cut
+off, it scans on from that record's own start, so no whole record after it is lost.
 
 Scale: only payloads whose digest may repeat take part in a join (see ``exact_dedup.sieved``), and groups
 with a large share of the rows are broadcast by digest. A task holds one record and one buffer.
@@ -34,6 +35,8 @@ from tidemark.llm.files import located, write_once
 
 SPLIT_BYTES = 4 << 20
 BUFFER = 1 << 20
+#: Compressed bytes handed to zlib at a time.
+FEED = 1 << 14
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 4
 _NAME = "urn:tidemark:page:"
@@ -91,65 +94,66 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
 
 
 class _Window:
-    """A file's bytes from some place on, read a buffer at a time."""
+    """A file's bytes from some place on, read a buffer at a time; those before ``place`` are done with."""
 
     def __init__(self, source, size: int, at: int):
-        self.source, self.size, self.at, self.data = source, size, at, b""
+        self.source, self.size, self.read, self.data, self.place = source, size, at, b"", 0
+
+    @property
+    def at(self) -> int:
+        """Where in the file the window's place is."""
+        return self.read - self.left
+
+    @property
+    def left(self) -> int:
+        return len(self.data) - self.place
 
     def more(self) -> bool:
         """Reads on; False at the end of the file."""
-        new = self.source.read_at(min(BUFFER, self.size - self.at - len(self.data)), self.at + len(self.data))
-        self.data += new
+        new = self.source.read_at(min(BUFFER, self.size - self.read), self.read)
+        self.data, self.place, self.read = self.data[self.place :] + new, 0, self.read + len(new)
         return bool(new)
 
-    def skip(self, n: int) -> None:
-        self.at, self.data = self.at + n, self.data[n:]
-
 
-def _opens_record(window: _Window, at: int) -> bool:
-    """Whether a gzip member at this place of the window decodes to a WARC header."""
-    while len(window.data) < at + 512 and window.more():
+def _opens_record(window: _Window) -> bool:
+    """Whether a gzip member at the window's place decodes to a WARC header."""
+    while window.left < 512 and window.more():
         pass
     try:
-        return zlib.decompressobj(31).decompress(window.data[at : at + 512], 64).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(window.data[window.place : window.place + 512], 64).startswith(b"WARC/1.")
     except zlib.error:
         return False
 
 
 def members(source, size: int, start: int, end: int) -> Iterator[bytes]:
-    """The records that start in [start, end), decompressed."""
+    """The records that start in [start, end), decompressed. What a damaged one seemed to hold is scanned as well."""
     window = _Window(source, size, start)
     while window.at < end:
-        at = window.data.find(MAGIC)
-        if at < 0:
-            window.skip(max(0, len(window.data) - len(MAGIC) + 1))
+        found = window.data.find(MAGIC, window.place)
+        if found < 0:
+            window.place = max(window.place, len(window.data) - len(MAGIC) + 1)
             if not window.more():
                 return
             continue
-        if window.at + at >= end:
+        window.place = found
+        if window.at >= end:
             return
-        if not _opens_record(window, at):
-            window.skip(at + 1)
+        if not _opens_record(window):
+            window.place += 1
             continue
-        window.skip(at)
-        unpacker, out, fed = zlib.decompressobj(31), [], 0
+        begun, unpacker, out = window.at, zlib.decompressobj(31), []
         try:
-            while not unpacker.eof:
-                if fed == len(window.data):
-                    if fed >= BUFFER:  # only the member's first buffer is kept, to scan it if it is damaged
-                        window.skip(fed)
-                        fed = 0
-                    if not window.more():
-                        break
-                out.append(unpacker.decompress(window.data[fed:]))
-                fed = len(window.data)
+            while not unpacker.eof and (window.left or window.more()):
+                piece = window.data[window.place : window.place + FEED]  # its unused rest is copied at a record's end
+                out.append(unpacker.decompress(piece))
+                window.place += len(piece)
         except zlib.error:
-            window.skip(len(MAGIC))
-            continue
-        if not unpacker.eof:
-            return
-        window.skip(len(window.data) - len(unpacker.unused_data))
-        yield b"".join(out)
+            pass
+        if unpacker.eof:
+            window.place -= len(unpacker.unused_data)
+            yield b"".join(out)
+        else:
+            window = _Window(source, size, begun + len(MAGIC))
 
 
 def parse(data: bytes) -> dict | None:
