@@ -118,6 +118,7 @@ def test_near_duplicates_of_documents(spark, duck):
 def test_near_duplicates_where_everything_is_hot(spark, monkeypatch):
     """Nodes with many pairs and shingles of many sets are dealt over parts; nothing is lost or found twice."""
     monkeypatch.setattr(minhash, "hot_groups", lambda groups, size: F.col(size) >= 2)
+    monkeypatch.setattr(minhash, "SHARE", 2)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []

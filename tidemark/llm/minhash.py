@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +44,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BAND_BYTES = 6
 #: Frequent shingles that are looked for before pairs are compared one by one, at most.
 FREQUENT = 1 << 16
-#: Parts over which the pairs of a much-linked node, or of a shingle that many sets have, are dealt.
+#: Rows that a much-linked node, or a shingle that many sets have, keeps together; with more it is dealt over parts, at most PARTS.
+SHARE = 1 << 13
 PARTS = 32
 
 
@@ -126,22 +127,27 @@ def _needed(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return sieved(stored.withColumn("__hash", F.col("__key")), wanted).select("__key", "__set")
 
 
+def _parts() -> Column:
+    """Number of parts for ``__load`` rows: one copy of the other side for SHARE of them."""
+    return F.least(F.lit(PARTS), F.ceil(F.col("__load") / SHARE)).cast("int")
+
+
 def _hot(rows: DataFrame, key: str) -> DataFrame:
-    """``__hot``: the keys that hold many of the rows, at most HOT."""
+    """``__hot, __parts``: the keys that hold many of the rows, at most HOT, with more than one part."""
     loads = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__load"))
-    return loads.filter(hot_groups(loads, "__load")).select(F.col(key).alias("__hot"))
+    return loads.filter(hot_groups(loads, "__load") & (_parts() > 1)).select(F.col(key).alias("__hot"), _parts().alias("__parts"))
 
 
 def _salted(rows: DataFrame, hot: DataFrame, key: str, by: str, part: str) -> DataFrame:
-    """The rows with a number of a part: 0, but for hot keys one of PARTS by a hash of ``by``."""
+    """The rows with a number of a part: 0, but for hot keys one of theirs by a hash of ``by``."""
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    return out.withColumn(part, F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.expr(f"cast(pmod(xxhash64({by}), {PARTS}) as int)"))).drop("__hot")
+    return out.withColumn(part, F.expr(f"coalesce(cast(pmod(xxhash64({by}), __parts) as int), 0)")).drop("__hot", "__parts")
 
 
 def _copied(rows: DataFrame, hot: DataFrame, key: str, part: str) -> DataFrame:
-    """The rows with the number of a part: once with 0, but for hot keys once with each."""
+    """The rows with the number of a part: once with 0, but for hot keys once with each of theirs."""
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    return out.withColumn(part, F.explode(F.sequence(F.lit(0), F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.lit(PARTS - 1))))).drop("__hot")
+    return out.withColumn(part, F.explode(F.expr("sequence(0, coalesce(__parts, 1) - 1)"))).drop("__hot", "__parts")
 
 
 def _confirmed(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
@@ -212,14 +218,14 @@ def _sharing_prefix(nodes: DataFrame, percent: int) -> DataFrame:
 
     rows = nodes.select("__key", "__root", "__n", "__set").mapInArrow(prefixes, "shingle long, __place long, __key binary, __root binary, __n long")
     rows = written(rows.withColumn("__hash", F.col("shingle")).drop("shingle"), "near-prefixes")
-    shared = rows.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"))
-    shared = written(shared.filter("__r1 <> __r2").select("__hash"), "near-shared", light=True)
-    rows = written(sieved(rows, shared).join(shared, "__hash", "left_semi"), "near-sharing", light=True)
-    other = rows.select("__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"), F.col("__place").alias("__at"))
+    shared = rows.groupBy("__hash").agg(F.min("__root").alias("__r1"), F.max("__root").alias("__r2"), F.count(F.lit(1)).alias("__load"))
+    shared = written(shared.filter("__r1 <> __r2").select("__hash", _parts().alias("__parts")), "near-shared", light=True)
+    rows = written(sieved(rows, shared).join(shared, "__hash"), "near-sharing", light=True)
+    # a passage that many documents share: its pairs are compared by several tasks
+    other = rows.withColumn("__part", F.explode(F.expr("sequence(0, __parts - 1)"))).select("__part", "__hash", F.col("__key").alias("b"), F.col("__root").alias("__other"), F.col("__n").alias("__m"), F.col("__place").alias("__at"))
     least = f"cast(ceil({percent} * (__n + __m) / {100 + percent}) as long)"
     fit = F.expr(f"__key < b and __root <> __other and __place <= __n - {least} and __at <= __m - {least} and least(__n - __place, __m - __at) >= {least}")
-    hot = _hot(rows, "__hash")  # a passage that many documents share: its pairs are compared by several tasks
-    pairs = _salted(rows, hot, "__hash", "__key", "__part").join(_copied(other, hot, "__hash", "__part"), ["__hash", "__part"]).filter(fit)
+    pairs = rows.withColumn("__part", F.expr("cast(pmod(xxhash64(__key), __parts) as int)")).join(other, ["__hash", "__part"]).filter(fit)
     return pairs.select(F.col("__key").alias("a"), "b").distinct()
 
 
