@@ -39,35 +39,41 @@ def good_turing(counts):
     return kept
 
 
-def brute_katz(rows, learnt):
+def brute_katz(rows, learnt, order=2):
     docs = [(i, [*plain_words(t), "</s>"], keep) for (i, t), keep in zip(rows, learnt, strict=True)]
-    uni, pairs, contexts, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(dict)
-    for _, w, keep in docs:
-        if keep:
-            uni.update(w)
-            pairs.update(zip(["<s>", *w], w, strict=False))
-            contexts.update(["<s>", *w[:-1]])
-    for (h, w), c in pairs.items():
-        after[h][w] = c
-    n, v = sum(uni.values()), len(uni)
-    du, db = good_turing(uni.values()), good_turing(pairs.values())
-    unknown = 1 - sum(du(c) * c for c in uni.values()) / n if n else 1.0
 
-    def single(w):
-        return du(uni[w]) * uni[w] / n if w in uni else unknown
+    def grams(w, n):
+        """Each word with the n - 1 before it."""
+        padded = ["<s>"] * (n - 1) + w
+        return [tuple(padded[i : i + n]) for i in range(len(w))]
+
+    uses = [collections.Counter(g for _, w, keep in docs if keep for g in grams(w, n)) for n in range(1, order + 1)]
+    after = [collections.defaultdict(dict) for _ in uses]
+    for n, own in enumerate(uses):
+        for g, c in own.items():
+            after[n][g[:-1]][g[-1]] = c
+    uni = {g[0]: c for g, c in uses[0].items()}
+    n, v = sum(uni.values()), len(uni)
+    kept = [good_turing(own.values()) for own in uses]
+    unknown = 1 - sum(kept[0](c) * c for c in uni.values()) / n if n else 1.0
 
     def chance(h, w):
-        if not contexts[h]:
-            return single(w)
-        if w in after[h]:
-            return db(after[h][w]) * after[h][w] / contexts[h]
-        left = 1 - sum(db(c) * c for c in after[h].values()) / contexts[h]
-        return left / (1 - sum(map(single, after[h]))) * single(w)
+        """After the words of the tuple h, at most order - 1."""
+        if not h:
+            return kept[0](uni[w]) * uni[w] / n if w in uni else unknown
+        there, keeps = after[len(h)].get(h), kept[len(h)]
+        if not there:
+            return chance(h[1:], w)
+        total = sum(there.values())
+        if w in there:
+            return keeps(there[w]) * there[w] / total
+        left = 1 - sum(keeps(c) * c for c in there.values()) / total
+        return left / (1 - sum(chance(h[1:], x) for x in there)) * chance(h[1:], w)
 
     out = []
     for i, w, keep in docs:
-        base = sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w)
-        out.append((i, keep, len(w), sum(x in uni for x in w), n, base, sum(math.log10(chance(h, x)) for h, x in zip(["<s>", *w], w, strict=False))))
+        base = sum(math.log10((uni.get(x, 0) + 1) / (n + v + 1)) for x in w)
+        out.append((i, keep, len(w), sum(x in uni for x in w), n, base, sum(math.log10(chance(g[:-1], g[-1])) for g in grams(w, order))))
     return out, chance, uni, unknown
 
 
@@ -77,35 +83,38 @@ def close(got, want):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-7)
 
 
-@pytest.mark.parametrize("chunk", [50, 1 << 20])
-def test_katz(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "order"), [(50, 2), (1 << 20, 2), (50, 3), (1 << 20, 3), (50, 1), (50, 4)])
+def test_katz(spark, monkeypatch, chunk, order):
     monkeypatch.setattr(katz, "CHUNK", chunk)
     monkeypatch.setattr(katz, "BUCKET", 100)
     rng = random.Random(1)
     vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = katz.score(df, F.col("doc_id") % 4 != 0)
-    want, chance, uni, unknown = brute_katz(rows, [i % 4 != 0 for i, _ in rows])
+    out = katz.score(df, F.col("doc_id") % 4 != 0, order=order)
+    want, chance, uni, unknown = brute_katz(rows, [i % 4 != 0 for i, _ in rows], order)
     close([tuple(r) for r in out.scores.collect()], want)
     held = [w for w in want if not w[1]]
-    assert sum(w[6] for w in held) > sum(w[5] for w in held)
-    for h in ("<s>", *[w for w in uni if w != "</s>"][:5]):
+    assert order > 2 or sum(w[6] for w in held) > sum(w[5] for w in held)
+    names = [w for w in uni if w != "</s>"]
+    for h in (["<s>"] * (order - 1), ["<s>", *names[:5]], names[:5], rows[1][1].split()[:5], rows[2][1].split()[:9]):
+        h = tuple(h[len(h) - order + 1 :])
         assert sum(chance(h, w) for w in uni) + chance(h, "never seen") == pytest.approx(1, abs=1e-9)
+    assert len(out.counts) == order and len(out.contexts) == order - 1
     stored = {}
-    for r in out.words.collect():
+    for r in out.counts[0].collect():
         stored.update(zip(katz.unpack_keys(bytes(r["keys"])).tolist(), katz.unpack_counts(bytes(r["values"])).tolist(), strict=True))
-    names = [w for w in uni if w != "</s>"]
     hashes, _ = words(pa.array(names))
     assert all(stored[h] == uni[w] for w, h in zip(names, hashes.tolist(), strict=True))
 
 
-def test_katz_odd_rows(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_odd_rows(spark, order):
     df, rows = odd(spark)
-    want, *_ = brute_katz([(i, t) for i, t, _ in rows], [i is None or i % 2 == 0 for i, _, _ in rows])
-    close([tuple(r) for r in katz.score(df, F.col("doc_id") % 2 == 0).scores.collect()], want)
-    assert katz.score(spark.createDataFrame([], EMPTY), F.lit(True)).scores.count() == 0
-    none = katz.score(df, F.lit(False)).scores.collect()
+    want, *_ = brute_katz([(i, t) for i, t, _ in rows], [i is None or i % 2 == 0 for i, _, _ in rows], order)
+    close([tuple(r) for r in katz.score(df, F.col("doc_id") % 2 == 0, order=order).scores.collect()], want)
+    assert katz.score(spark.createDataFrame([], EMPTY), F.lit(True), order=order).scores.count() == 0
+    none = katz.score(df, F.lit(False), order=order).scores.collect()
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in none)
 
 

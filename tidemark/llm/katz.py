@@ -1,16 +1,18 @@
-"""Language-model scoring: a Katz backoff bigram model, learnt from some documents and applied to all.
+"""Language-model scoring: a Katz backoff model of n-grams, learnt from some documents and applied to all.
 
-Counts are discounted by Good-Turing estimates; the mass this frees goes to unseen successors of a context
-in proportion to their unigram probabilities, by a backoff weight that makes each context's
-probabilities sum to exactly one over the vocabulary and one unknown word. A token's probability is its
-bigram's if that was seen, else the context's backoff weight times its unigram probability, else that of
-the unknown word.
+Counts of n-grams up to a given order are discounted by Good-Turing estimates, order by order; the mass this
+frees goes to unseen successors of a context in proportion to their probabilities after the context less its
+first word, by a backoff weight that makes each context's probabilities sum to exactly one over the
+vocabulary and one unknown word. A token's probability is that of its longest n-gram if that was seen, else
+the context's backoff weight times the token's probability after the shorter context, and so on down to
+its unigram's, or that of the unknown word. A context that was never seen weighs one. Before a text stand
+start tokens, so that its first token has a context of each length too.
 
 Words are 64-bit hashes. Texts are cut into chunks of about CHUNK tokens, a table of word numbers. Chunks
-ask tables of words, of bigrams and of contexts, each dealt over buckets by hash range, for what they
+ask tables of n-grams and of contexts, of each length, dealt over buckets by hash range, for what they
 need: each chunk sends its distinct keys with its own counts, the bucket adds up all chunks' counts, keeps
 the total as its part of the model's tables and answers each chunk. So no token is shuffled by itself, a
-frequent word or bigram is one key per chunk, and the number of buckets grows with the data so that a
+frequent n-gram is one key per chunk, and the number of buckets grows with the data so that a
 bucket's size does not.
 
 Defined results: a null text is empty: the end token alone. Null ids are scored and learnt from as any
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches, quoted, written
 from tidemark.llm.words import slices, words
 
+#: Words of the longest n-grams.
+ORDER = 2
 CHUNK = 3 << 19
 #: Keys that a bucket gets, about.
 BUCKET = 1 << 21
@@ -90,21 +95,56 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk, by sorted keys.
+
+    context: numbers of their first n - 1 words among the shorter n-grams (a text's start: the number after the
+    last); suffix: numbers of their last n - 1 words; which: each token's n-gram; counts: uses in learnt texts.
+    Words have neither context nor suffix.
+    """
+
+    keys: np.ndarray
+    context: np.ndarray
+    suffix: np.ndarray
+    which: np.ndarray
+    counts: np.ndarray
+
+    def contexts(self) -> np.ndarray:
+        """Keys of the n-grams as contexts of longer ones, and of a text's start."""
+        return np.append(self.keys, START)
+
+
 @dataclass(frozen=True)
 class Estimates:
-    """What all tasks need of the whole corpus: tokens and kinds learnt from, texts, and discounts."""
+    """What all tasks need of the whole corpus: tokens and kinds learnt from, texts, and what counts keep, by order."""
 
     tokens: int
     kinds: int
     texts: int
-    word: np.ndarray
     unknown: float
-    pair: np.ndarray | None = None
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """Probability of words with these counts."""
-        kept = self.word[np.minimum(counts, CUTOFF + 1)] * counts / max(self.tokens, 1)
-        return np.where(counts > 0, kept, self.unknown)
+    kept: tuple[np.ndarray, ...]
+
+    def context_counts(self, counts: np.ndarray) -> np.ndarray:
+        """Of n-grams as contexts (all that a learnt text's end is not in have a successor), and of a text's start."""
+        return np.append(counts, self.texts)
+
+    def seen(self, grams: list[Grams], counts: list[np.ndarray], n: int) -> np.ndarray:
+        """Probability of n-grams that were learnt, after their contexts; of words that were not, that of the unknown one."""
+        own = counts[n - 1]
+        kept = self.kept[n - 1][np.minimum(own, CUTOFF + 1)] * own
+        if n == 1:
+            return np.where(own > 0, kept / max(self.tokens, 1), self.unknown)
+        return kept / np.maximum(self.context_counts(counts[n - 2])[grams[n - 1].context], 1)
+
+    def chance(self, grams: list[Grams], counts: list[np.ndarray], weights: list[np.ndarray], n: int) -> np.ndarray:
+        """Probability of all n-grams; weights: of contexts, by n."""
+        own = self.seen(grams, counts, n)
+        if n > 1:
+            new = counts[n - 1] == 0
+            shorter = self.chance(grams, counts, weights, n - 1)[grams[n - 1].suffix]
+            own[new] = shorter[new] * weights[n - 2][grams[n - 1].context[new]]
+        return own
 
 
 @dataclass
@@ -123,22 +163,28 @@ class Chunk:
     def learnt_tokens(self) -> np.ndarray:
         return np.repeat(self.learnt, np.diff(self.bounds))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the distinct bigrams, their contexts and words (numbers; a text's start is the number after the last word), each token's bigram, and counts over learnt texts."""
-        context = np.empty(len(self.tokens), np.int64)
-        context[1:] = self.tokens[:-1]
-        context[self.bounds[:-1]] = len(self.words)
-        both, which = np.unique(context << 32 | self.tokens, return_inverse=True)
-        context, word = both >> 32, both & 0xFFFFFFFF
-        named = np.append(self.words, START)
-        keys = named[context] * np.uint64(0x9E3779B97F4A7C15) ^ named[word]
-        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys ^= keys >> np.uint64(32)
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        which = place[which]
-        return keys[order], context[order], word[order], which, np.bincount(which[self.learnt_tokens()], minlength=len(order))
+    def grams(self, order: int) -> list[Grams]:
+        """The n-grams of all lengths up to ``order``."""
+        learnt, none = self.learnt_tokens(), np.zeros(0, np.int64)
+        out = [Grams(self.words, none, none, self.tokens, np.bincount(self.tokens[learnt], minlength=len(self.words)))]
+        while len(out) < order:
+            low = out[-1]
+            context = np.empty(len(self.tokens), np.int64)
+            context[1:] = low.which[:-1]
+            context[self.bounds[:-1]] = len(low.keys)
+            both, which = np.unique(context << 32 | self.tokens, return_inverse=True)
+            context, word = both >> 32, both & 0xFFFFFFFF
+            keys = low.contexts()[context] * np.uint64(0x9E3779B97F4A7C15) ^ self.words[word]
+            keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys ^= keys >> np.uint64(32)
+            at = np.argsort(keys)
+            place = np.empty(len(at), np.int64)
+            place[at] = np.arange(len(at))
+            which = place[which]
+            suffix = np.empty(len(at), np.int64)
+            suffix[which] = low.which
+            out.append(Grams(keys[at], context[at], suffix, which, np.bincount(which[learnt], minlength=len(at))))
+        return out
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -246,6 +292,16 @@ def _doubles(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<f8").ravel()
 
 
+def _told(parts: list[bytes], contexts: np.ndarray) -> np.ndarray:
+    """Weights of contexts from all buckets' answers, one where none was told."""
+    halves = [(np.frombuffer(p[: len(p) // 2], "<u8"), np.frombuffer(p[len(p) // 2 :], "<f8")) for p in parts]
+    named, weights = (np.concatenate([np.zeros(0, t), *(h[i] for h in halves)]) for i, t in ((0, np.uint64), (1, float)))
+    order = np.argsort(named)
+    named, weights = np.append(named[order], np.uint64(2**64 - 1)), np.append(weights[order], 1.0)
+    at = np.searchsorted(named, contexts)
+    return np.where(named[at] == contexts, weights[at], 1.0)
+
+
 def _totals(answers: DataFrame) -> np.ndarray:
     """Sum of the buckets' statistics: tokens, kinds, then kinds by count."""
     sums = answers.filter("chunk is null").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(CUTOFF + 5))).first()
@@ -254,116 +310,108 @@ def _totals(answers: DataFrame) -> np.ndarray:
 
 @dataclass
 class Scored:
-    """Scores of all documents, and the model's tables: a row per bucket of sorted ``keys`` and their ``values``
-    (counts of words and of bigrams as ``unpack_counts`` reads them, backoff weights of contexts as doubles)."""
+    """Scores of all documents, and the model's tables: a row per bucket of sorted ``keys`` and their ``values``.
+
+    counts: of n-grams, by n from 1, as ``unpack_counts`` reads them; contexts: backoff weights of contexts of
+    n words, by n from 1, as doubles.
+    """
 
     scores: DataFrame
-    words: DataFrame
-    pairs: DataFrame
-    contexts: DataFrame
+    counts: list[DataFrame]
+    contexts: list[DataFrame]
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> Scored:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> Scored:
     """Learns from the documents for which ``learn`` holds and scores all.
 
     scores: id, learnt, n_tokens, n_known, train_tokens, base_score (unigrams with one added) and score,
-    both the text's log10 probability.
+    both the text's log10 probability. order: words of the longest n-grams, 1 or more.
     """
+    if order < 1:
+        raise ValueError(f"an order of {order}")
     bounded_batches(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn"))
     chunks = written(_chunks(rows), "lm-chunks", "zstd")
     size = chunks.agg(F.sum(F.octet_length("tokens")) / 4).first()[0] or 0
     buckets = max(4, -(-int(size) // BUCKET))
 
-    def ask_words(chunk: Chunk, _: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-        return chunk.words, [np.bincount(chunk.tokens[chunk.learnt_tokens()], minlength=len(chunk.words))]
+    def count(n: int) -> DataFrame:
+        """Counts of all n-grams."""
 
-    about_words = written(_answer(_ask(chunks, None, ask_words, buckets, 1), "word", _merge_counts), "lm-words", "zstd")
-    n = _totals(about_words)
-    texts = int(chunks.agg(F.sum("texts")).first()[0] or 0)
-    kept = discounts(n[2:])
-    seen = sum(kept[r] * r * n[2 + r] for r in range(1, CUTOFF + 1)) + HIGH * (n[0] - sum(r * n[2 + r] for r in range(1, CUTOFF + 1)))
-    known = Estimates(int(n[0]), int(n[1]), texts, kept, float(1 - seen / n[0]) if n[0] else 1.0)
-
-    def answered(frame: DataFrame) -> DataFrame:
-        return frame.filter("chunk is not null").select("chunk", "kind", "bucket", "answer")
-
-    def ask_pairs(chunk: Chunk, _: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-        keys, _, _, _, counts = chunk.pairs()
-        return keys, [counts]
-
-    about_pairs = written(_answer(_ask(chunks, None, ask_pairs, buckets, 1), "pair", _merge_counts), "lm-pairs", "zstd")
-    pair_kept = discounts(_totals(about_pairs)[2:])
-
-    def context_counts(counts: np.ndarray) -> np.ndarray:
-        """Of each word as a context (each learnt token but a text's last has a successor), and of a text's start."""
-        return np.append(counts, texts)
-
-    def ask_contexts(chunk: Chunk, answers: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-        counts, _ = _counts(answers["word"])
-        total, mine = _counts(answers["pair"])
-        _, context, word, _, _ = chunk.pairs()
-        mine = mine & (total > 0)
-        size = len(chunk.words) + 1
-        columns = [np.bincount(context[mine & (total == r)], minlength=size) for r in range(1, CUTOFF + 1)]
-        mass = np.bincount(context[mine], known.unigram(counts[word[mine]]), minlength=size).astype(float)
-        wanted = np.bincount(context[total == 0], minlength=size) > 0
-        chosen = (mass > 0) | wanted
-        named = np.append(chunk.words, START)
-        order = np.argsort(named, kind="stable")
-        order = order[chosen[order]]
-        return named[order], [c[order] for c in (*columns, wanted.astype(np.int64), context_counts(counts).astype(float), mass)]
-
-    def merge_contexts(kinds: np.ndarray, which: np.ndarray, rows: list[dict]) -> tuple[list[bytes], dict]:
-        numbers = [np.concatenate([unpack_numbers(r[f"v{i}"]) for r in rows]) for i in range(CUTOFF + 1)]
-        counts, masses = (np.concatenate([_doubles(r[f"v{i}"]) for r in rows]) for i in (CUTOFF + 1, CUTOFF + 2))
-        mass, count = np.bincount(which, masses, minlength=len(kinds)), np.zeros(len(kinds))
-        count[which] = counts
-        by_count = [np.bincount(which, numbers[r - 1], minlength=len(kinds)) for r in range(1, CUTOFF + 1)]
-        low = sum(r * k for r, k in zip(range(1, CUTOFF + 1), by_count, strict=True))
-        kept = sum(pair_kept[r] * r * k for r, k in zip(range(1, CUTOFF + 1), by_count, strict=True)) + HIGH * (count - low)
-        weight = np.where(count > 0, (1 - kept / np.maximum(count, 1)) / np.maximum(1 - mass, 1e-15), 1.0)
-        wanted = numbers[CUTOFF] > 0
-        parts = np.split(weight[which], np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1])
-        flags = np.split(wanted, np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1])
-        answers = [unpack_keys(r["keys"])[f].astype("<u8").tobytes() + p[f].astype("<f8").tobytes() for r, p, f in zip(rows, parts, flags, strict=True)]
-        return answers, {"values": weight.astype("<f8").tobytes()}
-
-    told = answered(about_words).union(answered(about_pairs))
-    about_contexts = written(_answer(_ask(chunks, told, ask_contexts, buckets, CUTOFF + 3), "context", merge_contexts), "lm-contexts", "zstd")
+        def ask(chunk: Chunk, _: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+            grams = chunk.grams(n)[-1]
+            return grams.keys, [grams.counts]
+
+        return written(_answer(_ask(chunks, None, ask, buckets, 1), f"count {n}", _merge_counts), f"lm-counts-{n}", "zstd")
 
+    counted = [count(n) for n in range(1, order + 1)]
+    totals = [_totals(c) for c in counted]
+    texts = int(chunks.agg(F.sum("texts")).first()[0] or 0)
+    n, kept = totals[0], tuple(discounts(t[2:]) for t in totals)
+    seen = sum(kept[0][r] * r * n[2 + r] for r in range(1, CUTOFF + 1)) + HIGH * (n[0] - sum(r * n[2 + r] for r in range(1, CUTOFF + 1)))
+    known = Estimates(int(n[0]), int(n[1]), texts, float(1 - seen / n[0]) if n[0] else 1.0, kept)
+
+    def answered(frames: list[DataFrame]) -> DataFrame:
+        out = [f.filter("chunk is not null").select("chunk", "kind", "bucket", "answer") for f in frames]
+        return reduce(DataFrame.union, out)
+
+    def weigh(n: int) -> DataFrame:
+        """Backoff weights of the contexts of n-grams, told to those chunks that have an unseen n-gram after them."""
+        keeps = kept[n - 1]
+
+        def ask(chunk: Chunk, answers: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+            grams = chunk.grams(n)
+            counts = [_counts(answers[f"count {i}"])[0] for i in range(1, n + 1)]
+            total, mine = _counts(answers[f"count {n}"])
+            context, mine = grams[-1].context, mine & (total > 0)
+            named = grams[-2].contexts()
+            columns = [np.bincount(context[mine & (total == r)], minlength=len(named)) for r in range(1, CUTOFF + 1)]
+            shorter = known.seen(grams, counts, n - 1)[grams[-1].suffix[mine]]  # whose n-gram was seen, was seen itself
+            mass = np.bincount(context[mine], shorter, minlength=len(named)).astype(float)
+            wanted = np.bincount(context[total == 0], minlength=len(named)) > 0
+            chosen = (mass > 0) | wanted
+            at = np.argsort(named, kind="stable")
+            at = at[chosen[at]]
+            return named[at], [c[at] for c in (*columns, wanted.astype(np.int64), known.context_counts(counts[-2]).astype(float), mass)]
+
+        def merge(kinds: np.ndarray, which: np.ndarray, rows: list[dict]) -> tuple[list[bytes], dict]:
+            numbers = [np.concatenate([unpack_numbers(r[f"v{i}"]) for r in rows]) for i in range(CUTOFF + 1)]
+            counts, masses = (np.concatenate([_doubles(r[f"v{i}"]) for r in rows]) for i in (CUTOFF + 1, CUTOFF + 2))
+            mass, count = np.bincount(which, masses, minlength=len(kinds)), np.zeros(len(kinds))
+            count[which] = counts
+            by_count = [np.bincount(which, numbers[r - 1], minlength=len(kinds)) for r in range(1, CUTOFF + 1)]
+            low = sum(r * k for r, k in zip(range(1, CUTOFF + 1), by_count, strict=True))
+            left = sum(keeps[r] * r * k for r, k in zip(range(1, CUTOFF + 1), by_count, strict=True)) + HIGH * (count - low)
+            weight = np.where(count > 0, (1 - left / np.maximum(count, 1)) / np.maximum(1 - mass, 1e-15), 1.0)
+            wanted = numbers[CUTOFF] > 0
+            parts = np.split(weight[which], np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1])
+            flags = np.split(wanted, np.cumsum([len(r["keys"]) // 8 for r in rows])[:-1])
+            answers = [unpack_keys(r["keys"])[f].astype("<u8").tobytes() + p[f].astype("<f8").tobytes() for r, p, f in zip(rows, parts, flags, strict=True)]
+            return answers, {"values": weight.astype("<f8").tobytes()}
+
+        return written(_answer(_ask(chunks, answered(counted[:n]), ask, buckets, CUTOFF + 3), f"context {n}", merge), f"lm-contexts-{n}", "zstd")
+
+    weighed = [weigh(n) for n in range(2, order + 1)]
     schema = pa.schema([("id", pa.int64()), ("learnt", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def evaluate(row: dict, answers: dict) -> Iterator[pa.RecordBatch]:
         chunk = Chunk.of(row)
-        counts, _ = _counts(answers["word"])
-        total, _ = _counts(answers["pair"])
-        _, context, word, which, _ = chunk.pairs()
-        halves = [(np.frombuffer(a[: len(a) // 2], "<u8"), np.frombuffer(a[len(a) // 2 :], "<f8")) for a in answers.get("context", [])]
-        named, weights = (np.concatenate([np.zeros(0, t), *(h[i] for h in halves)]) for i, t in ((0, np.uint64), (1, float)))
-        order = np.argsort(named)
-        named, weights = named[order], weights[order]
-        in_context = context_counts(counts)[context]
-        chance = known.unigram(counts[word])
-        unseen = np.flatnonzero((total == 0) & (in_context > 0))
-        if len(unseen):
-            at = np.searchsorted(named, np.append(chunk.words, START)[context[unseen]])
-            chance[unseen] *= weights[at]
-        both = total > 0
-        chance[both] = pair_kept[np.minimum(total[both], CUTOFF + 1)] * total[both] / in_context[both]
-        base = np.log10((counts + 1) / (known.tokens + known.kinds + 1))
+        grams = chunk.grams(order)
+        counts = [_counts(answers[f"count {n}"])[0] for n in range(1, order + 1)]
+        weights = [_told(answers.get(f"context {n}", []), grams[n - 2].contexts()) for n in range(2, order + 1)]
+        chance = known.chance(grams, counts, weights, order)
+        base = np.log10((counts[0] + 1) / (known.tokens + known.kinds + 1))
 
         def by_text(values: np.ndarray) -> np.ndarray:
             return np.add.reduceat(values, chunk.bounds[:-1])
 
         n = np.diff(chunk.bounds)
-        columns = [row["ids"], chunk.learnt, n, by_text((counts > 0)[chunk.tokens].astype(np.int64)), np.full(len(n), known.tokens), by_text(base[chunk.tokens]), by_text(np.log10(np.maximum(chance, 1e-300))[which])]
+        columns = [row["ids"], chunk.learnt, n, by_text((counts[0] > 0)[chunk.tokens].astype(np.int64)), np.full(len(n), known.tokens), by_text(base[chunk.tokens]), by_text(np.log10(np.maximum(chance, 1e-300))[grams[-1].which])]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    told = told.union(answered(about_contexts))
-    scores = _with_answers(chunks, told, evaluate, "id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = _with_answers(chunks, answered([*counted, *weighed]), evaluate, "id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-    def model(frame: DataFrame) -> DataFrame:
-        return frame.filter("chunk is null").select("bucket", "keys", "values")
+    def tables(frames: list[DataFrame]) -> list[DataFrame]:
+        return [f.filter("chunk is null").select("bucket", "keys", "values") for f in frames]
 
-    return Scored(scores.withColumnRenamed("id", id_col), model(about_words), model(about_pairs), model(about_contexts))
+    return Scored(scores.withColumnRenamed("id", id_col), tables(counted), tables(weighed))
