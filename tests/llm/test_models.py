@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_texts import EMPTY, odd, plain_words
 
-from tidemark.llm import katz, linear, packing, quality, queries, tokens, topk, toxicity, warc
+from tidemark.llm import katz, linear, packing, quality, queries, scoring, tokens, topk, toxicity, warc
 from tidemark.llm.words import words
 
 
@@ -560,3 +560,40 @@ def test_pipeline_of_odd_rows(spark, tmp_path, kind):
         frame = spark.read.parquet(str(tmp_path / name))
     assert C.STAGES[-1][1](spark, frame, str(tmp_path)).count() >= frame.count()
     assert C.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_long_sums(spark):
+    """Sums of blocks are those of the whole arrays, in the order of partitions."""
+    rows = spark.range(1000).repartition(8, "id")
+
+    def add(batches):
+        ids = np.concatenate([np.zeros(0, np.int64), *(b["id"].to_numpy() for b in batches)])
+        return np.arange(3 * scoring.BLOCK + 5) * len(ids) + 0.1 * ids.sum()
+
+    got = scoring.long_sums_of(rows, add, 8)
+    assert got.tolist() == scoring.sums_of(rows, add, 8).tolist()
+    assert np.allclose(got, np.arange(3 * scoring.BLOCK + 5) * 1000 + 0.1 * 999 * 500)
+
+
+def test_fitting_quality_sends_one_matrix(spark, monkeypatch):
+    """The driver gets the sum of the normal equations, not a part of each partition."""
+    frame, sent = type(spark.range(0)), []
+    collect = frame.collect
+
+    def counted(df):
+        rows = collect(df)
+        sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    df = spark.createDataFrame([(i, "good fine " * (1 + i % 9) if i % 2 else "XX !! " * (1 + i % 7), i % 2) for i in range(200)], "doc_id long, text string, quality int")
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"), F.lit(True))
+    m = quality.FEATURES + 1
+    assert model.weights.any() and max(sent) == 8 * m * (m + 1)
+
+
+def test_packing_plan_needs_no_python_workers(spark):
+    """The rows that the driver planned are a local table, not an RDD that executors unpickle in workers of their own."""
+    out = packing.pack(spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string"))
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2 and packing.pack(out.select("doc_id", F.lit("a").alias("text")).limit(0)).count() == 0

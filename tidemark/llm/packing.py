@@ -164,7 +164,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     before = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "pack-counts")
     total = {r[0]: r[1] for r in starts.groupBy("__class").agg(F.sum("__n")).collect()}
-    rows = spark.createDataFrame(plan(total, capacity // step), "__c int, __lo long, __hi long, __per long, __first long, __slot long")
+    columns = np.array(plan(total, capacity // step), np.int64).reshape(-1, 6).T
+    # an Arrow table: rows from a list would start more Python workers on the executors
+    rows = spark.createDataFrame(pa.table([columns[0].astype(np.int32), *columns[1:]], ["__c", "__lo", "__hi", "__per", "__first", "__slot"]))
     within = Window.partitionBy("__class", "__bucket").orderBy(F.xxhash64("start", "id"), "id", "start")
     ranked = pieces.withColumn("__rank", F.row_number().over(within) - 1)
     # at most CLASSES * BUCKETS rows

@@ -6,8 +6,8 @@ constant, in nothing else. Partitions sum their part of the normal equations; th
 on labels kept aside, a monotone map of scores to probabilities by pooling adjacent violators over bins. Between
 the middles of the pooled blocks the map is interpolated, so that unequal scores stay apart.
 
-Scale: fitting takes a sample of at most about SAMPLE labelled rows and sums of fixed size; scoring is one
-pass without a shuffle.
+Scale: fitting takes a sample of at most about SAMPLE labelled rows and sums of fixed size, the long ones added
+up by executors, so the driver gets one of them; scoring is one pass without a shuffle.
 
 Defined results: a null text is empty, and scores like one. Labels without a document, or null, are left
 out; repeated ones count repeatedly. Without any label of either kind every text scores 1: nothing speaks
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, fresh, written
 from tidemark.llm.linear import solve_positive
-from tidemark.llm.scoring import labelled_texts, scored, sums_of
+from tidemark.llm.scoring import labelled_texts, long_sums_of, scored, sums_of
 from tidemark.llm.words import slices, span_hashes, text_bytes, word_bounds
 
 #: Labelled rows that a model learns from, at most.
@@ -209,7 +209,7 @@ def _fitted(known: DataFrame, seed: int) -> Model:
             out += np.concatenate([z.T @ z, (z.T @ y)[:, None]], axis=1)
         return out.ravel()
 
-    model.weights = solved(sums_of(known, equations).reshape(m, m + 1), n)
+    model.weights = solved(long_sums_of(known, equations).reshape(m, m + 1), n)
 
     def calibration(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         out = np.zeros((2, BINS))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import bounded_batches, quoted
 from tidemark.llm.words import slices
 
+#: Numbers of a long array that are added up together.
+BLOCK = 1 << 14
+
 
 def id_hash(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (0 for a null id)."""
@@ -55,3 +59,20 @@ def sums_of(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarra
 
     parts = (rows.repartition(partitions) if partitions else rows).mapInArrow(run, "sum binary").collect()
     return sum(np.frombuffer(r[0], "<f8") for r in parts)
+
+
+def long_sums_of(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray], partitions: int = 16) -> np.ndarray:
+    """As ``sums_of``, for long arrays: executors add them up block by block, so the driver gets one, not one of each partition."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part = add(batches).astype("<f8"), TaskContext.get().partitionId()
+        for at in range(0, len(own), BLOCK):
+            yield pa.RecordBatch.from_pydict({"at": [at], "part": [part], "sum": [own[at : at + BLOCK].tobytes()]})
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = sorted(table.to_pylist(), key=lambda r: r["part"])
+        return pa.table({"at": [parts[0]["at"]], "sum": [sum(np.frombuffer(r["sum"], "<f8") for r in parts).tobytes()]})
+
+    parts = rows.repartition(partitions).mapInArrow(blocks, "at long, part long, sum binary")
+    sums = parts.groupBy("at").applyInArrow(added, "at long, sum binary").collect()
+    return np.concatenate([np.frombuffer(r["sum"], "<f8") for r in sorted(sums, key=lambda r: r["at"])])
