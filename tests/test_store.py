@@ -456,6 +456,30 @@ def test_segments_that_are_there_are_kept(store):
     assert [v for _, v in rows(lib.read("s"))] == [0, 1, 2, 3, 50, 51]
 
 
+def test_segments_are_cut_alike_whatever_ranges_are(spark, store):
+    """Ranges begin at sampled rows, others in each write; segments begin at multiples of their size."""
+    lib = store.create_library("dd", LibraryOptions(rows_per_segment=700, dedup=True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (20_000, 20_500):
+            lib.write("s", spark.range(n).select(F.timestamp_seconds(F.expr("id div 50")).alias("t"), F.col("id").alias("v")), index="t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    old, new = (lib.read_index("s", v) for v in (0, 1))
+    assert old["rows"].tolist() == [700] * 28 + [400] and new["rows"].tolist() == [700] * 29 + [200]
+    assert old["path"].tolist()[:28] == new["path"].tolist()[:28] and old["path"].tolist()[28] != new["path"].tolist()[28]
+    assert [r["v"] for r in lib.read("s").in_order.collect()] == list(range(20_500))
+    assert len(lib.folder.names("symbols/s/data")) == 2  # nothing is left of the ranges
+
+
+def test_equal_segments_are_kept_once_each(store):
+    lib = store.create_library("dd", LibraryOptions(rows_per_segment=2, dedup=True))
+    for _ in range(2):
+        lib.write("s", pd.DataFrame({"v": [1, 2, 1, 2]}))
+    old, new = (lib.read_index("s", v)["path"].tolist() for v in (0, 1))
+    assert sorted(old) == sorted(new) and [r["v"] for r in lib.read("s").in_order.collect()] == [1, 2, 1, 2]
+
+
 def test_a_write_is_ordered_like_its_input(spark, lib):
     """Rows of one time stay as they came, over segments and partitions."""
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1 + i // 20), i) for i in range(40)], "t timestamp_ntz, v long").coalesce(1)

@@ -48,7 +48,8 @@ class LibraryOptions:
     dynamic_schema: bool = False
     rows_per_segment: int = S.SEGMENT_ROWS
     codec: str = "lz4_raw"
-    #: Writes keep segments of the version before that hold the same rows (found by digests, from one more pass).
+    #: Writes keep segments of the version before that hold the same rows: cut alike (rows in several ranges are
+    #: written once more for it) and found by digests, from one more pass.
     dedup: bool = False
 
 
@@ -443,10 +444,14 @@ class Library:
         old = self.catalog.resolve(symbol)
         if old.index != m.index:
             return segments
-        known = {(s.digest, s.rows, json.dumps(old.forms[s.form])): s for s in old.segments if s.digest}
+        known: dict[tuple, list[Segment]] = {}
+        for s in old.segments:
+            if s.digest:
+                known.setdefault((s.digest, s.rows, json.dumps(old.forms[s.form])), []).append(s)
         out = []
         for s in segments:
-            same = known.get((s.digest, s.rows, json.dumps(m.forms[s.form])))
+            alike = known.get((s.digest, s.rows, json.dumps(m.forms[s.form])))
+            same = alike.pop(0) if alike else None  # each once: positions go by files
             if same:
                 self.folder.delete_path(s.path)
             out.append(replace(same, form=s.form, stats={}) if same else s)

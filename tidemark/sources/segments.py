@@ -18,6 +18,7 @@ from tidemark.errors import SchemaError, UnsortedDataError, UserInputError
 from tidemark.functions import types as K
 from tidemark.operators.ranges import file_order, in_ranges, placed_rows
 from tidemark.plans.query import ROW
+from tidemark.sources.files import Folder
 
 #: Rows of a segment, as a library's option says.
 SEGMENT_ROWS = 100_000
@@ -168,7 +169,8 @@ def write_segments(df: DataFrame, folder: str, index: str | None, rows_per_segme
     """Writes rows as segments and describes them from the files.
 
     Rows go in the given order, else in that of their positions, else in that of the index, else as they come.
-    Positions are not stored: they are those in the files.
+    Positions are not stored: they are those in the files. With digests, segments are cut at multiples of
+    ``rows_per_segment``, so that equal rows written again make equal segments.
     """
     path = f"{folder}/{uuid.uuid4().hex}"
     stored = [f for f in df.schema.fields if f.name != ROW and f.name not in (order or []) or f.name == index]
@@ -182,9 +184,33 @@ def write_segments(df: DataFrame, folder: str, index: str | None, rows_per_segme
         out = df
     out = out.select(*(_col(f.name) for f in stored))
     out.write.option("maxRecordsPerFile", rows_per_segment).option("compression", codec).parquet(path)
+    if digests:
+        path = _evenly_cut(df.sparkSession, path, T.StructType(stored), rows_per_segment, codec)
     return described(df.sparkSession, path, index, T.StructType(stored), digests)
 
 
+def _evenly_cut(spark: SparkSession, path: str, schema: T.StructType, rows_per_segment: int, codec: str) -> str:
+    """A folder with the rows of a folder of files in their order, all files but the last of ``rows_per_segment`` rows.
+
+    Ranges begin where a sample says, another one each time, and each begins a file. Unless the files happen to be
+    even, their rows are dealt to tasks by whole segments and written once more.
+    """
+    found = described(spark, path, None, schema)
+    if not any(s.first_row % rows_per_segment for s in found):
+        return path
+    even = f"{path.rpartition('/')[0]}/{uuid.uuid4().hex}"
+    count = -(-sum(s.rows for s in found) // rows_per_segment)
+    tasks = min(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    task = F.floor(F.floor(F.col(ROW) / rows_per_segment) * tasks / count).cast("int")
+    try:
+        rows = read_segments(spark, found, schema).repartitionById(tasks, task)
+        out = rows.sortWithinPartitions(ROW).select(*(_col(f.name) for f in schema.fields))
+        out.write.option("maxRecordsPerFile", rows_per_segment).option("compression", codec).parquet(even)
+    finally:
+        Folder(spark, path).delete("")
+    return even
+
+
 def write_pieces(df: DataFrame, folder: str, piece: str, order: list[str], index: str | None, rows_per_segment: int, codec: str, schema: T.StructType) -> dict[int, list[Segment]]:
     """Writes rows in one pass as segments of several pieces (a column of numbers); each piece's segments, in order."""
     path = f"{folder}/{uuid.uuid4().hex}"
